@@ -1,0 +1,20 @@
+"""Where the runnable queries and their SQL twins are listed."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(fn):
+        if name in QUERIES:
+            raise ValueError(f"query registered twice: {name}")
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLES[name] = sql.strip()
+        return fn
+
+    return add
