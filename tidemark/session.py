@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str = "8", partitions: str = "8", memory: str = "8g") -> SparkSession:
@@ -30,3 +31,14 @@ def shared_folder(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write df once to the shared folder and read it back.
+
+    For results that several branches of a plan use: they are not computed again, and a lost
+    executor costs a re-read and not a re-run.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
