@@ -122,10 +122,10 @@ def daily_books(trades: DataFrame, keys, t: str, cash_date: str, initial: float,
     """Cash, units, unsettled proceeds, equity and weight on each day with any movement.
 
     Trade and settlement rows are summed per key and day first; only that daily table is
-    scanned in order. Money is summed as decimals. The price is the day's mean trade price,
+    scanned in order. Money is summed as decimals (order independent). The price is the day's mean trade price,
     carried forward over days without trades.
     """
-    money = "decimal(28,2)"
+    money = "decimal(28,8)"
     is_buy = F.col("side") == "buy"
     value = F.col("price") * F.col(units)
     none, no_money = F.lit(0.0), F.lit(0).cast(money)

@@ -112,10 +112,10 @@ def confirmation_and_settlement(spark, sf):
 
 
 BOOKS = f"""
-mv AS (SELECT supp, day, CASE WHEN side = 'buy' THEN -CAST(price * filled AS DECIMAL(28,2)) ELSE 0 END AS cash, CASE WHEN side = 'buy' THEN filled ELSE -filled END AS u,
-   CASE WHEN side = 'buy' THEN 0 ELSE CAST(price * filled AS DECIMAL(28,2)) END AS due, CAST(price * filled AS DECIMAL(28,2)) AS v, filled AS size FROM fills
-  UNION ALL SELECT supp, cash_date, CASE WHEN side = 'buy' THEN 0 ELSE CAST(price * filled AS DECIMAL(28,2)) END, 0.0,
-   CASE WHEN side = 'buy' THEN 0 ELSE -CAST(price * filled AS DECIMAL(28,2)) END, 0, 0.0 FROM fills JOIN ses USING (day)),
+mv AS (SELECT supp, day, CASE WHEN side = 'buy' THEN -CAST(price * filled AS DECIMAL(28,8)) ELSE 0 END AS cash, CASE WHEN side = 'buy' THEN filled ELSE -filled END AS u,
+   CASE WHEN side = 'buy' THEN 0 ELSE CAST(price * filled AS DECIMAL(28,8)) END AS due, CAST(price * filled AS DECIMAL(28,8)) AS v, filled AS size FROM fills
+  UNION ALL SELECT supp, cash_date, CASE WHEN side = 'buy' THEN 0 ELSE CAST(price * filled AS DECIMAL(28,8)) END, 0.0,
+   CASE WHEN side = 'buy' THEN 0 ELSE -CAST(price * filled AS DECIMAL(28,8)) END, 0, 0.0 FROM fills JOIN ses USING (day)),
 dd AS (SELECT supp, day, sum(cash) AS cash, sum(u) AS u, sum(due) AS due, sum(v) AS v, sum(size) AS size FROM mv GROUP BY 1, 2),
 bk AS (SELECT supp, day, CAST(sum(cash) OVER w AS DOUBLE) + {INITIAL:.1f}::DOUBLE AS cash, sum(u) OVER w AS units, CAST(sum(due) OVER w AS DOUBLE) AS unsettled,
    last_value(CASE WHEN size > 0 THEN CAST(v AS DOUBLE) / size END IGNORE NULLS) OVER w AS price FROM dd WINDOW w AS (PARTITION BY supp ORDER BY day ROWS UNBOUNDED PRECEDING)),
@@ -127,10 +127,10 @@ def books(spark, sf):
 
 
 @query("led6_daily_books", f"""WITH {TRADES}, {SESSIONS}, {BOOKS}
-SELECT supp, day, round(cash, 2) AS cash, units, round(unsettled, 2) AS unsettled, round(price, 4) AS price, round(equity, 1) AS equity, round(weight, 6) AS weight FROM books""")
+SELECT supp, day, round(cash, 8) AS cash, units, round(unsettled, 8) AS unsettled, round(price, 8) AS price, round(equity, 1) AS equity, round(weight, 6) AS weight FROM books""")
 def daily_books(spark, sf):
-    return books(spark, sf).select("supp", "day", F.round("cash", 2).alias("cash"), "units", F.round("unsettled", 2).alias("unsettled"),
-                                   F.round("price", 4).alias("price"), F.round("equity", 1).alias("equity"), F.round("weight", 6).alias("weight"))
+    return books(spark, sf).select("supp", "day", F.round("cash", 8).alias("cash"), "units", F.round("unsettled", 8).alias("unsettled"),
+                                   F.round("price", 8).alias("price"), F.round("equity", 1).alias("equity"), F.round("weight", 6).alias("weight"))
 
 
 @query("led7_invariant_checks", f"""WITH {TRADES}, {MATCHES}, {SESSIONS}, {BOOKS}, br AS (
