@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, Window
@@ -140,3 +141,32 @@ def is_local_midnight(ts) -> Column:
 
 def within(d, lo, hi) -> Column:
     return (col(d) >= F.lit(lo)) & (col(d) <= F.lit(hi))
+
+
+def _ddl(value) -> str:
+    kinds = {bool: "boolean", int: "int", float: "double", str: "string"}
+    return kinds[type(value)]
+
+
+def literal_rows(rows: Sequence[dict]) -> Column:
+    """Parameter rows as one constant array of structs.
+
+    Parsed from text and folded to a literal by the optimizer: a grid of hundreds of rows
+    stays one node in the plan instead of thousands of literals.
+    """
+    fields = ", ".join(f"{n}: {_ddl(v)}" for n, v in rows[0].items())
+    return F.from_json(F.lit(json.dumps(list(rows))), f"array<struct<{fields}>>")
+
+
+def literal_groups(groups: dict[int, Sequence[dict]]) -> Column:
+    """As literal_rows, one array per group: a constant map from group (as text) to rows."""
+    first = next(iter(groups.values()))[0]
+    fields = ", ".join(f"{n}: {_ddl(v)}" for n, v in first.items())
+    return F.from_json(F.lit(json.dumps({str(k): list(v) for k, v in groups.items()})), f"map<string, array<struct<{fields}>>>")
+
+
+def literal_lookup(key, values: dict) -> Column:
+    """Constant map lookup."""
+    kind = _ddl(next(iter(values.values())))
+    table = F.from_json(F.lit(json.dumps({str(k): v for k, v in values.items()})), f"map<string, {kind}>")
+    return F.element_at(table, col(key).cast("string"))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import ordered
+from tidemark.functions.scalars import literal_rows, ordered
 from tidemark.operators.scan import running
 
 
@@ -92,9 +92,7 @@ def to_phases(df: DataFrame, phases, t: str, label: str = "phase") -> DataFrame:
 
 def with_specs(df: DataFrame, specs: Sequence[dict]) -> DataFrame:
     """Every row once per parameter set; the grid is a literal array, so nothing is joined."""
-    names = list(specs[0])
-    rows = F.array(*[F.struct(*[F.lit(s[n]).alias(n) for n in names]) for s in specs])
-    return df.withColumn("__s", F.explode(rows)).select(*df.columns, "__s.*")
+    return df.withColumn("__s", F.explode(literal_rows(specs))).select(*df.columns, "__s.*")
 
 
 def asof_shared(left: DataFrame, right: DataFrame, t: str, cols, **how) -> DataFrame:

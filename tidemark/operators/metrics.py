@@ -19,7 +19,8 @@ def equity_curve(df: DataFrame, keys, t: str, weight: str = "weight", cost=0.003
 
     The weight must already be delayed: it is what was decided before this session. Each
     session multiplies the overnight move of the old weight, the cost of the change at the
-    open and the intraday move of the new weight. Nothing is sold at the end.
+    open and the intraday move of the new weight. Nothing is sold at the end. `prior` is the
+    equity of the session before.
     """
     cost = F.lit(cost) if isinstance(cost, (int, float)) else F.col(cost)
     w = ordered(keys, t)
@@ -32,8 +33,9 @@ def equity_curve(df: DataFrame, keys, t: str, weight: str = "weight", cost=0.003
     factor = F.col("__on") * (1 - F.col("__cost")) * (1 + F.col(weight) * (F.col("close") / F.col("open") - 1))
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("equity", F.exp(F.sum(F.ln(factor)).over(run)) * F.lit(initial))
-    fee = F.lag("equity", 1, initial).over(w) * F.col("__on") * F.col("__cost")
-    return df.withColumn("fee", fee).drop("__old", "__before", "__on", "__cost")
+    df = df.withColumn("prior", F.lag("equity", 1, initial).over(w))
+    df = df.withColumn("fee", F.col("prior") * F.col("__on") * F.col("__cost"))
+    return df.drop("__old", "__before", "__on", "__cost")
 
 
 def to_windows(df: DataFrame, t: str, phases=(), years: bool = False, run_start=None) -> DataFrame:
@@ -52,6 +54,12 @@ def to_windows(df: DataFrame, t: str, phases=(), years: bool = False, run_start=
     return out
 
 
+def with_prior(equity: DataFrame, keys, t: str, initial: float = INITIAL) -> DataFrame:
+    if "prior" in equity.columns:
+        return equity
+    return equity.withColumn("prior", F.lag("equity", 1, initial).over(ordered(keys, t)))
+
+
 def performance(equity: DataFrame, keys, t: str, phases=(), years: bool = False, run_start=None, initial: float = INITIAL) -> DataFrame:
     """Return, CAGR, drawdown, exposure, cost and trade days per (keys, phase).
 
@@ -59,8 +67,7 @@ def performance(equity: DataFrame, keys, t: str, phases=(), years: bool = False,
     consecutive that is the previous equity of the window's first row, so one lag over the
     whole history serves all windows. A window without rows gives no row.
     """
-    prior = F.lag("equity", 1, initial).over(ordered(keys, t))
-    df = equity.select(*keys, t, "equity", "weight", "fee", "traded", prior.alias("prior"))
+    df = with_prior(equity, keys, t, initial).select(*keys, t, "equity", "weight", "fee", "traded", "prior")
     return window_metrics(to_windows(df, t, phases, years, run_start), [*keys, "phase"], t)
 
 
@@ -88,8 +95,7 @@ def reset_performance(df: DataFrame, keys, t: str, phases, cost=0.003, initial:
     """Metrics of windows that each start in cash, with signals warmed by earlier history."""
     copies = to_phases(df, phases, t)
     curve = equity_curve(copies, [*keys, "phase"], t, cost=cost, initial=initial)
-    prior = F.lag("equity", 1, initial).over(ordered([*keys, "phase"], t))
-    return window_metrics(curve.withColumn("prior", prior), [*keys, "phase"], t)
+    return window_metrics(curve, [*keys, "phase"], t)
 
 
 def rolling_year_audit(equity: DataFrame, keys, t: str, worst_drawdown=-15.0, most_weight=70.0, months: int = 12, initial: float = INITIAL) -> DataFrame:
@@ -97,9 +103,8 @@ def rolling_year_audit(equity: DataFrame, keys, t: str, worst_drawdown=-15.0, mo
 
     Each row joins the `months` windows that contain it; there is no range join.
     """
-    prior = F.lag("equity", 1, initial).over(ordered(keys, t))
-    month = F.trunc(t, "MM")
-    df = equity.select(*keys, t, "equity", "weight", "fee", "traded", prior.alias("prior"), month.alias("__m"))
+    df = with_prior(equity, keys, t, initial)
+    df = df.select(*keys, t, "equity", "weight", "fee", "traded", "prior", F.trunc(t, "MM").alias("__m"))
     series = Window.partitionBy(*keys)
     df = df.withColumns({"__first": F.min("__m").over(series), "__last": F.max("__m").over(series)})
     ends = F.sequence(F.col("__m"), F.add_months("__m", months - 1), F.expr("INTERVAL 1 MONTH"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.scalars import month_key, ordered, quantise, ratio_clip, simple_return, week_ending_friday
+from tidemark.functions.scalars import literal_groups, month_key, ordered, quantise, ratio_clip, simple_return, week_ending_friday
 from tidemark.operators import indicators as ind
 from tidemark.operators.align import lagged_features
 
@@ -133,15 +133,8 @@ def raw_signal(df: DataFrame, keys, t: str, x: str, specs: Sequence[dict], carry
         extra |= {"__tr90w": F.col("__tr90w"), "votes": F.col("votes")}
     df = df.select(*base, *extra, F.explode(F.array(*[shape(h, e) for h, e in shapes])).alias("f"))
 
-    names = list(specs[0])
-
-    def literal(s):
-        return F.struct(*[F.lit(s[n]).alias(n) for n in names])
-
-    by_shape = []
-    for hx, k in shape_id.items():
-        by_shape += [F.lit(k), F.array(*[literal(s) for s in specs if (s["horizon"], s["exit_days"]) == hx])]
-    df = df.withColumn("s", F.explode(F.element_at(F.create_map(*by_shape), F.col("f.shape"))))
+    by_shape = {k: [s for s in specs if (s["horizon"], s["exit_days"]) == hx] for hx, k in shape_id.items()}
+    df = df.withColumn("s", F.explode(F.element_at(literal_groups(by_shape), F.col("f.shape").cast("string"))))
     if spread:
         df = df.withColumn("spec_id", F.col("s.spec_id")).repartition(*keys, "spec_id").drop("spec_id")
 

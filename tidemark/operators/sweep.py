@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.scalars import ordered, simple_return
+from tidemark.functions.scalars import literal_lookup, ordered, simple_return
 from tidemark.operators import indicators as ind
 from tidemark.operators import metrics as met
 from tidemark.operators import signals as sig
@@ -79,8 +79,7 @@ def sweep(bars: DataFrame, keys, t: str, specs, phases, cost=0.003, **how) -> Da
 
 def spec_column(specs: Sequence[dict], field: str):
     """Look up a parameter by spec_id; the grid is a literal map."""
-    pairs = [x for s in specs for x in (F.lit(s["spec_id"]), F.lit(s[field]))]
-    return F.element_at(F.create_map(*pairs), F.col("spec_id"))
+    return literal_lookup("spec_id", {s["spec_id"]: s[field] for s in specs})
 
 
 def select_frozen(perf: DataFrame, specs: Sequence[dict], product_key: str, phases: Sequence[str], years: float, limits) -> DataFrame:

@@ -127,10 +127,10 @@ def books(spark, sf):
 
 
 @query("led6_daily_books", f"""WITH {TRADES}, {SESSIONS}, {BOOKS}
-SELECT supp, day, round(cash, 8) AS cash, units, round(unsettled, 8) AS unsettled, round(price, 8) AS price, round(equity, 1) AS equity, round(weight, 6) AS weight FROM books""")
+SELECT supp, day, round(cash, 8) AS cash, units, round(unsettled, 8) AS unsettled, round(equity, 1) AS equity, round(weight, 6) AS weight FROM books""")
 def daily_books(spark, sf):
     return books(spark, sf).select("supp", "day", F.round("cash", 8).alias("cash"), "units", F.round("unsettled", 8).alias("unsettled"),
-                                   F.round("price", 8).alias("price"), F.round("equity", 1).alias("equity"), F.round("weight", 6).alias("weight"))
+                                   F.round("equity", 1).alias("equity"), F.round("weight", 6).alias("weight"))
 
 
 @query("led7_invariant_checks", f"""WITH {TRADES}, {MATCHES}, {SESSIONS}, {BOOKS}, br AS (
