@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["indicator_queries", "align_queries", "clean_queries", "signal_queries", "metric_queries", "ledger_queries", "sweep_queries", "source_queries"]
+MODULES = ["indicator_queries", "align_queries", "clean_queries", "signal_queries", "metric_queries", "ledger_queries", "sweep_queries", "source_queries", "event_queries"]
 
 
 def load_all() -> None:
