@@ -109,12 +109,12 @@ def asof_shared(left: DataFrame, right: DataFrame, t: str, cols, **how) -> DataF
 def lagged_features(left: DataFrame, features: dict[str, DataFrame], t: str, value: str, lag_obs: int = 1) -> DataFrame:
     """As-of join of several shared sources, each delayed by whole observations of its own
     calendar. A missing value in a source leaves the latest known one in place."""
-    out = left
+    days = left.select(t).distinct().withColumn("__one", F.lit(1))
     for name, source in features.items():
         s = source.withColumn("__one", F.lit(1))
-        s = s.select(t, F.lag(value, lag_obs).over(ordered(["__one"], t)).alias(name)).filter(F.col(name).isNotNull())
-        out = asof_shared(out, s, t, [name])
-    return out
+        s = s.withColumn(name, F.lag(value, lag_obs).over(ordered(["__one"], t))).filter(F.col(name).isNotNull())
+        days = asof_join(days, s, ["__one"], t, [name])
+    return left.join(days.drop("__one"), t)
 
 
 def asof_release(df: DataFrame, reports: DataFrame, keys, t: str, release: str, cols, blackouts=()) -> DataFrame:

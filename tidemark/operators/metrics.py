@@ -118,10 +118,16 @@ def rolling_year_audit(equity: DataFrame, keys, t: str, worst_drawdown=-15.0, mo
     )
 
 
-def excess(perf: DataFrame, benchmark: DataFrame, on: Sequence[str]) -> DataFrame:
-    b = benchmark.select(*on, F.col("return_pct").alias("__r"), F.col("cagr_pct").alias("__c"))
-    out = perf.join(b, list(on))
-    return out.withColumns({"excess_return_pp": F.col("return_pct") - F.col("__r"), "excess_cagr_pp": F.col("cagr_pct") - F.col("__c")}).drop("__r", "__c")
+def excess(perf: DataFrame, on: Sequence[str], is_benchmark: Column) -> DataFrame:
+    """Return and CAGR less those of the benchmark row with the same `on`, in points.
+
+    The benchmark is picked inside the group (one row per rule), so the sweep behind `perf`
+    is evaluated once and not joined with itself.
+    """
+    group = Window.partitionBy(*on)
+    mine = lambda c: F.col(c) - F.max(F.when(is_benchmark, F.col(c))).over(group)
+    out = perf.withColumns({"excess_return_pp": mine("return_pct"), "excess_cagr_pp": mine("cagr_pct")})
+    return out.filter(~is_benchmark & F.col("excess_return_pp").isNotNull())
 
 
 def within_limits(worst_drawdown: float = -15.0, most_weight: float = 70.0) -> Column:
@@ -176,12 +182,12 @@ def coverage_report(df: DataFrame, keys, t: str, value: str) -> DataFrame:
         F.min(F.when(F.col(value).isNotNull(), F.col(t))).alias("first"), F.max(F.when(F.col(value).isNotNull(), F.col(t))).alias("last"))
 
 
-def sleeves(a: DataFrame, b: DataFrame, on: Sequence[str], share: float = 0.5) -> DataFrame:
+def sleeves(curves: DataFrame, on: Sequence[str], is_a: Column, is_b: Column, share: float = 0.5) -> DataFrame:
     """Two sleeves side by side, never rebalanced; weight is equity weighted."""
-    x = a.select(*on, F.col("equity").alias("__ea"), F.col("weight").alias("__wa"))
-    y = b.select(*on, F.col("equity").alias("__eb"), F.col("weight").alias("__wb"))
+    pick = lambda hit, c: F.max(F.when(hit, F.col(c)))
+    both = curves.filter(is_a | is_b).groupBy(*on).agg(
+        pick(is_a, "equity").alias("__ea"), pick(is_a, "weight").alias("__wa"), pick(is_b, "equity").alias("__eb"), pick(is_b, "weight").alias("__wb")).dropna()
     ea, eb = F.col("__ea") * share, F.col("__eb") * (1 - share)
-    both = x.join(y, list(on))
     return both.select(*on, (ea + eb).alias("equity"), ((ea * F.col("__wa") + eb * F.col("__wb")) / (ea + eb)).alias("weight"))
 
 

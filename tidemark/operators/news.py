@@ -64,9 +64,11 @@ def novelty(df: DataFrame, doc: str, position: Sequence[str], text: str) -> Data
     two documents are ever paired.
     """
     df = df.withColumn("__w", words(text))
-    order = F.struct(*position, doc)
+    # without a position the bare id is aggregated, which stays hash based
+    order = F.struct(*position, F.col(doc)) if position else F.col(doc)
     owned = df.select(F.explode("__w").alias("word"), order.alias("__o")).groupBy("word").agg(F.min("__o").alias("__o"))
-    new = owned.groupBy(F.col(f"__o.{doc}").alias(doc)).agg(F.count(F.lit(1)).alias("new_words"))
+    owner = F.col(f"__o.{doc}") if position else F.col("__o")
+    new = owned.groupBy(owner.alias(doc)).agg(F.count(F.lit(1)).alias("new_words"))
     out = df.select(doc, F.size("__w").alias("words")).join(new, doc, "left")
     new_words = F.coalesce("new_words", F.lit(0))
     return out.select(doc, "words", new_words.alias("new_words"), F.try_divide(new_words, "words").alias("novelty"))

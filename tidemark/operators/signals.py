@@ -130,7 +130,7 @@ def raw_signal(df: DataFrame, keys, t: str, x: str, specs: Sequence[dict], carry
     base = [*keys, t, *carry, "i", "__vol40", "__new_month", "__new_week"]
     extra = {"__vol60": F.col("__vol60"), "__m252": F.col("__m252")} if "legacy_momentum" in families else {}
     if macro:
-        extra |= {"__tr90w": F.col("__tr90w"), "votes": F.col("votes")}
+        extra |= {"__tr90w": F.col("__tr90w")} | ({} if "votes" in carry else {"votes": F.col("votes")})
     df = df.select(*base, *extra, F.explode(F.array(*[shape(h, e) for h, e in shapes])).alias("f"))
 
     by_shape = {k: [s for s in specs if (s["horizon"], s["exit_days"]) == hx] for hx, k in shape_id.items()}

@@ -6,14 +6,14 @@ from tidemark.functions.scalars import convert_unit
 from tidemark.operators import align
 from tidemark.operators import indicators as ind
 from tidemark.plans.registry import query
-from tidemark.plans.views import (BARS, CAL, FX, NEWS, PHASES, PHASES_SQL, RAW, fx_rates, index_bars, news,
+from tidemark.plans.views import (BARS, CAL, FX, NEWS, PHASES, PHASES_SQL, RAW, fx_rates, index_bars, kept_bars, news,
                                   product_calendar, raw_bars, table)
 
 K = ["series_id"]
 
 
-def _closes(spark, sf):
-    return index_bars(spark, sf).select("series_id", "date", "close")
+def _closes(spark, sf, keep=False):
+    return (kept_bars if keep else index_bars)(spark, sf).select("series_id", "date", "close")
 
 
 @query("jn1_exact_then_forward_fill", f"""
@@ -34,7 +34,7 @@ def backward_asof(spark, sf):
 
 
 def _product_asof(spark, sf, **kw):
-    bars = _closes(spark, sf).drop("close")
+    bars = _closes(spark, sf, keep=True).drop("close")
     return align.asof_shared(bars, product_calendar(spark, sf).select("date", "nav"), "date", ["nav"], **kw)
 
 
@@ -87,8 +87,9 @@ WITH {BARS}
 SELECT a.date, a.close AS close_a, b.close AS close_b FROM bars a JOIN bars b USING (date)
 WHERE a.series_id = 'AF' AND b.series_id = 'RF'""")
 def common_dates(spark, sf):
-    a = _closes(spark, sf).filter("series_id = 'AF'").select("date", F.col("close").alias("close_a"))
-    b = _closes(spark, sf).filter("series_id = 'RF'").select("date", F.col("close").alias("close_b"))
+    closes = _closes(spark, sf, keep=True)
+    a = closes.filter("series_id = 'AF'").select("date", F.col("close").alias("close_a"))
+    b = closes.filter("series_id = 'RF'").select("date", F.col("close").alias("close_b"))
     return a.join(b, "date")
 
 
@@ -99,7 +100,7 @@ b AS (SELECT date, fx FROM (SELECT date, lag(fx) OVER (ORDER BY date) AS fx FROM
 x AS (SELECT s.date, a.nav FROM (SELECT date FROM bars WHERE series_id = 'AF') s ASOF LEFT JOIN a ON s.date >= a.date)
 SELECT x.date, round(x.nav, 6) AS nav, b.fx FROM x ASOF LEFT JOIN b ON x.date >= b.date""")
 def lagged_features(spark, sf):
-    days = _closes(spark, sf).filter("series_id = 'AF'").select("date")
+    days = _closes(spark, sf, keep=True).filter("series_id = 'AF'").select("date")
     sources = {"nav": product_calendar(spark, sf).select("date", F.col("nav").alias("v")),
                "fx": fx_rates(spark, sf).select("date", F.col("fx").alias("v"))}
     out = align.lagged_features(days, sources, "date", "v")

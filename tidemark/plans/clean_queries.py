@@ -6,7 +6,7 @@ from tidemark.functions import scalars as sc
 from tidemark.operators import align, clean
 from tidemark.operators import indicators as ind
 from tidemark.plans.registry import query
-from tidemark.plans.views import (BARS, CAL, FX, NEWS, RAW, fx_rates, index_bars, news, product_calendar, raw_bars,
+from tidemark.plans.views import (BARS, CAL, FX, NEWS, RAW, fx_rates, index_bars, kept_bars, news, product_calendar, raw_bars,
                                   table)
 
 K = ["series_id"]
@@ -156,7 +156,7 @@ def tradable_flags(spark, sf):
 WITH {BARS}, {CAL}, {FX}, c AS (SELECT least((SELECT max(date) FROM bars WHERE series_id = 'AF'), (SELECT max(date) FROM cal), (SELECT max(date) FROM fx)) AS d)
 SELECT series_id, date, close FROM bars WHERE date <= (SELECT d FROM c)""")
 def common_cutoff(spark, sf):
-    bars = index_bars(spark, sf)
+    bars = kept_bars(spark, sf)
     cut = align.common_cutoff([bars.filter("series_id = 'AF'").select("date"), product_calendar(spark, sf).select("date"),
                                fx_rates(spark, sf).select("date")], "date")
     return bars.filter(F.col("date") <= cut).select("series_id", "date", "close")
@@ -174,10 +174,9 @@ def target_cap_and_scale(spark, sf):
 @query("prj19_basis_point_spread", f"""
 WITH {BARS} SELECT a.date, round((a.close - b.close) * 100, 4) AS spread_bp FROM bars a JOIN bars b USING (date) WHERE a.series_id = 'AO' AND b.series_id = 'RO'""")
 def basis_point_spread(spark, sf):
-    c = index_bars(spark, sf).select("series_id", "date", "close")
-    a = c.filter("series_id = 'AO'").select("date", F.col("close").alias("a"))
-    b = c.filter("series_id = 'RO'").select("date", F.col("close").alias("b"))
-    return a.join(b, "date").select("date", F.round((F.col("a") - F.col("b")) * 100, 4).alias("spread_bp"))
+    pick = lambda s: F.max(F.when(F.col("series_id") == s, F.col("close")))
+    both = index_bars(spark, sf).filter(F.col("series_id").isin("AO", "RO")).groupBy("date").agg(pick("AO").alias("a"), pick("RO").alias("b"))
+    return both.dropna().select("date", F.round((F.col("a") - F.col("b")) * 100, 4).alias("spread_bp"))
 
 
 @query("prj20_range_mid", f"""
@@ -218,7 +217,7 @@ def dividend_screen(spark, sf):
 WITH {BARS}, {CAL}, x AS (SELECT date FROM cal WHERE sub_status = 'closed')
 SELECT series_id, date, close, CASE WHEN date IN (SELECT date FROM x) THEN 'previously_excluded_observation' ELSE 'not_independently_verified' END AS quality_flag FROM bars""")
 def quarantine(spark, sf):
-    bars = index_bars(spark, sf).select("series_id", "date", "close")
+    bars = kept_bars(spark, sf).select("series_id", "date", "close")
     good, flagged = clean.quarantine(bars, product_calendar(spark, sf).filter("sub_status = 'closed'"), ["date"])
     return good.withColumn("quality_flag", F.lit("not_independently_verified")).unionByName(
         flagged.withColumn("quality_flag", F.lit("previously_excluded_observation")))
@@ -314,7 +313,7 @@ n AS (SELECT b.series_id, b.date, b.close, CASE WHEN o.date IS NULL THEN b.close
 d AS (SELECT *, close / max(close) OVER w - 1 AS d1, c2 / max(c2) OVER w - 1 AS d2 FROM n WINDOW w AS (PARTITION BY series_id ORDER BY date ROWS UNBOUNDED PRECEDING))
 SELECT series_id, round(min(d1), 6) AS max_drawdown, round(min(d2), 6) AS max_drawdown_after, round(min(d2) - min(d1), 6) AS max_drawdown_change FROM d GROUP BY 1""")
 def override_sensitivity(spark, sf):
-    bars = index_bars(spark, sf).select("series_id", "date", "close")
+    bars = kept_bars(spark, sf).select("series_id", "date", "close")
     one = bars.filter(F.col("date") < "1999-01-01").groupBy("series_id").agg(
         F.max("date").alias("date"), (F.max_by("close", "date") * 1.5).alias("close"))
 

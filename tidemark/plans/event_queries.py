@@ -9,15 +9,16 @@ from tidemark.operators import news as nws
 from tidemark.operators import stats as sta
 from tidemark.plans.registry import query
 from tidemark.plans.source_queries import feed_records
-from tidemark.plans.views import BARS, NEWS, RAW, index_bars, news, raw_bars, table
+from tidemark.plans.views import BARS, NEWS, index_bars, kept_bars, news, table
 from tidemark.operators.align import upsert
+from tidemark.session import materialise
 from tidemark.streaming import bars as stm
 
 K = ["series_id"]
 
 
-def bars_of(spark, sf):
-    return index_bars(spark, sf).select("series_id", "date", "close")
+def bars_of(spark, sf, keep=False):
+    return (kept_bars if keep else index_bars)(spark, sf).select("series_id", "date", "close")
 
 
 def event_cases(spark, sf):
@@ -35,7 +36,7 @@ er AS (SELECT c.*, b.date AS session, b.f5, b.f20, b.a5, b.a20, b.k5 FROM cases
 
 
 def _returns(spark, sf):
-    return evt.event_returns(event_cases(spark, sf), bars_of(spark, sf), K, "date", "close", (5, 20))
+    return evt.event_returns(event_cases(spark, sf), bars_of(spark, sf, keep=True), K, "date", "close", (5, 20))
 
 
 @query("evt1_event_returns", f"WITH {BARS}, {CASES}, {FWD} SELECT series_id, date, category, case_id, session, round(f5, 8) AS fwd_5, round(a5, 8) AS abn_5, round(f20, 8) AS fwd_20, round(a20, 8) AS abn_20 FROM er")
@@ -48,7 +49,7 @@ def event_returns(spark, sf):
 SELECT e.series_id, e.date, e.category, e.case_id, (SELECT count(p.a5) FROM er p WHERE p.series_id = e.series_id AND p.category = e.category AND p.k5 < e.date) AS analogs,
  round((SELECT avg(p.a5) FROM er p WHERE p.series_id = e.series_id AND p.category = e.category AND p.k5 < e.date), 8) AS analog_mean FROM er e""")
 def earlier_analogs(spark, sf):
-    out = evt.earlier_analogs(_returns(spark, sf), K, "date", "category", 5)
+    out = evt.earlier_analogs(materialise(_returns(spark, sf)), K, "date", "category", 5)
     return out.select("series_id", "date", "category", "case_id", "analogs", F.round("analog_mean", 8).alias("analog_mean"))
 
 
@@ -230,7 +231,7 @@ RATIO = "ra AS (SELECT a.date, a.close / b.close AS ratio FROM bars a JOIN bars
 @query("sta4_ratio_and_risk_targets", f"""WITH {BARS}, {RATIO}, l AS (SELECT *, ln(ratio / lag(ratio) OVER (ORDER BY date)) AS r FROM ra), q AS (SELECT *, sum(r * r) OVER w5 AS s5, count(r) OVER w5 AS c5, lead(r) OVER (ORDER BY date) AS n1 FROM l WINDOW w5 AS (ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING))
 SELECT date, round(ratio, 8) AS ratio, round(r, 8) AS log_return, round(abs(n1), 8) AS risk_1, round(CASE WHEN c5 = 5 THEN sqrt(s5) END, 8) AS risk_5 FROM q""")
 def ratio_and_risk_targets(spark, sf):
-    c = bars_of(spark, sf)
+    c = bars_of(spark, sf, keep=True)
     r = sta.ratio(c.filter("series_id = 'AF'"), c.filter("series_id = 'NO'"), ["date"], "close").withColumn("pair", F.lit("AF/NO"))
     out = sta.forward_targets(r, ["pair"], "date", "ratio")
     return out.select("date", *[F.round(x, 8).alias(x) for x in ("ratio", "log_return", "risk_1", "risk_5")])

@@ -9,6 +9,7 @@ from tidemark.plans.metric_queries import BASE, EPISODES, K, curves
 from tidemark.plans.registry import query
 from tidemark.plans.signal_queries import FEATURES, GATED, gated
 from tidemark.plans.views import BARS, CAL, product_calendar, table
+from tidemark.session import materialise
 
 S = ["supp"]
 ORDER = ["day", "l_orderkey", "l_linenumber", "side"]
@@ -100,9 +101,14 @@ def order_costs(spark, sf):
                     F.col("m.units").alias("metal_units"), r("m.fee").alias("metal_fee"), r("m.spent").alias("metal_spent"))
 
 
-def settled(spark, sf):
-    t = filled(spark, sf)
-    return led.settle(t, trades(spark, sf).select("day"), "day", confirm=1, settle_days=3)
+def sessions(spark, sf):
+    li = table(spark, sf, "lineitem").filter(F.col("l_returnflag").isin("N", "R"))
+    return li.select(F.col("l_shipdate").cast("date").alias("day"))
+
+
+def settled(spark, sf, t=None):
+    t = filled(spark, sf) if t is None else t
+    return led.settle(t, sessions(spark, sf), "day", confirm=1, settle_days=3)
 
 
 @query("led5_confirmation_and_settlement", f"""WITH {TRADES}, {SESSIONS}
@@ -122,8 +128,8 @@ bk AS (SELECT supp, day, CAST(sum(cash) OVER w AS DOUBLE) + {INITIAL:.1f}::DOUBL
 books AS (SELECT *, cash + unsettled + coalesce(units * price, 0) AS equity, coalesce(units * price, 0) / (cash + unsettled + coalesce(units * price, 0)) AS weight FROM bk)"""
 
 
-def books(spark, sf):
-    return led.daily_books(settled(spark, sf), S, "day", "cash_date", INITIAL)
+def books(spark, sf, t=None):
+    return led.daily_books(settled(spark, sf, t), S, "day", "cash_date", INITIAL)
 
 
 @query("led6_daily_books", f"""WITH {TRADES}, {SESSIONS}, {BOOKS}
@@ -139,8 +145,10 @@ def daily_books(spark, sf):
 o AS (SELECT supp, sum(filled) AS b FROM fills WHERE side = 'buy' GROUP BY 1), u AS (SELECT supp, sum(matched) AS m FROM matches GROUP BY 1), l AS (SELECT supp, arg_max(units, day) AS units FROM books GROUP BY 1)
 SELECT rule, broken FROM br WHERE broken > 0 UNION ALL SELECT 'lots_conserved', count(*) FILTER (abs(l.units - (b - coalesce(m, 0))) > 1e-5) FROM o JOIN l USING (supp) LEFT JOIN u USING (supp)""")
 def invariant_checks(spark, sf):
-    t, m = matched(spark, sf)
-    b = books(spark, sf)
+    blocks = trade_blocks(spark, sf)
+    t = materialise(filled(spark, sf, blocks))
+    m = led.fifo_match(t, S, ORDER, blocks, position_blocks=POSITION_BLOCKS)
+    b = materialise(books(spark, sf, t))
     daily = led.ledger_violations(b, S, "day").groupBy("rule").agg(F.count(F.lit(1)).alias("broken"))
     lots = led.lots_conserved(b, led.open_lots(t, m, S), S, "day").agg(F.lit("lots_conserved").alias("rule"), F.count(F.lit(1)).alias("broken"))
     return daily.unionByName(lots.select("rule", "broken"))

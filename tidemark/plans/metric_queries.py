@@ -104,7 +104,7 @@ SELECT p.series_id, p.strategy, p.phase, round(p.return_pct, 4) AS return_pct, r
 FROM perf p JOIN perf h ON h.series_id = p.series_id AND h.phase = p.phase AND h.strategy = 'hold' WHERE p.strategy <> 'hold'""")
 def excess_over_hold(spark, sf):
     perf = met.performance(curves(spark, sf), K, "date", years=True, run_start="1995-03-01")
-    out = met.excess(perf.filter("strategy <> 'hold'"), perf.filter("strategy = 'hold'"), ["series_id", "phase"])
+    out = met.excess(perf, ["series_id", "phase"], F.col("strategy") == "hold")
     return out.select(*K, "phase", *[F.round(c, 4).alias(c) for c in ("return_pct", "excess_return_pp", "excess_cagr_pp")])
 
 
@@ -184,8 +184,7 @@ def portfolio_roll_up(spark, sf):
  round((0.5 * a.equity * a.weight + 0.5 * b.equity * b.weight) / (0.5 * a.equity + 0.5 * b.equity), 6) AS weight
 FROM curve a JOIN curve b USING (series_id, date) WHERE a.strategy = 'trend60' AND b.strategy = 'hold'""")
 def unbalanced_sleeves(spark, sf):
-    c = curves(spark, sf)
-    out = met.sleeves(c.filter("strategy = 'trend60'"), c.filter("strategy = 'hold'"), ["series_id", "date"])
+    out = met.sleeves(curves(spark, sf), ["series_id", "date"], F.col("strategy") == "trend60", F.col("strategy") == "hold")
     return out.select("series_id", "date", F.round("equity", 4).alias("equity"), F.round("weight", 6).alias("weight"))
 
 
@@ -206,7 +205,7 @@ def forecast_band_scoring(spark, sf):
 SELECT phase, count(*) AS candidates, round(avg(return_pct), 4) AS mean_return, round(median(return_pct), 4) AS median_return, count(*) FILTER (beat) AS beating FROM x GROUP BY 1""")
 def neighbourhood_summary(spark, sf):
     perf = met.performance(curves(spark, sf), K, "date", PHASES)
-    x = met.excess(perf.filter("strategy <> 'hold'"), perf.filter("strategy = 'hold'"), ["series_id", "phase"])
+    x = met.excess(perf, ["series_id", "phase"], F.col("strategy") == "hold")
     return x.groupBy("phase").agg(F.count(F.lit(1)).alias("candidates"), F.round(F.avg("return_pct"), 4).alias("mean_return"),
                                   F.round(F.median("return_pct"), 4).alias("median_return"), F.count_if(F.col("excess_return_pp") > 0).alias("beating"))
 
@@ -239,8 +238,8 @@ def last_sessions(spark, sf):
 SELECT phase, series_id, strategy, round(return_pct, 4) AS return_pct, CAST(place AS INTEGER) AS place FROM r WHERE place <= 10""")
 def best_return_within_drawdown(spark, sf):
     perf = met.performance(curves(spark, sf), K, "date", PHASES)
-    limit = perf.filter("strategy = 'trend120'").select("series_id", "phase", F.round("max_drawdown_pct", 6).alias("floor"))
-    kept = perf.filter("strategy <> 'trend120'").join(limit, ["series_id", "phase"]).filter(F.round("max_drawdown_pct", 6) >= F.col("floor"))
+    limit = F.max(F.when(F.col("strategy") == "trend120", F.round("max_drawdown_pct", 6))).over(Window.partitionBy("series_id", "phase"))
+    kept = perf.withColumn("floor", limit).filter("strategy <> 'trend120'").filter(F.round("max_drawdown_pct", 6) >= F.col("floor"))
     place = F.rank().over(Window.partitionBy("phase").orderBy(F.round("return_pct", 6).desc()))
     return kept.select("phase", "series_id", "strategy", F.round("return_pct", 4).alias("return_pct"), place.alias("place")).filter("place <= 10")
 

@@ -6,7 +6,7 @@ from tidemark.functions.scalars import ordered
 from tidemark.operators import indicators as ind
 from tidemark.operators import signals as sig
 from tidemark.plans.registry import query
-from tidemark.plans.views import BARS, RAW, index_bars, raw_bars
+from tidemark.plans.views import BARS, RAW, index_bars, kept_bars, raw_bars
 
 K = ["series_id"]
 RUN = "OVER (PARTITION BY series_id ORDER BY date ROWS UNBOUNDED PRECEDING)"
@@ -109,11 +109,11 @@ SELECT series_id, date, votes, {grid("tr90w * CASE WHEN votes >= 1 THEN 1 ELSE 0
 def legacy_macro_vote(spark, sf):
     raw = raw_bars(spark, sf).select("series_id", "date", "close")
     one = lambda p: raw.filter(F.col("series_id") == p).select("date", "close")
-    df = bars_of(spark, sf).withColumnRenamed("close", "price")
+    df = kept_bars(spark, sf).select("series_id", "date", F.col("close").alias("price"))
     df = sig.macro_votes(df, one("1-URGENT"), one("2-HIGH"), one("3-MEDIUM"), K, "date", "close")
     spec = dict(spec_id=1, family="legacy_macro", horizon=60)
-    out = sig.raw_signal(df, K, "date", "price", [spec], spread=False, carry=[])
-    return out.join(df.select("series_id", "date", "votes"), ["series_id", "date"]).select("series_id", "date", "votes", F.round("raw", 6).alias("raw"))
+    out = sig.raw_signal(df, K, "date", "price", [spec], spread=False, carry=["votes"])
+    return out.select("series_id", "date", "votes", F.round("raw", 6).alias("raw"))
 
 
 GATED = f"""

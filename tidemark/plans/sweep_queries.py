@@ -9,7 +9,8 @@ from tidemark.operators import sweep as swp
 from tidemark.plans.metric_queries import METRICS, curve_sql, perf_sql, rounded, rounded_sql
 from tidemark.plans.registry import query
 from tidemark.plans.signal_queries import RULES, RUN, W, hyst, mean, scale
-from tidemark.plans.views import BARS, PHASES, PHASES_SQL, index_bars
+from tidemark.plans.views import BARS, PHASES, PHASES_SQL, index_bars, kept_bars
+from tidemark.session import materialise
 
 K = ["series_id"]
 TRAIN = ["early", "middle"]
@@ -18,8 +19,8 @@ LIMITS = (-15.0, 70.0)
 SMALL_GRID = dict(family=swp.GRID["family"], horizon=[60, 120], cap=[0.65, 0.85], stop=[0.03], frequency=["weekly", "monthly"])
 
 
-def bars_of(spark, sf):
-    return index_bars(spark, sf).select("series_id", "date", "open", "high", "low", "close")
+def bars_of(spark, sf, keep=False):
+    return (kept_bars if keep else index_bars)(spark, sf).select("series_id", "date", "open", "high", "low", "close")
 
 
 def lit(v):
@@ -91,9 +92,9 @@ rk AS (SELECT fz.*, eligible, row_number() OVER (ORDER BY score DESC, spec_id) A
 SELECT family, spec_id, round(score, 6) AS score, eligible, CAST(frozen_rank AS INTEGER) AS frozen_rank, eligible AND sum(CAST(eligible AS INTEGER)) OVER (ORDER BY frozen_rank) <= 3 AS chosen FROM rk""")
 def select_freeze_validate(spark, sf):
     """Selection sees only bars up to the split; validation replays the winners alone."""
-    bars = bars_of(spark, sf)
+    bars = bars_of(spark, sf, keep=True)
     train = swp.sweep(bars.filter(F.col("date") <= "1998-12-31"), K, "date", SMALL, PHASES[:2])
-    frozen = swp.select_frozen(train, SMALL, "series_id", TRAIN, 4.0, LIMITS)
+    frozen = materialise(swp.select_frozen(train, SMALL, "series_id", TRAIN, 4.0, LIMITS))
     later = swp.sweep(bars, K, "date", SMALL, PHASES[:3], keep=frozen)
     out = swp.validate_frozen(frozen, later, ["early", "middle", "late"], LIMITS)
     return out.select("family", "spec_id", F.round("score", 6).alias("score"), "eligible", "frozen_rank", "chosen")
@@ -126,7 +127,7 @@ def _states(df, keys):
 
 @query("swp6_future_change_leaves_past", f"""WITH {BARS} SELECT count(*) * {len(RULES)} AS compared, CAST(0 AS BIGINT) AS changed_before_cut FROM bars WHERE date < DATE '1998-06-15'""")
 def future_change_leaves_past(spark, sf):
-    bars = bars_of(spark, sf).select("series_id", "date", "close")
+    bars = bars_of(spark, sf, keep=True).select("series_id", "date", "close")
     diff = swp.causality_diff(lambda d: _states(d, K), bars, "date", "1998-06-15", "close")
     n = bars.filter(F.col("date") < F.lit("1998-06-15").cast("date")).agg((F.count(F.lit(1)) * len(RULES)).alias("compared"))
     return n.select("compared", F.lit(diff.agg(F.count(F.lit(1))).scalar()).alias("changed_before_cut"))
@@ -137,7 +138,7 @@ CUTS = ["1996-05-01", "1997-11-03", "2000-02-29"]
 
 @query("swp7_prefix_replay", f"""WITH {BARS}, c(cut) AS (VALUES {', '.join(f"(DATE '{c}')" for c in CUTS)}) SELECT cut, count(*) * {len(RULES)} AS compared, CAST(0 AS BIGINT) AS differing FROM bars JOIN c ON date < cut GROUP BY 1""")
 def prefix_replay(spark, sf):
-    bars = bars_of(spark, sf).select("series_id", "date", "close")
+    bars = bars_of(spark, sf, keep=True).select("series_id", "date", "close")
     diff = swp.prefix_replay(_states, bars, K, "date", CUTS).groupBy("cut").agg(F.count(F.lit(1)).alias("d"))
     points = F.array(*[F.lit(c).cast("date") for c in CUTS])
     n = bars.select(F.explode(F.filter(points, lambda c: F.col("date") < c)).alias("cut")).groupBy("cut").agg((F.count(F.lit(1)) * len(RULES)).alias("compared"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import materialise
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -48,6 +50,11 @@ def index_bars(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def kept_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """The daily bars written once, for plans that read them more than once."""
+    return materialise(index_bars(spark, sf))
+
+
 BARS = """
 daily AS (
   SELECT l_returnflag || l_linestatus AS series_id, CAST(l_shipdate AS DATE) AS date,

@@ -14,6 +14,8 @@ def local_session(cpus: str = "8", partitions: str = "8", memory: str = "8g") ->
         .appName("tidemark")
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.sql.adaptive.enabled", "true")
+        # ordered windows are heavy per byte, so small partitions are worth a task
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
