@@ -16,12 +16,14 @@ from tidemark.functions.scalars import literal_rows, ordered
 from tidemark.operators.scan import running
 
 
-def align_exact_ffill(left: DataFrame, right: DataFrame, keys, t: str, cols: Sequence[str]) -> DataFrame:
+def align_exact_ffill(left: DataFrame, right: DataFrame, keys, t: str, cols: Sequence[str], on: Sequence[str] | None = None) -> DataFrame:
     """Match on equal time, then carry forward along the left calendar only.
 
-    Right rows on times the left side lacks are ignored, unlike in `asof_join`.
+    Right rows on times the left side lacks are ignored, unlike in `asof_join`. `on` is
+    keys and time unless all series share one source, then just the time.
     """
-    out = left.join(right.select(*keys, t, *cols), [*keys, t], "left")
+    on = list(on or [*keys, t])
+    out = left.join(right.select(*on, *cols), on, "left")
     if not keys:
         # one calendar: an explicit constant key, at most one row per day
         out = out.withColumn("__one", F.lit(1))

@@ -191,9 +191,13 @@ def ridge_walk_forward(bars: DataFrame, keys, t: str, window: int = 504, horizon
                 i, j = z.index(a), z.index(b)
                 second[:, i, j] = second[:, j, i] = m[f"q_{a}_{b}"] / n
             cov = second - mean[:, :, None] * mean[:, None, :]
-            sd = np.sqrt(np.maximum(np.diagonal(cov, axis1=1, axis2=2)[:, :k], 1e-18))
-            xx = cov[:, :k, :k] / sd[:, :, None] / sd[:, None, :]
-            xy = cov[:, :k, k] / sd
+            var = np.diagonal(cov, axis1=1, axis2=2)[:, :k]
+            # a feature that does not vary (up to rounding) gets no weight
+            flat = var <= 1e-12 * np.diagonal(second, axis1=1, axis2=2)[:, :k]
+            sd = np.sqrt(np.where(flat, 1.0, var))
+            live = np.where(flat, 0.0, 1.0)
+            xx = cov[:, :k, :k] / sd[:, :, None] / sd[:, None, :] * live[:, :, None] * live[:, None, :]
+            xy = cov[:, :k, k] / sd * live
             beta = np.linalg.solve(xx + alpha / n[:, None, None] * np.eye(k), xy[:, :, None])[:, :, 0] / sd
             bias = mean[:, k] - (beta * mean[:, :k]).sum(axis=1)
             out = m[[*keys, "month", "n"]].copy()

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import convert_unit
 from tidemark.operators import align
 from tidemark.operators import indicators as ind
+from tidemark.operators.scan import blocks_if_hot
 from tidemark.plans.registry import query
 from tidemark.plans.views import (BARS, CAL, FX, NEWS, PHASES, PHASES_SQL, RAW, fx_rates, index_bars, kept_bars, news,
                                   product_calendar, raw_bars, table)
@@ -21,9 +22,7 @@ WITH {RAW}, {FX}, j AS (SELECT r.series_id, r.date, f.fx FROM raw r LEFT JOIN fx
 SELECT series_id, date, last_value(fx IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS fx FROM j""")
 def exact_then_forward_fill(spark, sf):
     left = raw_bars(spark, sf).select("series_id", "date")
-    joined = left.join(fx_rates(spark, sf), "date", "left")
-    rates = joined.select("series_id", "date", "fx")
-    return align.align_exact_ffill(left, rates, K, "date", ["fx"])
+    return align.align_exact_ffill(left, fx_rates(spark, sf), K, "date", ["fx"], on=["date"])
 
 
 @query("jn2_backward_asof", f"""
@@ -62,7 +61,8 @@ def asof_on_ticks(spark, sf):
     ev = table(spark, sf, "events").filter(F.col("event_type").isin("purchase", "view"))
     buys = ev.filter("event_type = 'purchase'").select("user_id", "ts", "event_id")
     views = ev.filter("event_type = 'view'").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
-    blocks = {"month": F.date_trunc("month", F.col("ts")), "hour": F.date_trunc("hour", F.col("ts"))}
+    hot = blocks_if_hot(ev, ["user_id"], ["day", "minute"])
+    blocks = {name: F.date_trunc(name, F.col("ts")) for name in hot}
     out = align.asof_join(buys, views, ["user_id"], "ts", ["value"], match_time="view_ts", blocks=blocks)
     return out.select("event_id", "user_id", "view_ts", "value")
 
