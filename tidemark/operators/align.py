@@ -82,14 +82,15 @@ def exclude(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
 def to_phases(df: DataFrame, phases, t: str, label: str = "phase") -> DataFrame:
     """One copy of each row per named phase [start, end] it falls in.
 
-    Phases are a short parameter list, so the match is an expression and not a join.
+    Phases are a short parameter list: rows meet a constant array and are filtered in the
+    same generated code, without a join.
     """
     rows = F.array(*[
         F.struct(F.lit(a).alias(label), F.lit(b).cast("date").alias("phase_start"), F.lit(c).cast("date").alias("phase_end"))
         for a, b, c in phases
     ])
-    hits = F.filter(rows, lambda p: (F.col(t) >= p["phase_start"]) & (F.col(t) <= p["phase_end"]))
-    return df.withColumn("__p", F.explode(hits)).select(*df.columns, "__p.*")
+    out = df.select("*", F.inline(rows))
+    return out.filter((F.col(t) >= F.col("phase_start")) & (F.col(t) <= F.col("phase_end")))
 
 
 def with_specs(df: DataFrame, specs: Sequence[dict]) -> DataFrame:
@@ -190,6 +191,21 @@ def two_way_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return net.withColumn("side", F.when(F.col("copies") > 0, "first").otherwise("second")).withColumn("copies", F.abs("copies"))
 
 
+def dense_rank_all(df: DataFrame, group: Sequence[str], score: str, out: str = "place", width: float | None = None) -> DataFrame:
+    """Dense rank of every row by falling score.
+
+    Only the distinct scores are ordered; with `width` they are scanned in blocks of that
+    score range, so even one huge group is spread over many tasks.
+    """
+    levels = df.select(*group, score).distinct().withColumns({"__low": -F.col(score), "__one": F.lit(1)})
+    blocks = []
+    if width:
+        levels = levels.withColumn("__block", F.floor(F.col("__low") / width))
+        blocks = ["__block"]
+    ranked = running(levels, group, ["__low"], {out: ("sum", "__one")}, blocks).select(*group, score, F.col(out).cast("int").alias(out))
+    return df.join(ranked, [*group, score])
+
+
 def first_in_group(df: DataFrame, group: Sequence[str], *order) -> DataFrame:
     """Best row per group by the given order, e.g. score descending then id."""
     w = Window.partitionBy(*group).orderBy(*order)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import col, ordered, week_ending_friday
+from tidemark.functions.scalars import col, ordered
 
 TRADING_DAYS = 252
 
@@ -216,7 +216,3 @@ def attention_z(df: DataFrame, keys, day: str, n: str, days: int = 90) -> DataFr
 def rebase(df: DataFrame, keys, t: str, x: str, out: str = "rebased", level: float = 100.0) -> DataFrame:
     w = ordered(keys, t).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(out, F.col(x) / F.first(x).over(w) * level)
-
-
-def week_key(d) -> Column:
-    return week_ending_friday(d)

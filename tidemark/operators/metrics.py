@@ -195,8 +195,7 @@ def score_bands(bars: DataFrame, keys, t: str, bands: Sequence[dict]) -> DataFra
     """How the price kept to published bands (id, start, end, lower, upper)."""
     rows = F.array(*[F.struct(F.lit(b["id"]).alias("band"), F.lit(b["start"]).cast("date").alias("a"), F.lit(b["end"]).cast("date").alias("z"),
                               F.lit(float(b["lower"])).alias("lower"), F.lit(float(b["upper"])).alias("upper")) for b in bands])
-    hit = F.filter(rows, lambda b: (F.col(t) >= b["a"]) & (F.col(t) <= b["z"]))
-    df = bars.withColumn("__b", F.explode(hit)).select(*keys, t, "high", "low", "close", "__b.*")
+    df = bars.select(*keys, t, "high", "low", "close", F.inline(rows)).filter((F.col(t) >= F.col("a")) & (F.col(t) <= F.col("z")))
     inside = (F.col("close") >= F.col("lower")) & (F.col("close") <= F.col("upper"))
     all_in = (F.col("low") >= F.col("lower")) & (F.col("high") <= F.col("upper"))
     return df.groupBy(*keys, "band").agg(

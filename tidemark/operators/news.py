@@ -60,18 +60,22 @@ def words(text: str) -> Column:
 def novelty(df: DataFrame, doc: str, position: Sequence[str], text: str) -> DataFrame:
     """Share of a document's distinct words that no earlier document had used.
 
-    A word is owned by the first document using it (one partially aggregated pass), so no
-    two documents are ever paired.
+    A word is owned by the first document using it, so no two documents are ever paired. One
+    marker row per document, owned by itself, carries its word count through the same
+    aggregation: each text is split once and nothing is joined back.
     """
+    mark = "\x00"
     df = df.withColumn("__w", words(text))
+    marker = F.concat(F.lit(mark), F.col(doc).cast("string"), F.lit(mark), F.size("__w").cast("string"))
     # without a position the bare id is aggregated, which stays hash based
     order = F.struct(*position, F.col(doc)) if position else F.col(doc)
-    owned = df.select(F.explode("__w").alias("word"), order.alias("__o")).groupBy("word").agg(F.min("__o").alias("__o"))
+    rows = df.select(order.alias("__o"), F.explode(F.concat(F.array(marker), "__w")).alias("word"))
+    owned = rows.groupBy("word").agg(F.min("__o").alias("__o"))
     owner = F.col(f"__o.{doc}") if position else F.col("__o")
-    new = owned.groupBy(owner.alias(doc)).agg(F.count(F.lit(1)).alias("new_words"))
-    out = df.select(doc, F.size("__w").alias("words")).join(new, doc, "left")
-    new_words = F.coalesce("new_words", F.lit(0))
-    return out.select(doc, "words", new_words.alias("new_words"), F.try_divide(new_words, "words").alias("novelty"))
+    is_mark = F.col("word").startswith(mark)
+    out = owned.groupBy(owner.alias(doc)).agg(
+        F.max(F.when(is_mark, F.substring_index("word", mark, -1).cast("int"))).alias("words"), F.count_if(~is_mark).alias("new_words"))
+    return out.withColumn("novelty", F.try_divide("new_words", "words"))
 
 
 def field_completeness(df: DataFrame, by: Sequence[str], fields: Sequence[str]) -> DataFrame:

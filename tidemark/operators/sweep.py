@@ -11,7 +11,6 @@ from collections.abc import Callable, Sequence
 from itertools import product
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T

@@ -7,7 +7,7 @@ from tidemark.operators import align
 from tidemark.operators import indicators as ind
 from tidemark.operators.scan import blocks_if_hot
 from tidemark.plans.registry import query
-from tidemark.plans.views import (BARS, CAL, FX, NEWS, PHASES, PHASES_SQL, RAW, fx_rates, index_bars, kept_bars, news,
+from tidemark.plans.views import (BARS, CAL, FX, PHASES, PHASES_SQL, RAW, fx_rates, index_bars, kept_bars,
                                   product_calendar, raw_bars, table)
 
 K = ["series_id"]

@@ -2,9 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import ordered
 from tidemark.operators import events as evt
-from tidemark.operators import indicators as ind
 from tidemark.operators import news as nws
 from tidemark.operators import stats as sta
 from tidemark.plans.registry import query

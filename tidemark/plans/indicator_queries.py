@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import month_key, ordered, simple_return, week_ending_friday
 from tidemark.operators import indicators as ind
 from tidemark.plans.registry import query
-from tidemark.plans.views import BARS, NEWS, RAW, index_bars, news, raw_bars, table
+from tidemark.plans.views import BARS, NEWS, index_bars, news, table
 
 K = ["series_id"]
 

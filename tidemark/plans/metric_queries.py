@@ -10,19 +10,20 @@ from tidemark.operators import metrics as met
 from tidemark.operators import signals as sig
 from tidemark.plans.registry import query
 from tidemark.plans.signal_queries import FEATURES, W
-from tidemark.plans.views import BARS, PHASES, PHASES_SQL, RAW, index_bars, raw_bars, table
+from tidemark.plans.views import BARS, PHASES, PHASES_SQL, RAW, index_bars, raw_bars
+from tidemark.session import materialise
 
 K = ["series_id", "strategy"]
 TREND_DAYS = {"trend30": 30, "trend60": 60, "trend120": 120}
 COST = 0.003
 
 
-def strategy_weights(spark, sf):
-    """Bars with the delayed weight of three trend rules and of holding."""
+def strategy_weights(spark, sf, trends=tuple(TREND_DAYS)):
+    """Bars with the delayed weight of the named trend rules and of holding."""
     df = index_bars(spark, sf).select("series_id", "date", "open", "high", "low", "close")
-    df = ind.moving_means(df, ["series_id"], "date", "close", list(TREND_DAYS.values()))
+    df = ind.moving_means(df, ["series_id"], "date", "close", [TREND_DAYS[t] for t in trends])
     w = ordered(["series_id"], "date")
-    rules = {name: sig.latest_event(sig.hysteresis_event("close", f"ma_{n}", 0.02), ["series_id"], "date") for name, n in TREND_DAYS.items()}
+    rules = {t: sig.latest_event(sig.hysteresis_event("close", f"ma_{TREND_DAYS[t]}", 0.02), ["series_id"], "date") for t in trends}
     df = df.withColumns(rules)
     df = df.withColumns({name: F.lag(name, 1, 0.0).over(w) for name in rules}).withColumn("hold", F.lit(1.0))
     pairs = F.array(*[F.struct(F.lit(n).alias("strategy"), F.col(n).alias("weight")) for n in [*rules, "hold"]])
@@ -80,7 +81,7 @@ def equity_curve(spark, sf):
 @query("agg1_trend_against_hold", f"{BASE}, {IN_PHASES} {rounded_sql('series_id, strategy, phase')} WHERE strategy IN ('trend120', 'hold') AND phase = 'full'")
 def trend_against_hold(spark, sf):
     """Per series: return, CAGR and drawdown of a 120-day trend rule and of holding."""
-    df = strategy_weights(spark, sf).filter(F.col("strategy").isin("trend120", "hold"))
+    df = strategy_weights(spark, sf, ["trend120"])
     perf = met.performance(met.equity_curve(df, K, "date", cost=COST), K, "date", [PHASES[-1]])
     return rounded(perf, *K, "phase")
 
@@ -247,5 +248,5 @@ def best_return_within_drawdown(spark, sf):
 @query("top5_all_combinations_ranked", f"""{BASE}, {IN_PHASES}
 SELECT series_id, strategy, phase, CAST(dense_rank() OVER (PARTITION BY phase ORDER BY round(return_pct, 6) DESC) AS INTEGER) AS place FROM perf""")
 def all_combinations_ranked(spark, sf):
-    place = F.dense_rank().over(Window.partitionBy("phase").orderBy(F.round("return_pct", 6).desc()))
-    return met.performance(curves(spark, sf), K, "date", PHASES).select(*K, "phase", place.alias("place"))
+    perf = materialise(met.performance(curves(spark, sf), K, "date", PHASES).select(*K, "phase", F.round("return_pct", 6).alias("r")))
+    return align.dense_rank_all(perf, ["phase"], "r", width=5.0).drop("r")

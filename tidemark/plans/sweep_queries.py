@@ -6,9 +6,9 @@ from tidemark.operators import align
 from tidemark.operators import indicators as ind
 from tidemark.operators import signals as sig
 from tidemark.operators import sweep as swp
-from tidemark.plans.metric_queries import METRICS, curve_sql, perf_sql, rounded, rounded_sql
+from tidemark.plans.metric_queries import curve_sql, perf_sql, rounded, rounded_sql
 from tidemark.plans.registry import query
-from tidemark.plans.signal_queries import RULES, RUN, W, hyst, mean, scale
+from tidemark.plans.signal_queries import RULES, RUN, W, hyst, mean
 from tidemark.plans.views import BARS, PHASES, PHASES_SQL, index_bars, kept_bars
 from tidemark.session import materialise
 
