@@ -135,8 +135,6 @@ def raw_signal(df: DataFrame, keys, t: str, x: str, specs: Sequence[dict], carry
 
     by_shape = {k: [s for s in specs if (s["horizon"], s["exit_days"]) == hx] for hx, k in shape_id.items()}
     df = df.withColumn("s", F.explode(F.element_at(literal_groups(by_shape), F.col("f.shape").cast("string"))))
-    if spread:
-        df = df.withColumn("spec_id", F.col("s.spec_id")).repartition(*keys, "spec_id").drop("spec_id")
 
     cap, fam = F.col("s.cap"), F.col("s.family")
     scaled = ratio_clip(F.col("s.vol_target"), "__vol40", 0.2, 1.0)
@@ -157,10 +155,12 @@ def raw_signal(df: DataFrame, keys, t: str, x: str, specs: Sequence[dict], carry
         raw = raw.when(fam == "legacy_macro", F.col("__tr90w") * (F.col("votes") >= 1).cast("double") * cap)
     calm = fam.startswith("legacy") | (fam == "hold")
     review = F.when(fam == "hold", F.col("i") == 1).when(F.col("s.frequency") == "monthly", F.col("__new_month")).otherwise(F.col("__new_week"))
-    return df.select(
+    out = df.select(
         *keys, t, *carry, "i", quantise(raw).alias("raw"),
         (~calm & F.coalesce(f("dd") < -F.col("s.stop"), F.lit(False))).alias("danger"), review.alias("review"), "s.*",
     )
+    # shuffled last, when rows are narrow
+    return out.repartition(*keys, "spec_id") if spread else out
 
 
 def gated_target(df: DataFrame, keys, t: str, raw="raw", danger="danger", review="review", i="i", cooldown="cooldown", out="target") -> DataFrame:

@@ -24,7 +24,8 @@ def index_bars(spark: SparkSession, sf: str) -> DataFrame:
         .select(
             F.concat("l_returnflag", "l_linestatus").alias("series_id"),
             F.col("l_shipdate").cast("date").alias("date"),
-            F.col("l_discount").cast("decimal(9,4)").alias("disc"),
+            # 8 digits keep the sum within 18, where decimals are plain longs
+            F.col("l_discount").cast("decimal(8,4)").alias("disc"),
             F.col("l_tax").alias("tax"),
             F.col("l_quantity").alias("qty"),
         )

@@ -16,6 +16,8 @@ def local_session(cpus: str = "8", partitions: str = "8", memory: str = "8g") ->
         .config("spark.sql.adaptive.enabled", "true")
         # ordered windows are heavy per byte, so small partitions are worth a task
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        # do not record the Python call site of every column expression
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
