@@ -10,7 +10,10 @@ from tidemark.plans.views import (BARS, CAL, FX, NEWS, RAW, fx_rates, index_bars
                                   table)
 
 K = ["series_id"]
-W = sc.ordered(K, "date")
+
+
+def by_date():
+    return sc.ordered(K, "date")
 
 
 @query("prj1_unit_conversion", f"""
@@ -24,14 +27,14 @@ def unit_conversion(spark, sf):
 WITH {BARS} SELECT series_id, date, round(close / lag(close, 60) OVER w - 1, 6) AS r60, round(close / lag(close, 1) OVER w - 1, 6) AS r1
 FROM bars WINDOW w AS (PARTITION BY series_id ORDER BY date)""")
 def simple_return(spark, sf):
-    return index_bars(spark, sf).select("series_id", "date", F.round(sc.simple_return("close", 60, W), 6).alias("r60"),
-                                        F.round(sc.simple_return("close", 1, W), 6).alias("r1"))
+    return index_bars(spark, sf).select("series_id", "date", F.round(sc.simple_return("close", 60, by_date()), 6).alias("r60"),
+                                        F.round(sc.simple_return("close", 1, by_date()), 6).alias("r1"))
 
 
 @query("prj3_difference", f"""
 WITH {BARS} SELECT series_id, date, round(close - lag(close, 60) OVER (PARTITION BY series_id ORDER BY date), 6) AS d60 FROM bars""")
 def difference(spark, sf):
-    return index_bars(spark, sf).select("series_id", "date", F.round(sc.difference("close", 60, W), 6).alias("d60"))
+    return index_bars(spark, sf).select("series_id", "date", F.round(sc.difference("close", 60, by_date()), 6).alias("d60"))
 
 
 @query("prj4_clip", """
