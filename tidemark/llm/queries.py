@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, mixing, sharding
+from tidemark.llm import decontamination, line_dedup, mixing, sharding
 from tidemark.llm.registry import query
 
 #: Production shards; two of them take double turns.
@@ -16,6 +16,40 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+OP2_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+items AS (
+  SELECT item_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM benchmark),
+starts AS (SELECT *, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS k FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(w[k : k + n - 1], ' ') AS words FROM starts),
+doc_starts AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n),
+hits AS (
+  SELECT d.doc_id, d.k, d.n, x.item_id FROM (SELECT doc_id, n, k, array_to_string(w[k : k + n - 1], ' ') AS words FROM doc_starts) d
+  JOIN windows x ON d.n = x.n AND d.words = x.words),
+hit_words AS (
+  SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS i FROM (SELECT DISTINCT doc_id, k, n FROM hits))
+  GROUP BY doc_id),
+hit_items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
+       sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items i USING (doc_id)
+"""
+
+
+@query("op2_fm_decontamination", OP2_SQL)
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    """Words and items of the benchmark in each document."""
+    marked = decontamination.mark(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"), drop=("text",))
+    hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["first"])
+    return marked.select("doc_id", F.col("__n_words").alias("n_words"), hit.alias("n_hit"), F.size("__items").cast("long").alias("n_items"),
+                         F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
 OP5_SQL = """
 WITH lines AS (
   SELECT doc_id, source, text, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS line

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def folder(spark: SparkSession) -> str:
@@ -29,3 +32,22 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     path = fresh(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def added(df: DataFrame, factory, columns: dict[str, str], drop: tuple[str, ...] = ()) -> DataFrame:
+    """df with columns that Python computes from Arrow batches, without a shuffle.
+
+    factory() is called once per task and gives a function from a record batch to {name: array}. Columns of
+    df that are to be dropped or that have the name of a new one are left out.
+    """
+    kept = [f for f in df.schema.fields if f.name not in columns and f.name not in drop]
+    new = StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in columns.items()))
+    names = [f.name for f in kept] + list(columns)
+
+    def run(batches):
+        make = factory()
+        for batch in batches:
+            made = make(batch)
+            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + [made[c] for c in columns], names)
+
+    return df.mapInArrow(run, StructType(kept + new.fields))
