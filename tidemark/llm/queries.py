@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, line_dedup, mixing, sharding
+from tidemark.llm import decontamination, line_dedup, mixing, quality, sharding
 from tidemark.llm.registry import query
 
 #: Production shards; two of them take double turns.
@@ -16,6 +16,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op1_quality_trees")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    """Base rules and boosted trees, fitted on the labelled documents."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return quality.score(docs, quality.train(docs, table(spark, sf, "labels")), drop=("text",))
+
+
 OP2_SQL = r"""
 WITH docs AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
