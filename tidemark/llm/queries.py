@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, line_dedup, mixing, quality, sharding
+from tidemark.llm import decontamination, language, line_dedup, mixing, quality, sharding
 from tidemark.llm.registry import query
 
 #: Production shards; two of them take double turns.
@@ -89,6 +89,16 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars_left"), F.md5("text").alias("text_md5"))
 
 
+@query("op6_language_mixture")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    """The language of each document, learned from the documents that are not held out."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang").withColumn("held_out", language.held_out(F.col("doc_id")))
+    model = language.learn(docs.where(~F.col("held_out")))
+    found = language.identify(docs.select("doc_id", "held_out", "text"), model, drop=("text",))
+    shares = F.transform(F.map_entries("lang_shares"), lambda x: F.concat_ws("=", x["key"], F.round(x["value"], 4).cast("string")))
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.array_join(shares, ",").alias("lang_shares"))
+
+
 @query("op8_entropy_mix")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     """What the mix takes of each document."""
