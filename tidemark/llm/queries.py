@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, language, line_dedup, mixing, quality, sharding
+from tidemark.llm import decontamination, language, line_dedup, mixing, quality, sharding, site_tree
 from tidemark.llm.registry import query
 
 #: Production shards; two of them take double turns.
@@ -57,6 +57,12 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
                          F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+@query("op3_site_style_tree")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of each page."""
+    return site_tree.extract(table(spark, sf, "pages").select("page_id", "url", "html"), drop=("html",))
+
+
 OP5_SQL = """
 WITH lines AS (
   SELECT doc_id, source, text, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS line
