@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, language, line_dedup, mixing, quality, sharding, site_tree
+from tidemark.llm import decontamination, language, line_dedup, mixing, quality, sharding, site_tree, token_counts
 from tidemark.llm.registry import query
 
+#: Folder of the public tokenizers' files, where their package is not installed.
+TOKENIZERS = "/opt/tokenizers"
+
 #: Production shards; two of them take double turns.
 SHARDS = {f"shard-{i:03d}": 2 if i < 2 else 1 for i in range(64)}
 
@@ -118,3 +121,20 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     """Slot and shard of each document."""
     docs = table(spark, sf, "documents").select("doc_id")
     return sharding.place(docs, SHARDS, slot_column="slot").select("doc_id", "slot", "shard")
+
+
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file lies."""
+    try:
+        import public_tokenizers
+    except ModuleNotFoundError:
+        return f"{TOKENIZERS}/{name}"
+    return str(public_tokenizers.path(name))
+
+
+@query("op10_viterbi_counts")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of each document by a unigram tokenizer."""
+    vocabulary = token_counts.from_sentencepiece(tokenizer_file("piece_bpe_32k.model"))
+    docs = table(spark, sf, "documents").select("doc_id", "text").withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    return token_counts.count_tokens(docs, vocabulary, drop=("text",))
