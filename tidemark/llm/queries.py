@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, language, line_dedup, mixing, quality, sharding, site_tree, token_counts
+from tidemark.llm import decontamination, jaccard, language, line_dedup, mixing, quality, sharding, site_tree, token_counts
 from tidemark.llm.registry import query
 
 #: Folder of the public tokenizers' files, where their package is not installed.
@@ -66,6 +66,13 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     return site_tree.extract(table(spark, sf, "pages").select("page_id", "url", "html"), drop=("html",))
 
 
+@query("op4_metric_jaccard_join")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of documents linked at a Jaccard similarity of 0.9 of 3-word shingles."""
+    found = jaccard.linked_components(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 OP5_SQL = """
 WITH lines AS (
   SELECT doc_id, source, text, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS line
