@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import written
+
 #: A line on more than this share of a host's pages is boilerplate.
 RATIO = 0.05
 #: ... but only if that many pages contain it; a host of few pages tells nothing.
@@ -49,7 +51,8 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     `dropped_column` names a column for the number of lines taken (0 for null texts); a column of docs
     with that name is replaced.
     """
-    bad = boilerplate(docs, host, text, ratio, least_pages).withColumnRenamed("__host", "__bad_host")
+    # written first, so that Spark knows its size when it plans the join
+    bad = written(boilerplate(docs, host, text, ratio, least_pages), "boilerplate").withColumnRenamed("__host", "__bad_host")
     joined = docs.join(bad, docs[host].eqNullSafe(bad["__bad_host"]), "left")
     lines = lines_of(F.col(text))
     kept = F.filter(lines, lambda x: ~F.array_contains(F.col("__lines"), key_of(x)) | (F.trim(x) == ""))

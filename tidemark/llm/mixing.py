@@ -20,7 +20,7 @@ WEIGHTS = (3, 1, 2)
 MOST = 2
 MICRO = 1_000_000
 #: Documents of one source and size that are ranked together.
-GROUP = 5_000
+GROUP = 500
 TOLERANCE = 1e-9
 ROUNDS = 60
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, jaccard, language, line_dedup, mixing, quality, sharding, site_tree, token_counts
+from tidemark.llm import decontamination, jaccard, language, line_dedup, mixing, quality, sharding, site_tree, token_counts, token_output
 from tidemark.llm.registry import query
+from tidemark.llm.shared import fresh
 
 #: Folder of the public tokenizers' files, where their package is not installed.
 TOKENIZERS = "/opt/tokenizers"
@@ -115,6 +116,15 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", F.array_join(shares, ",").alias("lang_shares"))
 
 
+@query("op7_token_files")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    """Write all documents' token ids and read them back."""
+    path = fresh(spark, "token-ids")
+    with open(tokenizer_file("byte_bpe_50k.json"), encoding="utf-8") as f:
+        token_output.write_ids(table(spark, sf, "documents").select("doc_id", "text"), path, f.read())
+    return token_output.digests(spark, path)
+
+
 @query("op8_entropy_mix")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     """What the mix takes of each document."""
