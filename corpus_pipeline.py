@@ -3,25 +3,44 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, queries, sharding
+from tidemark.llm import decontamination, jaccard, language, mixing, queries, sharding
 from tidemark.llm.registry import ORACLES, QUERIES
 from tidemark.llm.shared import fresh
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A document goes if no language has at least this share of it.
+LEAST_SHARE = 0.5
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a known language; those without a letter, or in which no language prevails, go."""
+    model = language.learn(docs.where(~language.held_out(F.col("doc_id"))))
+    found = language.identify(docs, model).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
+    return found.select(docs.columns)
+
+
+def join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return jaccard.one_per_component(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark window occurs."""
+    return decontamination.without_hits(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    return mixing.mix(docs.select(*COLUMNS))
+    return mixing.mix(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the shard that each copy goes to."""
-    return sharding.place(docs.select(*COLUMNS), queries.SHARDS)
+    """Documents with the shard that they go to; copies of one document go together."""
+    return sharding.place(docs, queries.SHARDS)
 
 
-STAGES = [("mixing", mix), ("sharding", shard)]
+STAGES = [("language", identify), ("jaccard-join", join), ("decontamination", decontaminate), ("mixing", mix), ("sharding", shard)]
 
 #: The language stage is an iterative model, so SQL can't express the pipeline; tests/llm compares it with plain Python.
 ORACLE_SQL = None

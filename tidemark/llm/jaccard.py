@@ -328,3 +328,22 @@ def linked_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     out = sets.join(of_class, "__class", "left")
     own = F.when(F.col("__class").isNull(), F.col(doc_id)).otherwise(F.col("component_id"))
     return out.select(doc_id, F.col("__n").alias("n_shingles"), own.alias("component_id"), F.col("__class").alias("shingle_class"))
+
+
+def one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each component: the one of the least id, of rows that repeat id and text any one. Columns of docs.
+
+    Rows of null id stay if no row of their component has an id; rows without shingles all stay.
+    """
+    found = written(linked_components(docs, doc_id, text, n, percent), "components")
+    least = found.where(F.col("shingle_class").isNotNull() & F.col(doc_id).eqNullSafe(F.col("component_id")))
+    # a component's least id can have several texts; one of them is kept
+    first = least.groupBy(F.col(doc_id).alias("__id")).agg(F.min("shingle_class").alias("__kept"), F.count(F.lit(1)).alias("__rows"))
+    first = written(first.select("__id", "__kept", "__rows"), "kept")
+    rows = keyed(docs, text, n).join(first, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__class") == F.col("__kept")), "left")
+    rows = rows.where(F.col("__class").isNull() | F.col("__kept").isNotNull())
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    if first.where("__rows > 1").isEmpty():
+        return rows.select(names)
+    many = rows.where("__rows > 1").dropDuplicates([doc_id, "__class"])
+    return rows.where("__rows IS NULL OR __rows = 1").select(names).unionByName(many.select(names))
