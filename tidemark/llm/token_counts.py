@@ -63,6 +63,7 @@ class Counter:
         self.length = np.array([len(x) for x in v.pieces], np.int64)
         self.score = np.array(v.scores, float)
         self.unk_score = float(self.score.min()) - UNK_PENALTY
+        self.unk_id, self.unk_bytes = v.unk_id, len(v.pieces[v.unk_id].encode())
         self.bytes = v.byte_fallback and all(f"<0x{b:02X}>" in ids for b in range(256))
         self.alone = np.zeros(0x110000, bool)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
@@ -75,7 +76,7 @@ class Counter:
         self.known, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def units(self, units: list[str]) -> np.ndarray:
-        """Number of pieces of each unit. A unit holds no NUL: `_clean` has replaced it by another unknown character."""
+        """Number of pieces of each unit. A unit holds no NUL."""
         out, at = np.zeros(len(units), np.int64), 0
         sizes = np.cumsum([len(x) + 1 for x in units]) if units else np.zeros(0, np.int64)
         while at < len(units):
@@ -96,14 +97,17 @@ class Counter:
         length = np.concatenate([self.length[found[:, 1]], np.ones(len(lone), np.int64)])
         score = np.concatenate([self.score[found[:, 1]], np.full(len(lone), self.unk_score)])
         width = np.where(code < 0x80, 1, np.where(code < 0x800, 2, np.where(code < 0x10000, 3, 4)))
-        pieces = np.concatenate([np.ones(len(found), np.int64), width[lone] if self.bytes else np.zeros(len(lone), np.int64)])
-        unknown = np.concatenate([np.zeros(len(found), bool), np.ones(len(lone), bool)])
+        # the unknown piece's own text, if it stands in a text, joins a run of unknown characters
+        named = found[:, 1] == self.unk_id
+        pieces = np.concatenate([np.where(named, self.unk_bytes, 1), width[lone]])
+        unknown, named = np.concatenate([named, np.ones(len(lone), bool)]), np.concatenate([named, np.zeros(len(lone), bool)])
         unit = np.searchsorted(begin, end - 1, "right") - 1
         local = end - begin[unit]
         short = size[unit] <= LONG
         order = np.argsort(np.where(short, local, LONG + 1) * (len(text) + 1) + end, kind="stable")
-        end, length, score, pieces, unknown, local, short = end[order], length[order], score[order], pieces[order], unknown[order], local[order], short[order]
+        end, length, score, pieces, unknown, named, local, short = (x[order] for x in (end, length, score, pieces, unknown, named, local, short))
         best, count, after_unk = np.full(len(text) + 1, -np.inf), np.zeros(len(text) + 1, np.int64), np.zeros(len(text) + 1, bool)
+        owed = np.zeros(len(text) + 1, np.int64)  # what a lone unknown piece costs more if its run goes on
         best[begin] = 0.0
         edges = np.searchsorted(np.where(short, local, LONG + 1), np.arange(1, LONG + 3))
         for k in range(LONG):
@@ -118,16 +122,23 @@ class Counter:
             chosen = np.minimum.reduceat(which, group)
             target, origin = to[group], start[chosen]
             best[target] = top
-            unk = unknown[a:b][chosen]
-            more = pieces[a:b][chosen] if self.bytes else np.where(unk, ~after_unk[origin], 1)
+            unk, begins, cost = unknown[a:b][chosen], named[a:b][chosen] & ~after_unk[origin], pieces[a:b][chosen]
+            if self.bytes:
+                more = np.where(unk, np.where(begins, 1, cost + owed[origin]), 1)
+                owed[target] = np.where(begins, cost - 1, 0)
+            else:
+                more = np.where(unk, ~after_unk[origin], 1)
             count[target] = count[origin] + more
             after_unk[target] = unk
         for k in range(edges[LONG], len(end)):
             to, origin = end[k], end[k] - length[k]
             value = best[origin] + score[k]
             if value > best[to]:
-                best[to], after_unk[to] = value, unknown[k]
-                count[to] = count[origin] + (pieces[k] if self.bytes or not unknown[k] else int(not after_unk[origin]))
+                best[to] = value
+                begins = named[k] and not after_unk[origin]
+                more = 1 if not unknown[k] else int(not after_unk[origin]) if not self.bytes else 1 if begins else pieces[k] + owed[origin]
+                owed[to] = pieces[k] - 1 if begins else 0
+                count[to], after_unk[to] = count[origin] + more, unknown[k]
         return count[begin + size]
 
     def slice(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -159,23 +170,31 @@ class Counter:
         return np.bincount(doc, counts[inverse], n_docs).astype(np.int64)
 
 
-def _clean(column: pa.Array) -> pa.Array:
-    """Spaces for markers, and another character without a piece of the same width for NUL, which separates units here."""
-    return pc.replace_substring(pc.replace_substring(column, MARK, " "), "\0", "\x01")
+def _stand_in(v: Vocabulary) -> str:
+    """An unknown character of one byte, to be counted in place of NUL, which separates units here."""
+    used = set("".join(v.pieces))
+    free = [c for c in map(chr, range(1, 0x80)) if c not in used and c != " "]
+    if "\0" in used or not free:
+        raise ValueError("the vocabulary must leave NUL and another ASCII character free")
+    return free[0]
+
+
+def _clean(column: pa.Array, stand_in: str) -> pa.Array:
+    """Spaces for markers, and the stand-in for NUL."""
+    return pc.replace_substring(pc.replace_substring(column, MARK, " "), "\0", stand_in)
 
 
 def count_tokens(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", column: str = "n_tokens", drop: tuple[str, ...] = ()) -> DataFrame:
     """docs with the number of tokens of each text; 0 for null and empty texts. One row per row of docs, no shuffle; a column of docs
     that has the name of the new one is replaced."""
-    if any(x in vocabulary.pieces for x in ("\0", "\x01")):
-        raise ValueError("pieces must not be control characters")
+    stand_in = _stand_in(vocabulary)
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def factory():
         counter = Counter(sent.value)
 
         def make(batch):
-            data, offsets = buffers(_clean(batch.column(text)))
+            data, offsets = buffers(_clean(batch.column(text), stand_in))
             parts = [counter.slice(data, offsets[a : b + 1]) for a, b in slices(offsets)]
             return {column: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())}
 
