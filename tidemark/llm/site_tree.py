@@ -146,7 +146,7 @@ def noisy(importances: DataFrame, threshold: float = THRESHOLD, least_pages: int
     low = importances.where((F.col("pages") >= least_pages) & (F.col("composite") < threshold))
     roots = importances.select(F.col("host").alias("h2"), F.col("node").alias("n2"), F.col("composite").alias("root_importance"))
     low = low.join(roots, F.col("host").eqNullSafe(F.col("h2")) & (F.col("root") == F.col("n2")), "left")
-    inside = (F.col("root") != F.col("node")) & F.col("tag").isin(*GROUPS) & (F.col("root_importance") >= 2 * threshold)
+    inside = (F.col("root") != F.col("node")) & F.col("tag").isin(*GROUPS) & (F.col("root_importance") >= threshold)
     return low.where((F.col("root") == 0) | inside).groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
 
 
