@@ -85,25 +85,36 @@ def try_date(s, *formats: str) -> Column:
     return F.coalesce(*[F.try_to_timestamp(F.trim(col(s)), F.lit(f)).cast("date") for f in formats])
 
 
+# Zone names of RFC 822 and their offsets.
+ZONES = {"EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
+
+
 def to_utc(s) -> Column:
     """RFC-822 or ISO text to a UTC timestamp_ntz; naive times are UTC, junk is null.
 
-    The weekday is cut off because the `E` pattern letter is not accepted, and zone
+    Seconds may be missing, years may have two digits (69 to 99 are 1969 to 1999), zones may be
+    names. The weekday is cut off because the `E` pattern letter is not accepted, and zone
     offsets are applied explicitly so the result does not depend on the session zone.
     """
     raw = F.trim(col(s))
     text = F.regexp_replace(raw, r"^[A-Za-z]{3,9},\s*", "")
     text = F.regexp_replace(text, r"\s*(GMT|UTC|UT|Z)$", " +0000")
+    for name, zone in ZONES.items():
+        text = F.regexp_replace(text, rf"\s+{name}$", f" {zone}")
     offset = F.regexp_extract(text, r"(?<=[\d\s])([+-]\d{2}):?(\d{2})$", 1)
     minutes = F.regexp_extract(text, r"[+-]\d{2}:?(\d{2})$", 1)
     has_clock = text.rlike(r"\d:\d")
     body = F.when(has_clock & (offset != ""), F.trim(F.regexp_replace(text, r"\s*[+-]\d{2}:?\d{2}$", "")))
     body = F.coalesce(body, text)
     iso = F.regexp_replace(body, r"^(\d{4}-\d{2}-\d{2})T", "$1 ")
+    # two-digit years and missing seconds
+    mail = F.regexp_replace(body, r"^(\d{1,2} [A-Za-z]{3}) (69|[7-9]\d) ", "$1 19$2 ")
+    mail = F.regexp_replace(mail, r"^(\d{1,2} [A-Za-z]{3}) (\d{2}) ", "$1 20$2 ")
+    mail = F.regexp_replace(mail, r" (\d{1,2}:\d{2})$", " $1:00")
     local = F.coalesce(
         F.when(iso.rlike(r"^\d{4}-\d{2}-\d{2}"), iso.try_cast("timestamp_ntz")),
-        F.when(body.rlike(r"^\d{1,2} [A-Za-z]{3} \d{4}"),
-               F.call_function("try_to_timestamp", body, F.lit("d MMM yyyy HH:mm:ss")).cast("timestamp_ntz")),
+        F.when(mail.rlike(r"^\d{1,2} [A-Za-z]{3} \d{4}"),
+               F.call_function("try_to_timestamp", mail, F.lit("d MMM yyyy HH:mm:ss")).cast("timestamp_ntz")),
     )
     sign = F.when(offset.startswith("-"), -1).otherwise(1)
     shift = F.when(

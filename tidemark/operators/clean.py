@@ -83,12 +83,14 @@ def file_hashes(spark, path: str) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Row count and an order-insensitive digest of all columns.
+    """Row count and an order-insensitive digest of all columns, taken by name.
 
     The digest sums two 32-bit halves of a 64-bit row hash, so repeated rows count and the
-    sum does not depend on the order in which partitions finish.
+    sum does not depend on the order in which partitions finish. Each value is written with its
+    length before it, a null as a dash, so that different rows are different texts.
     """
-    row = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in sorted(df.columns)]))
+    text = lambda c: F.col(c).cast("string")
+    row = F.md5(F.concat(*[F.coalesce(F.concat(F.length(text(c)).cast("string"), F.lit(":"), text(c)), F.lit("-")) for c in sorted(df.columns)]))
     half = lambda i: F.conv(F.substring(row, i, 8), 16, 10).cast("decimal(20,0)")
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"),

@@ -27,23 +27,24 @@ def rolling(df: DataFrame, keys, t: str, x: str, fn: str, n: int, out: str, prio
     return df.withColumn(out, full_window(fn, x, n, keys, t, prior))
 
 
-def moving_means(df: DataFrame, keys, t: str, x: str, lengths: Sequence[int], scale: int = 6) -> DataFrame:
+def moving_means(df: DataFrame, keys, t: str, x: str, lengths: Sequence[int], scale: int = 12) -> DataFrame:
     """Rolling means of many lengths from one running sum, as columns ma_<n>.
 
     A frame of n rows is recomputed for every row, so the cost grows with n. Here each mean
     is the difference of two running sums: one pass for any number of lengths. The sums are
-    decimals, so the difference is exact for prices quoted to `scale` digits.
+    decimals, so the difference is exact for values of up to `scale` decimal places and 16 digits
+    before the point. The mean is null unless all n rows of the frame have a value.
     """
     w = ordered(keys, t)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumns({
-        "__s": F.sum(F.col(x).cast(f"decimal(20,{scale})")).over(run),
+        "__s": F.sum(F.col(x).cast(f"decimal({16 + scale},{scale})")).over(run),
         "__i": F.count(x).over(run),
     })
     cols = {}
     for n in sorted(set(lengths)):
-        before = F.coalesce(F.lag("__s", n).over(w), F.lit(0))
-        cols[f"ma_{n}"] = F.when(F.col("__i") >= n, (F.col("__s") - before).cast("double") / n)
+        before, earlier = (F.coalesce(F.lag(c, n).over(w), F.lit(0)) for c in ("__s", "__i"))
+        cols[f"ma_{n}"] = F.when(F.col("__i") - earlier == n, (F.col("__s") - before).cast("double") / n)
     return df.withColumns(cols).drop("__s", "__i")
 
 

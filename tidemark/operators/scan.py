@@ -31,20 +31,6 @@ def _apply(fn: str, c) -> Column:
     return {"sum": F.sum, "min": F.min, "max": F.max}[fn](c)
 
 
-# Largest key that one task may order; beyond it, callers switch to blocks.
-ROWS_PER_TASK = 2_000_000
-
-
-def blocks_if_hot(df: DataFrame, keys: Sequence[str], blocks: Sequence[str], limit: int = ROWS_PER_TASK) -> list[str]:
-    """`blocks` if some key has more than `limit` rows, else none.
-
-    The check counts rows per key (combined before the shuffle) and fetches one number.
-    """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    most = sizes.agg(F.max("n").alias("n")).first()["n"] or 0
-    return list(blocks) if most > limit else []
-
-
 def running(
     df: DataFrame,
     keys: Sequence[str],

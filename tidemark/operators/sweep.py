@@ -157,27 +157,31 @@ def ridge_features(bars: DataFrame, keys, t: str, horizon: int) -> DataFrame:
     )
 
 
-def ridge_walk_forward(bars: DataFrame, keys, t: str, window: int = 504, horizon: int = 20, alpha: float = 1.0) -> DataFrame:
-    """Forecast each row with a ridge fit made at the start of its month.
+def ridge_walk_forward(bars: DataFrame, keys, t: str, window: int = 504, horizon: int = 20, alpha: float = 1.0, least_rows: int | None = None) -> DataFrame:
+    """Forecast each row with a ridge fit made at the start of its month; one row per bar.
 
     The fit of a month uses the last `window` rows whose label ended before the month, and
-    standardises with their moments only. Each training row contributes its moments to the
-    months it serves; the sums are aggregated per (series, month) and only these few
-    numbers reach numpy, one solve per month.
+    standardises with their moments only. Rows are chosen by their number alone: numbers are cut
+    into buckets of `window`, of which a month's rows lie in at most two. The moments are aggregated
+    per (series, month) and only these few numbers reach numpy, one solve per month.
+    Bars of a month with fewer than `least_rows` training rows (default `window`), or without all
+    features, have a null forecast and signal 0.
     """
+    least_rows = window if least_rows is None else least_rows
     df = ridge_features(bars, keys, t, horizon).withColumn("month", F.trunc(t, "MM"))
     ready = df.dropna(subset=FEATURES)
     first = df.groupBy(*keys, "month").agg(F.min("i").alias("first_row"))
     # rows i with first_row - horizon - window <= i < first_row - horizon have known labels
-    train = ready.filter(F.col("label").isNotNull())
-    months_served = F.sequence(F.trunc("label_end", "MM"), F.add_months(F.trunc("label_end", "MM"), window // 15 + 2), F.expr("INTERVAL 1 MONTH"))
-    train = train.withColumn("month", F.explode(months_served)).join(first, [*keys, "month"])
+    bucket = lambda i: F.floor(i / F.lit(window))
+    end = F.col("first_row") - horizon
+    first = first.withColumn("bucket", F.explode(F.array_distinct(F.array(bucket(end - window), bucket(end - 1)))))
+    train = ready.filter(F.col("label").isNotNull()).drop("month").withColumn("bucket", bucket(F.col("i"))).join(first, [*keys, "bucket"])
     last_known = F.col("first_row") - horizon
     train = train.filter((F.col("i") < last_known) & (F.col("i") >= last_known - window))
     z = [*FEATURES, "label"]
     pairs = [(a, b) for i, a in enumerate(z) for b in z[i:]]
     sums = [F.count(F.lit(1)).cast("double").alias("n")] + [F.sum(a).alias(f"s_{a}") for a in z] + [F.sum(F.col(a) * F.col(b)).alias(f"q_{a}_{b}") for a, b in pairs]
-    moments = train.groupBy(*keys, "month").agg(*sums).filter(F.col("n") >= window // 2)
+    moments = train.groupBy(*keys, "month").agg(*sums).filter(F.col("n") >= least_rows)
     k = len(FEATURES)
     schema = T.StructType([moments.schema[c] for c in [*keys, "month"]]).add("n", "double").add("weights", T.ArrayType(T.DoubleType())).add("bias", "double")
 
@@ -206,6 +210,6 @@ def ridge_walk_forward(bars: DataFrame, keys, t: str, window: int = 504, horizon
     dot = F.col("bias")
     for i, a in enumerate(FEATURES):
         dot = dot + F.col("weights")[i] * F.col(a)
-    return ready.join(fits, [*keys, "month"]).select(
+    return df.join(fits, [*keys, "month"], "left").select(
         *keys, t, "month", F.col("n").cast("int").alias("train_rows"), dot.alias("forecast"), "label",
         F.when(dot > 0, 1.0).otherwise(0.0).alias("signal"))

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import convert_unit
 from tidemark.operators import align
 from tidemark.operators import indicators as ind
-from tidemark.operators.scan import blocks_if_hot
 from tidemark.plans.registry import query
 from tidemark.plans.views import (BARS, CAL, FX, PHASES, PHASES_SQL, RAW, fx_rates, index_bars, kept_bars,
                                   product_calendar, raw_bars, table)
@@ -61,8 +60,7 @@ def asof_on_ticks(spark, sf):
     ev = table(spark, sf, "events").filter(F.col("event_type").isin("purchase", "view"))
     buys = ev.filter("event_type = 'purchase'").select("user_id", "ts", "event_id")
     views = ev.filter("event_type = 'view'").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
-    hot = blocks_if_hot(ev, ["user_id"], ["day", "minute"])
-    blocks = {name: F.date_trunc(name, F.col("ts")) for name in hot}
+    blocks = {name: F.date_trunc(name, F.col("ts")) for name in ("day", "minute")}
     out = align.asof_join(buys, views, ["user_id"], "ts", ["value"], match_time="view_ts", blocks=blocks)
     return out.select("event_id", "user_id", "view_ts", "value")
 

@@ -85,16 +85,30 @@ def scaled_number_text(spark, sf):
 
 
 @query("prj9_time_to_utc", """
-WITH e AS (SELECT event_id, date_trunc('second', ts) AS s, event_type FROM events)
-SELECT event_id, CASE event_type WHEN 'click' THEN s - INTERVAL 8 HOUR WHEN 'view' THEN s + INTERVAL 210 MINUTE WHEN 'error' THEN NULL ELSE s END AS utc,
+WITH e AS (SELECT event_id, date_trunc('second', ts) AS s, date_trunc('minute', ts) AS m, event_type, event_id % 4 AS form FROM events)
+SELECT event_id,
+  CASE event_type
+    WHEN 'click' THEN s - INTERVAL 8 HOUR
+    WHEN 'view' THEN s + INTERVAL 210 MINUTE
+    WHEN 'error' THEN NULL
+    WHEN 'purchase' THEN CASE form WHEN 0 THEN s WHEN 1 THEN m + INTERVAL 5 HOUR WHEN 2 THEN s + INTERVAL 7 HOUR ELSE m END
+    ELSE s END AS utc,
   CASE event_type WHEN 'error' THEN 'not a time' END AS kept_text FROM e""")
 def time_to_utc(spark, sf):
     s = F.date_trunc("second", F.col("ts")).cast("timestamp_ntz")
+    form = F.col("event_id") % 4
+    mail = lambda pattern, zone: F.concat(F.date_format(s, pattern), F.lit(zone))
+    bought = (
+        F.when(form == 0, F.date_format(s, "yyyy-MM-dd HH:mm:ss"))
+        .when(form == 1, mail("d MMM yy HH:mm", " EST"))
+        .when(form == 2, mail("EEE, dd MMM yyyy HH:mm:ss", " PDT"))
+        .otherwise(mail("EEE, dd MMM yyyy HH:mm", " +0000"))
+    )
     text = (
-        F.when(F.col("event_type") == "click", F.concat(F.date_format(s, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+08:00")))
-        .when(F.col("event_type") == "view", F.concat(F.date_format(s, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" -0330")))
-        .when(F.col("event_type") == "signup", F.concat(F.date_format(s, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT")))
-        .when(F.col("event_type") == "purchase", F.date_format(s, "yyyy-MM-dd HH:mm:ss"))
+        F.when(F.col("event_type") == "click", mail("yyyy-MM-dd'T'HH:mm:ss", "+08:00"))
+        .when(F.col("event_type") == "view", mail("EEE, dd MMM yyyy HH:mm:ss", " -0330"))
+        .when(F.col("event_type") == "signup", mail("EEE, dd MMM yyyy HH:mm:ss", " GMT"))
+        .when(F.col("event_type") == "purchase", bought)
         .otherwise(F.lit("not a time"))
     )
     df = table(spark, sf, "events").select("event_id", text.alias("raw")).withColumn("utc", sc.to_utc("raw"))
@@ -269,12 +283,23 @@ def weekday_coverage(spark, sf):
     return clean.missing_dates(clean.expected_weekdays(raw, K, "date"), raw, ["series_id", "date"])
 
 
-@query("dq11_table_fingerprint", """
-WITH r AS (SELECT l_returnflag, md5(concat_ws('|', l_linenumber, l_orderkey, l_partkey, l_returnflag, l_suppkey)) AS h FROM lineitem)
+DQ11_COLUMNS = """l_discount l_extendedprice l_linenumber l_linestatus l_orderkey l_partkey l_quantity l_returnflag l_shipdate l_suppkey
+    l_tax""".split()
+DQ11_SQL = ", ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in DQ11_COLUMNS)
+
+
+@query("dq11_table_fingerprint", f"""
+WITH l AS (
+  SELECT * REPLACE (CAST(l_discount AS DECIMAL(18,4)) AS l_discount, CAST(l_extendedprice AS DECIMAL(18,4)) AS l_extendedprice,
+    CAST(l_quantity AS DECIMAL(18,4)) AS l_quantity, CAST(l_tax AS DECIMAL(18,4)) AS l_tax, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate)
+  FROM lineitem),
+r AS (SELECT l_returnflag, md5(concat({DQ11_SQL})) AS h FROM l)
 SELECT l_returnflag, count(*) AS rows, CAST(sum(CAST('0x' || h[1:8] AS BIGINT)) AS VARCHAR) AS digest_a,
   CAST(sum(CAST('0x' || h[9:16] AS BIGINT)) AS VARCHAR) AS digest_b FROM r GROUP BY 1""")
 def table_fingerprint(spark, sf):
-    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    rows = table(spark, sf, "lineitem").select(*DQ11_COLUMNS).withColumns({
+        **{c: F.col(c).cast("decimal(18,4)") for c in ("l_discount", "l_extendedprice", "l_quantity", "l_tax")},
+        "l_shipdate": F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")})
     return clean.fingerprint(rows, ["l_returnflag"])
 
 

@@ -129,15 +129,15 @@ def archive_upsert(spark, sf):
     return upsert(archive, new, "id", "published")
 
 
-STORY = f"""{NEWS}, hd AS (SELECT doc_id, source, published, lang, md5(lower(source[1:5])) AS key FROM news),
+STORY = f"""{NEWS}, hd AS (SELECT doc_id, source, published, lang, md5(trim(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))) AS key FROM news),
 ph AS (SELECT key, date_trunc('hour', published) AS hour, count(*) AS articles FROM hd GROUP BY 1, 2),
-gp AS (SELECT *, CASE WHEN date_diff('hour', lag(hour) OVER (PARTITION BY key ORDER BY hour), hour) <= 6 THEN 0 ELSE 1 END AS fresh FROM ph),
+gp AS (SELECT *, CASE WHEN date_diff('hour', lag(hour) OVER (PARTITION BY key ORDER BY hour), hour) <= 72 THEN 0 ELSE 1 END AS fresh FROM ph),
 st AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY key ORDER BY hour ROWS UNBOUNDED PRECEDING) AS BIGINT) AS story FROM gp)"""
 
 
 def stories(spark, sf):
-    n = news(spark, sf).withColumn("key", F.md5(F.lower(F.substring("source", 1, 5))))
-    return n, nws.cluster_events(n, "key", "published", "source", gap_hours=6)
+    n = news(spark, sf).withColumn("key", nws.title_key("title"))
+    return n, nws.cluster_events(n, "key", "published", "source", gap_hours=72)
 
 
 @query("nws3_story_clusters", f"""WITH {STORY}, s AS (SELECT key, story, min(hour) AS first_hour, max(hour) AS last_hour, CAST(sum(articles) AS BIGINT) AS articles FROM st GROUP BY 1, 2),
@@ -165,11 +165,15 @@ def agreement(spark, sf):
     return out.withColumns({"agreement": F.round("agreement", 6), "weighted_agreement": F.round("weighted_agreement", 6)})
 
 
-@query("nws5_novelty", r"""WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \n\t\r]+'), lambda x: length(x) > 0)) AS ws FROM documents),
-e AS (SELECT doc_id, unnest(ws) AS word FROM w), f AS (SELECT word, min(doc_id) AS doc_id FROM e GROUP BY 1), n AS (SELECT doc_id, count(*) AS k FROM f GROUP BY 1)
+@query("nws5_novelty", rf"""WITH {NEWS},
+w AS (SELECT doc_id, published, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \n\t\r]+'), lambda x: length(x) > 0)) AS ws FROM news),
+e AS (SELECT doc_id, published, unnest(ws) AS word FROM w),
+f AS (SELECT word, arg_min(doc_id, (published, doc_id)) AS doc_id FROM e GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS k FROM f GROUP BY 1)
 SELECT doc_id, CAST(len(ws) AS INTEGER) AS words, coalesce(k, 0) AS new_words, round(coalesce(k, 0) / len(ws), 6) AS novelty FROM w LEFT JOIN n USING (doc_id)""")
 def novelty(spark, sf):
-    out = nws.novelty(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", [], "text")
+    """Earlier is by time of publication, then by id."""
+    out = nws.novelty(news(spark, sf).select("doc_id", "published", "text"), "doc_id", ["published"], "text")
     return out.withColumn("novelty", F.round("novelty", 6))
 
 

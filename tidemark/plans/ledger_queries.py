@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import ledger as led
 from tidemark.operators import metrics as met
-from tidemark.operators.scan import blocks_if_hot
 from tidemark.plans.metric_queries import BASE, EPISODES, K, curves
 from tidemark.plans.registry import query
 from tidemark.plans.signal_queries import FEATURES, GATED, gated
@@ -30,14 +29,8 @@ def trades(spark, sf):
     return t.withColumns({"month": F.trunc("day", "MM"), "stripe": F.struct("day", F.floor(F.col("l_orderkey") / 1000000).alias("part"))})
 
 
-def trade_blocks(spark, sf):
-    """Blocks only if one supplier has too many trades for one task."""
-    li = table(spark, sf, "lineitem").filter(F.col("l_returnflag").isin("N", "R"))
-    return blocks_if_hot(li, ["l_suppkey"], BLOCKS)
-
-
 def filled(spark, sf, blocks=None):
-    blocks = trade_blocks(spark, sf) if blocks is None else blocks
+    blocks = BLOCKS if blocks is None else blocks
     return led.cap_sells(trades(spark, sf), S, ORDER, blocks)
 
 
@@ -66,7 +59,7 @@ def sells_capped_by_holdings(spark, sf):
 
 
 def matched(spark, sf, blocks=None):
-    blocks = trade_blocks(spark, sf) if blocks is None else blocks
+    blocks = BLOCKS if blocks is None else blocks
     t = filled(spark, sf, blocks)
     return t, led.fifo_match(t, S, ORDER, blocks, position_blocks=POSITION_BLOCKS)
 
@@ -146,7 +139,7 @@ def daily_books(spark, sf):
 o AS (SELECT supp, sum(filled) AS b FROM fills WHERE side = 'buy' GROUP BY 1), u AS (SELECT supp, sum(matched) AS m FROM matches GROUP BY 1), l AS (SELECT supp, arg_max(units, day) AS units FROM books GROUP BY 1)
 SELECT rule, broken FROM br WHERE broken > 0 UNION ALL SELECT 'lots_conserved', count(*) FILTER (abs(l.units - (b - coalesce(m, 0))) > 1e-5) FROM o JOIN l USING (supp) LEFT JOIN u USING (supp)""")
 def invariant_checks(spark, sf):
-    blocks = trade_blocks(spark, sf)
+    blocks = BLOCKS
     t = materialise(filled(spark, sf, blocks))
     m = led.fifo_match(t, S, ORDER, blocks, position_blocks=POSITION_BLOCKS)
     b = materialise(books(spark, sf, t))

@@ -29,20 +29,31 @@ def local_session(cpus: str = "8", partitions: str = "8", memory: str = "8g") ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: the cluster's checkpoint dir, or a new local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder every executor can reach: spark.checkpoint.dir, or the context's checkpoint directory.
+
+    Only a local master may have neither; it gets a new temporary folder.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return folder.rstrip("/")
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back.
 
     For results that several branches of a plan use: they are not computed again, and a lost
-    executor costs a re-read and not a re-run.
+    executor costs a re-read and not a re-run. `release` deletes what was written.
     """
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/tidemark-run/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def release(spark: SparkSession) -> bool:
+    """Delete all tables that `materialise` wrote to the shared folder; whether there were any. Frames that read them end with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tidemark-run")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
