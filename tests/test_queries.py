@@ -7,6 +7,8 @@ from check import compare, duck
 
 SF = "/root/testdata/sf0.001"
 NAMES = sorted(entry_points.queries())
+#: Screens that rightly find nothing on so little data.
+MAY_BE_EMPTY = {"dq8_missing_dates", "dq9_missing_sessions"}
 
 
 @pytest.fixture(scope="module")
@@ -17,8 +19,7 @@ def con():
 @pytest.mark.parametrize("name", NAMES)
 def test_query(spark, con, name):
     ok, message = compare(spark, con, SF, name)
-    # some screens rightly find nothing on so little data
-    assert ok or message.startswith("0 vs 0 rows"), message
+    assert ok or name in MAY_BE_EMPTY and message.startswith("0 vs 0 rows"), message
 
 
 def test_flagship(spark):

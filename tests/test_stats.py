@@ -41,8 +41,12 @@ def test_ridge_forecast_equals_a_direct_fit(spark):
     df = spark.createDataFrame(rows, "series_id string, date date, high double, low double, close double")
     got = swp.ridge_walk_forward(df, ["series_id"], "date", window, horizon, alpha).toPandas().sort_values("date")
     f = swp.ridge_features(df, ["series_id"], "date", horizon).toPandas().sort_values("date").reset_index(drop=True)
-    assert len(got) > 200
-    for date in (got.date.iloc[40], got.date.iloc[150], got.date.iloc[-1]):
+    assert len(got) == n
+    made = got.dropna(subset=["forecast"])
+    assert len(made) > 200 and set(made.train_rows) == {window}
+    some = swp.ridge_walk_forward(df, ["series_id"], "date", window, horizon, alpha, least_rows=50).toPandas()
+    assert some.forecast.notna().sum() > len(made) and some.train_rows.min() >= 50
+    for date in (made.date.iloc[40], made.date.iloc[150], made.date.iloc[-1]):
         first = f.index[(f.date >= date.replace(day=1))][0]
         train = f.iloc[first - horizon - window:first - horizon].dropna(subset=swp.FEATURES + ["label"])
         assert (train.label_end < f.date[first]).all()
@@ -111,3 +115,13 @@ def test_stage_deltas_of_published_readings(spark):
     assert out[0]["gold_delta_pct"] is None
     assert out[1]["gold_delta_pct"] == pytest.approx(-4.9095607235142165) and out[1]["rate_delta_bp"] == pytest.approx(4.0)
     assert out[2]["gold_delta_pct"] == pytest.approx(-0.742753623188408) and out[2]["rate_delta_bp"] == pytest.approx(-58.0)
+
+
+def test_moving_means_need_a_full_frame_of_values(spark):
+    from tidemark.operators import indicators as ind
+
+    values = [1.0, None, 3.0, 7.123456789, 5.0]
+    df = spark.createDataFrame([("a", DAY0 + dt.timedelta(days=i), v) for i, v in enumerate(values)], "series_id string, date date, close double")
+    got = ind.moving_means(df, ["series_id"], "date", "close", [1, 2]).orderBy("date").collect()
+    assert [r.ma_1 for r in got] == values
+    assert [r.ma_2 for r in got] == [None, None, None, pytest.approx(5.0617283945, abs=1e-12), pytest.approx(6.0617283945, abs=1e-12)]

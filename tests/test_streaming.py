@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tidemark.streaming import bars as stm
@@ -43,15 +45,17 @@ def test_stream_equals_batch_on_closed_bars(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_later_batches_overwrite_keys(spark, tmp_path):
-    path = str(tmp_path / "in")
-    schema = "id int, v string, version int"
-    for rows in [[(1, "a", 9), (2, "b", 1)], [(1, "c", 1), (3, "d", 1), (3, "e", 2)]]:
+@pytest.mark.parametrize("compacted", [False, True])
+def test_later_batches_overwrite_keys(spark, tmp_path, compacted):
+    """The first file is read to the end before the second one lands, so it is certain which batch is later."""
+    path, schema, root, got = str(tmp_path / "in"), "id int, v string, version int", str(tmp_path / "u"), []
+    for rows in [[(1, "a", 9), (2, "b", 1)], [(1, "c", 1), (3, "d", 1), (3, "e", 2)], [(2, "f", 0)]]:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    log, query = stm.upsert_log(stream, "u")
-    query.awaitTermination()
-    files = spark.read.parquet(log).select("batch").distinct().count()
-    assert files == 2
-    out = {r["id"]: r["v"] for r in stm.current_rows(spark, log, "id", "version").collect()}
-    assert out[2] == "b" and out[3] == "e" and out[1] in ("a", "c")
+        log, query = stm.upsert_log(spark.readStream.schema(schema).parquet(path), "u", root)
+        query.awaitTermination()
+        got.append({r["id"]: r["v"] for r in stm.current_rows(spark, log, "id", "version").collect()})
+        if compacted:
+            stm.compact(spark, log, "id", "version")
+            assert {r["id"]: r["v"] for r in stm.current_rows(spark, log, "id", "version").collect()} == got[-1]
+            assert not [x for x in (tmp_path / "u" / "log").iterdir() if x.name.startswith("batch=")]
+    assert got == [{1: "a", 2: "b"}, {1: "c", 2: "b", 3: "e"}, {1: "c", 2: "f", 3: "e"}]

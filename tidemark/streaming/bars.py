@@ -52,14 +52,13 @@ def run_to_end(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
-def upsert_log(stream: DataFrame, name: str) -> tuple[str, object]:
-    """Append each micro-batch to a log partitioned by batch id.
+def upsert_log(stream: DataFrame, name: str, root: str | None = None) -> tuple[str, object]:
+    """Append each micro-batch to a log partitioned by batch id; with the root of an earlier log, go on with it.
 
     A batch that is run again after a failure replaces its own partition, so the log is
     exactly once; which version of a key is current is decided when the log is read.
     """
-    spark = stream.sparkSession
-    root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    root = root or f"{shared_folder(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/log/batch={batch_id}")
@@ -68,6 +67,40 @@ def upsert_log(stream: DataFrame, name: str) -> tuple[str, object]:
     return f"{root}/log", query
 
 
+def _folders(spark: SparkSession, path: str) -> dict[int, object]:
+    """Paths of the numbered partitions of a folder, by number."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [x.getPath() for x in fs.listStatus(at)] if fs.exists(at) else []
+    return {int(x.getName().rpartition("=")[2]): x for x in found if "=" in x.getName()}
+
+
+def _parts(spark: SparkSession, log: str) -> tuple[DataFrame, int]:
+    """Rows of the newest compacted generation and of the batches after it, and the last batch."""
+    bases, batches = _folders(spark, f"{log}-compacted"), _folders(spark, log)
+    upto = max(bases, default=-1)
+    later = [k for k in batches if k > upto]
+    frames = [spark.read.option("basePath", log).parquet(*[batches[k].toString() for k in later])] if later else []
+    frames += [spark.read.parquet(bases[upto].toString())] if upto >= 0 else []
+    rows = frames[0]
+    for x in frames[1:]:
+        rows = rows.unionByName(x)
+    return rows, max([upto, *later])
+
+
 def current_rows(spark: SparkSession, log: str, key: str, version: str) -> DataFrame:
     """The newest row of each key: later batches win, then the higher version."""
-    return newest_per_key(spark.read.parquet(log), [key], ["batch", version]).drop("batch")
+    return newest_per_key(_parts(spark, log)[0], [key], ["batch", version]).drop("batch")
+
+
+def compact(spark: SparkSession, log: str, key: str, version: str) -> int:
+    """Write the current rows as a generation of their own and delete the batches and generations it replaces; the last batch in it.
+
+    Run it between runs of the stream, every so many batches: a read then costs the current rows and the batches since.
+    """
+    rows, last = _parts(spark, log)
+    old = [p for folder, k in ((log, last), (f"{log}-compacted", last - 1)) for n, p in _folders(spark, folder).items() if n <= k]
+    newest_per_key(rows, [key], ["batch", version]).write.mode("overwrite").parquet(f"{log}-compacted/upto={last}")
+    for path in old:
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return last
