@@ -11,7 +11,8 @@ from tidemark.plans.views import BARS, CAL, product_calendar, table
 from tidemark.session import materialise
 
 S = ["supp"]
-ORDER = ["day", "l_orderkey", "l_linenumber", "side"]
+# a lot can be sold from the day its purchase is confirmed on, so purchases stand at that day
+ORDER = ["usable", "side", "l_orderkey", "l_linenumber"]
 # months, then days cut by ranges of a million orders: bounds every task even for one hot supplier
 BLOCKS = ["month", "stripe"]
 POSITION_BLOCKS = [1e8, 1e4]
@@ -26,7 +27,9 @@ def trades(spark, sf):
         F.when(F.col("l_returnflag") == "N", "buy").otherwise("sell").alias("side"),
     ).agg(F.sum("l_quantity").alias("units"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("amount"))
     t = t.withColumn("price", F.col("amount") / F.col("units"))
-    return t.withColumns({"month": F.trunc("day", "MM"), "stripe": F.struct("day", F.floor(F.col("l_orderkey") / 1000000).alias("part"))})
+    t = t.join(led.session_shift(sessions(spark, sf), "day", confirmed=1).drop("session"), "day")
+    t = t.withColumn("usable", F.when(F.col("side") == "buy", F.col("confirmed")).otherwise(F.col("day")))
+    return t.withColumns({"month": F.trunc("usable", "MM"), "stripe": F.struct("usable", "side", F.floor(F.col("l_orderkey") / 1000000).alias("part"))})
 
 
 def filled(spark, sf, blocks=None):
@@ -37,22 +40,20 @@ def filled(spark, sf, blocks=None):
 TRADES = """
 trades AS (SELECT l_suppkey AS supp, CAST(l_shipdate AS DATE) AS day, l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'N' THEN 'buy' ELSE 'sell' END AS side,
    sum(l_quantity) AS units, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS amount FROM lineitem WHERE l_returnflag IN ('N', 'R') GROUP BY ALL),
-tr1 AS (SELECT *, amount / units AS price, row_number() OVER (PARTITION BY supp ORDER BY day, l_orderkey, l_linenumber, side) AS k,
-   sum(CASE WHEN side = 'buy' THEN units ELSE -units END) OVER (PARTITION BY supp ORDER BY day, l_orderkey, l_linenumber, side ROWS UNBOUNDED PRECEDING) AS s FROM trades),
+ses AS (SELECT day, CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS session, coalesce(lead(day, 1) OVER (ORDER BY day), max(day) OVER ()) AS confirm_date,
+   coalesce(lead(day, 3) OVER (ORDER BY day), max(day) OVER ()) AS cash_date FROM (SELECT DISTINCT day FROM trades)),
+tr0 AS (SELECT trades.*, confirm_date AS confirmed, CASE WHEN side = 'buy' THEN confirm_date ELSE day END AS usable FROM trades JOIN ses USING (day)),
+tr1 AS (SELECT *, amount / units AS price, row_number() OVER (PARTITION BY supp ORDER BY usable, side, l_orderkey, l_linenumber) AS k,
+   sum(CASE WHEN side = 'buy' THEN units ELSE -units END) OVER (PARTITION BY supp ORDER BY usable, side, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING) AS s FROM tr0),
 tr2 AS (SELECT *, s - least(0.0, min(s) OVER (PARTITION BY supp ORDER BY k ROWS UNBOUNDED PRECEDING)) AS held FROM tr1),
 fills AS (SELECT *, CASE WHEN side = 'buy' THEN units ELSE coalesce(lag(held) OVER (PARTITION BY supp ORDER BY k), 0.0) - held END AS filled FROM tr2)"""
 
 MATCHES = """
 cb AS (SELECT *, sum(filled) OVER (PARTITION BY supp ORDER BY k ROWS UNBOUNDED PRECEDING) AS e FROM fills WHERE side = 'buy' AND filled > 0),
 cs AS (SELECT *, sum(filled) OVER (PARTITION BY supp ORDER BY k ROWS UNBOUNDED PRECEDING) AS e FROM fills WHERE side = 'sell' AND filled > 0),
-matches AS (SELECT s.supp, b.l_orderkey AS buy_order, b.l_linenumber AS buy_line, s.l_orderkey AS sell_order, s.l_linenumber AS sell_line, b.day AS buy_day, s.day AS sell_day, s.price AS sell_price,
+matches AS (SELECT s.supp, b.l_orderkey AS buy_order, b.l_linenumber AS buy_line, s.l_orderkey AS sell_order, s.l_linenumber AS sell_line, b.confirmed AS buy_day, s.confirmed AS sell_day, s.price AS sell_price,
    least(b.e, s.e) - greatest(b.e - b.filled, s.e - s.filled) AS matched FROM cb b JOIN cs s ON b.supp = s.supp AND b.e > s.e - s.filled AND s.e > b.e - b.filled)"""
 
-SESSIONS = """
-ses AS (SELECT day, CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS session, coalesce(lead(day, 1) OVER (ORDER BY day), max(day) OVER ()) AS confirm_date,
-   coalesce(lead(day, 3) OVER (ORDER BY day), max(day) OVER ()) AS cash_date FROM (SELECT DISTINCT day FROM trades))"""
-
-
 @query("led2_sells_capped_by_holdings", f"WITH {TRADES} SELECT supp, day, l_orderkey, l_linenumber, side, units, filled, held FROM fills")
 def sells_capped_by_holdings(spark, sf):
     return filled(spark, sf).select("supp", "day", "l_orderkey", "l_linenumber", "side", "units", "filled", "held")
@@ -68,7 +69,7 @@ def matched(spark, sf, blocks=None):
 def fifo_match(spark, sf):
     _, m = matched(spark, sf)
     return m.select("supp", F.col("lot.l_orderkey").alias("buy_order"), F.col("lot.l_linenumber").alias("buy_line"), F.col("sell.l_orderkey").alias("sell_order"),
-                    F.col("sell.l_linenumber").alias("sell_line"), "matched", F.datediff("sell.day", "lot.day").alias("age"))
+                    F.col("sell.l_linenumber").alias("sell_line"), "matched", F.datediff("sell.confirmed", "lot.confirmed").alias("age"))
 
 
 @query("led3_redemption_fees", f"""WITH {TRADES}, {MATCHES}
@@ -76,7 +77,7 @@ SELECT supp, sum(matched) AS units, round(sum(matched * sell_price * CASE WHEN s
  CAST(sum(CASE WHEN sell_day - buy_day < 30 THEN matched ELSE 0 END) AS DOUBLE) AS young_units FROM matches GROUP BY 1""")
 def redemption_fees(spark, sf):
     _, m = matched(spark, sf)
-    out = led.redemption_fees(m, S, F.col("sell.price"), F.col("sell.day"), F.col("lot.day"))
+    out = led.redemption_fees(m, S, F.col("sell.price"), F.col("sell.confirmed"), F.col("lot.confirmed"))
     return out.select("supp", "units", F.round("fee", 2).alias("fee"), "young_units")
 
 
@@ -105,7 +106,7 @@ def settled(spark, sf, t=None):
     return led.settle(t, sessions(spark, sf), "day", confirm=1, settle_days=3)
 
 
-@query("led5_confirmation_and_settlement", f"""WITH {TRADES}, {SESSIONS}
+@query("led5_confirmation_and_settlement", f"""WITH {TRADES}
 SELECT supp, l_orderkey, l_linenumber, side, day, session, confirm_date, cash_date FROM fills JOIN ses USING (day)""")
 def confirmation_and_settlement(spark, sf):
     return settled(spark, sf).select("supp", "l_orderkey", "l_linenumber", "side", "day", "session", "confirm_date", "cash_date")
@@ -126,14 +127,14 @@ def books(spark, sf, t=None):
     return led.daily_books(settled(spark, sf, t), S, "day", "cash_date", INITIAL)
 
 
-@query("led6_daily_books", f"""WITH {TRADES}, {SESSIONS}, {BOOKS}
+@query("led6_daily_books", f"""WITH {TRADES}, {BOOKS}
 SELECT supp, day, round(cash, 8) AS cash, units, round(unsettled, 8) AS unsettled, round(equity / {INITIAL:.1f}::DOUBLE, 9) AS equity_multiple, round(weight, 6) AS weight FROM books""")
 def daily_books(spark, sf):
     return books(spark, sf).select("supp", "day", F.round("cash", 8).alias("cash"), "units", F.round("unsettled", 8).alias("unsettled"),
                                    F.round(F.col("equity") / INITIAL, 9).alias("equity_multiple"), F.round("weight", 6).alias("weight"))
 
 
-@query("led7_invariant_checks", f"""WITH {TRADES}, {MATCHES}, {SESSIONS}, {BOOKS}, br AS (
+@query("led7_invariant_checks", f"""WITH {TRADES}, {MATCHES}, {BOOKS}, br AS (
  SELECT 'cash_not_negative' AS rule, count(*) FILTER (cash < -1e-5) AS broken FROM books UNION ALL SELECT 'units_not_negative', count(*) FILTER (units < -1e-5) FROM books
  UNION ALL SELECT 'unsettled_not_negative', count(*) FILTER (unsettled < -1e-5) FROM books UNION ALL SELECT 'weight_in_unit_interval', count(*) FILTER (NOT (weight >= -1e-5 AND weight <= 1.00001)) FROM books),
 o AS (SELECT supp, sum(filled) AS b FROM fills WHERE side = 'buy' GROUP BY 1), u AS (SELECT supp, sum(matched) AS m FROM matches GROUP BY 1), l AS (SELECT supp, arg_max(units, day) AS units FROM books GROUP BY 1)
@@ -161,7 +162,7 @@ def episode_profit_adds_up(spark, sf):
                                        gap("p", "pnl").alias("pnl_gap"), gap("k", "fees").alias("cost_gap"))
 
 
-@query("led8_rebalance_trigger", f"""WITH {TRADES}, {SESSIONS}, {BOOKS}, q AS (SELECT *, CASE WHEN month(day) % 2 = 0 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END AS target FROM books),
+@query("led8_rebalance_trigger", f"""WITH {TRADES}, {BOOKS}, q AS (SELECT *, CASE WHEN month(day) % 2 = 0 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END AS target FROM books),
 z AS (SELECT *, lag(units, 1, 0.0) OVER w * lag(price) OVER w AS hv, lag(cash + unsettled) OVER w AS mo, abs(target - lag(target, 1, -1.0::DOUBLE) OVER w) > 1e-8 AS changed FROM q WINDOW w AS (PARTITION BY supp ORDER BY day))
 SELECT supp, day, target, round(hv / (mo + hv), 6) AS known_weight, changed, changed OR abs(coalesce(hv / (mo + hv), 0) - target) >= 0.1 AS trigger FROM z""")
 def rebalance_trigger(spark, sf):
