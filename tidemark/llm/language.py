@@ -101,8 +101,8 @@ class Languages:
 
     def word_likelihoods(self, bucket: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Likelihoods of words relative to each word's best language, and the log of that best one."""
-        if not len(start):
-            return np.zeros((0, len(self.names))), np.zeros(0)
+        if not len(start) or not self.names:
+            return np.zeros((len(start), len(self.names))), np.zeros(len(start))
         log = np.stack([np.add.reduceat(self.log_p[:, k][bucket], start, dtype=np.float64) for k in range(len(self.names))], axis=1)
         best = log.max(axis=1)
         return np.exp(log - best[:, None]), best
