@@ -122,3 +122,10 @@ def test_quadratic_fit_equals_polyfit(spark):
         fit = np.polyval(c, np.arange(60))
         assert out.end_slope[i] == pytest.approx(2 * c[0] * 59 + c[1], rel=1e-6)
         assert out.quad_r2[i] == pytest.approx(1 - ((z - fit) ** 2).sum() / ((z - z.mean()) ** 2).sum(), rel=1e-6)
+
+
+def test_a_ruinous_day_ends_the_curve(spark):
+    rows = [("a", DAY0 + dt.timedelta(days=i), 100.0, c, w) for i, (c, w) in enumerate([(110.0, 1.0), (40.0, 2.0), (150.0, 1.0)])]
+    df = spark.createDataFrame(rows, "series_id string, date date, open double, close double, weight double")
+    got = met.equity_curve(df, K, "date").orderBy("date").collect()
+    assert [round(r.equity, 6) for r in got] == [110.0, 0.0, 0.0]

@@ -32,7 +32,9 @@ def equity_curve(df: DataFrame, keys, t: str, weight: str = "weight", cost=0.003
     df = df.withColumns({"__on": overnight, "__cost": cost * change, "traded": change > 1e-12})
     factor = F.col("__on") * (1 - F.col("__cost")) * (1 + F.col(weight) * (F.col("close") / F.col("open") - 1))
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("equity", F.exp(F.sum(F.ln(factor)).over(run)) * F.lit(initial))
+    # nothing is left after a factor of 0 or less, and nothing comes back
+    ruined = F.min(factor).over(run) <= 0
+    df = df.withColumn("equity", F.when(ruined, 0.0).otherwise(F.exp(F.sum(F.ln(factor)).over(run)) * F.lit(initial)))
     df = df.withColumn("prior", F.lag("equity", 1, initial).over(w))
     df = df.withColumn("fee", F.col("prior") * F.col("__on") * F.col("__cost"))
     return df.drop("__old", "__before", "__on", "__cost")

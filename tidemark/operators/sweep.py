@@ -58,7 +58,7 @@ def sweep_curves(bars: DataFrame, keys, t: str, specs: Sequence[dict], cost=0.00
     rows = sig.raw_signal(bars, keys, t, "close", slim, carry=["open", "close"], spread=keep is None)
     rows = rows.select(*keys, t, "open", "close", "i", "raw", "danger", "review", "spec_id", "cooldown", "family")
     if keep is not None:
-        rows = rows.join(F.broadcast(keep.select("spec_id")), "spec_id", "left_semi").repartition(*keys, "spec_id")
+        rows = rows.join(keep.select("spec_id"), "spec_id", "left_semi").repartition(*keys, "spec_id")
     by = [*keys, "spec_id"]
     target = sig.gated_target(rows, by, t).select(*by, t, "open", "close", "target")
     w = ordered(by, t)
