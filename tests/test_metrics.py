@@ -127,5 +127,5 @@ def test_quadratic_fit_equals_polyfit(spark):
 def test_a_ruinous_day_ends_the_curve(spark):
     rows = [("a", DAY0 + dt.timedelta(days=i), 100.0, c, w) for i, (c, w) in enumerate([(110.0, 1.0), (40.0, 2.0), (150.0, 1.0)])]
     df = spark.createDataFrame(rows, "series_id string, date date, open double, close double, weight double")
-    got = met.equity_curve(df, K, "date").orderBy("date").collect()
+    got = met.equity_curve(df, K, "date", cost=0.0).orderBy("date").collect()
     assert [round(r.equity, 6) for r in got] == [110.0, 0.0, 0.0]
