@@ -9,11 +9,11 @@ replicated into it), and each ring's shingles are dealt to m sub-universes, m mo
 the ring can differ, so that such sets are equal in at least one. A region is the classes of a ring that are equal in a
 sub-universe. m leaves a margin, so that tiny projections, which random sets share, need not count.
 
-Joins. In each region the least class is the pivot; a class that is within the distance of its pivot is linked to it, and members
-linked with one another need no comparing. Regions that still hold several components are joined recursively: small ones
-member by member, larger ones by more pivots, then by Voronoi regions of these pivots, where a class goes to each pivot
-that is at most twice the distance farther than its nearest one. A constant is one of the pivots' distance functions
-(it is 1-Lipschitz), for members far from all pivots. All distances are exact counts over whole sets.
+Joins. In each region one class is the pivot; a class that is within the distance of its pivot is linked to it, and members
+linked with one another need no comparing. After some rounds with other pivots, regions that still hold several
+components are joined exactly: those that share members make a family, which is dealt to blocks of bounded size, and each two blocks
+count the common shingles of their members in one task. (Splitting families further by Voronoi regions of their pivots was tried: with
+windows of twice the distance nearly all members stay in all regions.) All distances are exact counts over whole sets.
 
 Sets are compared by 64-bit hashes of shingles, classes by 64 bits of the set and its size.
 """
@@ -36,11 +36,13 @@ N = 3
 #: 100 * intersection >= PERCENT * union.
 PERCENT = 90
 RING = 1.5
-#: Regions of at most so many members are joined member by member.
-LEAF = 32
-PIVOTS = 8
-#: Distance of the constant pivot.
-OUTER = 0.7
+#: Rounds of one pivot for each region, before regions are joined.
+ROUNDS = 2
+#: Members and shingles of a block; a task joins two blocks in memory.
+BLOCK_MEMBERS = 512
+BLOCK_SHINGLES = 400_000
+#: Shingles that are counted at a time.
+COLUMNS = 2048
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,10 +191,12 @@ def region_members(docs: DataFrame, text: str, n: int, percent: int) -> DataFram
     return written(across.select("region", "class", "pivot").unionByName(local).unionByName(heads), "members")
 
 
-def distances(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """pairs (a, b, ...) with the exact size of intersection and union of their sets."""
-    side = lambda c: texts.select(F.col("class").alias(c), F.col("packed").alias(f"__{c}"))
+def distances(pairs: DataFrame, texts: DataFrame, n: int, percent: int = 0) -> DataFrame:
+    """pairs (a, b, ...) with the exact size of intersection and union of their sets; without the pairs whose sizes alone keep them
+    below `percent`."""
+    side = lambda c: texts.select(F.col("class").alias(c), F.col("packed").alias(f"__{c}"), F.col("n").alias(f"__n{c}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
+    both = both.where(F.lit(100) * F.least("__na", "__nb") >= F.lit(percent) * F.greatest("__na", "__nb")).drop("__na", "__nb")
 
     def factory():
         unpress = zstandard.ZstdDecompressor()
@@ -237,76 +241,95 @@ def _pairs(a: Column, b: Column, df: DataFrame) -> DataFrame:
 
 def class_labels(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """(class, label): the component of every class that is linked with another."""
-    links = None
 
-    def labels() -> DataFrame:
+    def labels_of(links: DataFrame) -> DataFrame:
         return written(components(links).select(F.col("node").alias("class"), F.col("root").alias("label")), "labels")
 
     # every class with the pivot that it shares most regions with
     best = members.where("class != pivot").groupBy("class", "pivot").agg(F.count(F.lit(1)).alias("shared"))
     best = best.groupBy("class").agg(F.max(F.struct("shared", "pivot"))["pivot"].alias("pivot"))
     measured = written(distances(_pairs(F.col("class"), F.col("pivot"), best), texts, n), "distances")
-    links = measured.where(near(percent)).select("a", "b")
-    open_, level = members.select("region", "class").distinct(), 0
-    limit = 1.0 - percent / 100
-    while True:
-        known = labels()
+    links, open_ = measured.where(near(percent)).select("a", "b"), members.select("region", "class").distinct()
+    for turn in range(ROUNDS + 1):
+        known = labels_of(links)
         now = _labelled(open_, known)
-        mixed_regions = _mixed(now)
-        open_ = written(now.join(mixed_regions, "region"), "open")
-        if open_.isEmpty():
-            return known
-        small = open_.where(F.col("size") <= LEAF)
-        x, y = small.select("region", F.col("class").alias("x"), F.col("label").alias("lx")), small.select("region", F.col("class").alias("y"), F.col("label").alias("ly"))
-        leaf = _pairs(F.col("x"), F.col("y"), x.join(y, "region").where("x < y AND lx != ly"))
-        # up to PIVOTS pivots of each larger region: the least of each hash group
-        large = open_.where(F.col("size") > LEAF)
-        group = F.pmod(F.xxhash64("class", F.lit(level)), F.lit(PIVOTS))
-        pivots = large.groupBy("region", group.alias("g")).agg(F.min_by(F.struct("class", "label"), F.xxhash64("class", F.lit(level))).alias("p"))
-        pivots = pivots.select("region", F.col("p.class").alias("pivot"), F.col("p.label").alias("pivot_label"))
-        spread = large.join(pivots, "region")
-        across = _pairs(F.col("class"), F.col("pivot"), spread.where("label != pivot_label"))
-        wanted = leaf.unionByName(across).distinct().join(measured.select("a", "b"), ["a", "b"], "left_anti")
-        more = written(distances(wanted, texts, n), "distances")
-        measured = written(measured.unionByName(more), "distances")
-        links = links.unionByName(more.where(near(percent)).select("a", "b"))
-        links = written(links, "links")
-        rest = large.select("region", "class", "label", "size")
-        if rest.isEmpty():
-            return labels()
-        # Voronoi regions of what is still mixed
-        known = labels()
-        again = _labelled(rest.select("region", "class", "size"), known)
-        still = written(again.join(_mixed(again).select("region"), "region"), "open")
-        if still.isEmpty():
-            return known
-        open_ = written(_voronoi(still, pivots, measured, texts, n, percent, limit, level), "regions")
-        level += 1
-
-
-def _voronoi(members: DataFrame, pivots: DataFrame, measured: DataFrame, texts: DataFrame, n: int, percent: int, limit: float, level: int) -> DataFrame:
-    """(region, class) of the sub-regions; a region that does not shrink is dealt to blocks of LEAF / 2 members, and a sub-region is two blocks."""
-    sides = members.join(pivots, "region").select("region", "class", "pivot", "size", F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b"))
-    missing = sides.where("a < b").select("a", "b").distinct().join(measured.select("a", "b"), ["a", "b"], "left_anti")
-    known = written(measured.unionByName(distances(missing, texts, n)), "distances")
-    at = sides.join(known, ["a", "b"], "left")
-    far = F.when(F.col("class") == F.col("pivot"), 0.0).otherwise(1 - F.col("common") / F.col("union"))
-    at = at.withColumn("far", far)
-    nearest = at.groupBy("region", "class").agg(F.least(F.min("far"), F.lit(OUTER)).alias("nearest"))
-    at = at.join(nearest, ["region", "class"])
-    window = F.col("nearest") + 2 * limit + 1e-9
-    inner = at.where(F.col("far") <= window).select("region", "class", "size", F.xxhash64("region", "pivot", F.lit(level)).alias("sub"))
-    outer = nearest.where(F.lit(OUTER) <= window).join(members.select("region", "class", "size"), ["region", "class"]).select("region", "class", "size", F.xxhash64("region", F.lit("outer"), F.lit(level)).alias("sub"))
-    subs = written(inner.unionByName(outer).distinct(), "voronoi")
-    sizes = subs.groupBy("region", "sub").agg(F.count(F.lit(1)).alias("sub_size"), F.first("size").alias("size"))
-    flat = sizes.groupBy("region").agg((F.sum("sub_size") > 1.5 * F.first("size")).alias("flat"))
-    split = subs.join(flat.where("NOT flat"), "region").select(F.col("sub").alias("region"), "class")
-    whole = members.join(flat.where("flat"), "region").select("region", "class", "size")
-    blocks = F.ceil(F.col("size") / F.lit(LEAF // 2)).cast("int")
-    own = whole.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pair = F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other"), F.lit(level), F.lit("block"))
-    return split.unionByName(dealt.select(pair.alias("region"), "class")).distinct()
+        open_ = written(now.join(_mixed(now), "region"), "open")
+        if turn < ROUNDS:
+            # one pivot for each region that is still mixed, the same in all regions where it comes first
+            first = open_.groupBy("region").agg(F.min_by(F.struct("class", "label"), F.xxhash64("class", F.lit(turn))).alias("p"))
+            spread = _pairs(F.col("class"), F.col("p.class"), open_.join(first, "region").where("label != p.label"))
+            measured = measured.unionByName(written(distances(spread.join(measured.select("a", "b"), ["a", "b"], "left_anti"), texts, n), "distances"))
+            links = measured.where(near(percent)).select("a", "b")
+            open_ = open_.select("region", "class")
+    if open_.isEmpty():
+        return known
+    return labels_of(links.unionByName(written(family_links(open_, texts, n, percent), "links")))
+
+
+def family_links(open_: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b): links between members of mixed regions that have different labels, one or more for each two labels that have any.
+
+    Regions that share members are one family, so that a member is sent once and not for each of its regions. A family is dealt to
+    blocks of bounded size, and each two blocks of it meet in one task.
+    """
+    heads = open_.groupBy("region").agg(F.min("class").alias("head"))
+    family = written(components(open_.join(heads, "region").select(F.col("class").alias("a"), F.col("head").alias("b"))), "families")
+    rows = family.select(F.col("node").alias("class"), F.col("root").alias("family")).join(open_.select("class", "label").distinct(), "class").join(texts, "class")
+    size = rows.groupBy("family").agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(BLOCK_MEMBERS), F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    rows = rows.join(size, "family").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    meeting = [F.col("family"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
+    dealt = rows.select(*meeting, "class", "label", "packed").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "class")
+
+    def run(batches):
+        unpress = zstandard.ZstdDecompressor()
+        held, key = [], None
+
+        def out():
+            a, b = _links_within([unpress.decompress(x[2]) for x in held], np.array([x[0] for x in held]), np.array([x[1] for x in held]), n, percent)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("family", "i", "j", "class", "label", "packed")]
+            for *at, cls, label, packed in zip(*columns):
+                if at != key:
+                    if len(held) > 1:
+                        yield out()
+                    held, key = [], at
+                held.append((cls, label, packed))
+        if len(held) > 1:
+            yield out()
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _links_within(raw: list[bytes], cls: np.ndarray, label: np.ndarray, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A linked pair of classes for each two labels that have one, by counting the common shingles of all members at once."""
+    none = np.zeros(0, np.int64)
+    if len(set(label.tolist())) < 2:
+        return none, none
+    m, data, offsets = len(raw), np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    parts = [(a, shingle_sets(data, offsets[a : b + 1], n)) for a, b in slices(offsets)]
+    doc, hashes, size = (np.concatenate(x) for x in zip(*((d + a, h, z) for a, (d, h, z) in parts)))
+    order = np.argsort(hashes, kind="stable")
+    doc, new = doc[order], first_of(hashes[order])
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column) > 1
+    doc, column = doc[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+    common = np.zeros((m, m), np.float32)
+    for at in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(column, (at, at + COLUMNS))
+        part = np.zeros((m, COLUMNS), np.float32)
+        part[doc[a:b], column[a:b] - at] = 1
+        common += part @ part.T
+    # the same on both sides of the sign, in whole numbers: (100 + percent) * common >= percent * (size + size)
+    linked = (100 + percent) * common.astype(np.int64) >= percent * (size[:, None] + size[None, :])
+    x, y = np.nonzero(np.triu(linked, 1) & (label[:, None] != label[None, :]))
+    if not len(x):
+        return none, none
+    two = np.sort(np.stack([label[x], label[y]]), axis=0)
+    _, first = np.unique(two, axis=1, return_index=True)
+    return cls[x[first]], cls[y[first]]
 
 
 def linked_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -318,8 +341,9 @@ def linked_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     sets = written(keyed(docs.select(doc_id, text), text, n, drop=(text,)), "sets")
     members = region_members(docs, text, n, percent)
     wanted = members.select(F.col("class").alias("__class")).distinct()
-    packed = keyed(docs.select(text), text, n, drop=(text,), packed=True).where("__class IS NOT NULL").select("__class", "__packed")
-    texts = written(packed.join(wanted, "__class", "left_semi").groupBy("__class").agg(F.first("__packed").alias("packed")).withColumnRenamed("__class", "class"), "texts")
+    packed = keyed(docs.select(text), text, n, drop=(text,), packed=True).where("__class IS NOT NULL").select("__class", "__packed", "__n")
+    texts = packed.join(wanted, "__class", "left_semi").groupBy("__class").agg(F.first("__packed").alias("packed"), F.first("__n").alias("n"))
+    texts = written(texts.withColumnRenamed("__class", "class"), "texts")
     labels = class_labels(members, texts, n, percent)
     of_class = sets.where("__class IS NOT NULL").groupBy("__class").agg(F.min(doc_id).alias("__least"))
     of_class = of_class.join(labels, of_class["__class"] == labels["class"], "left").withColumn("__label", F.coalesce("label", "__class"))
