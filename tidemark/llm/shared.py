@@ -34,6 +34,10 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a batch that are worked on at a time, which bounds the copies of texts in a Python worker.
+ROWS = 1_000
+
+
 def added(df: DataFrame, factory, columns: dict[str, str], drop: tuple[str, ...] = ()) -> DataFrame:
     """df with columns that Python computes from Arrow batches, without a shuffle.
 
@@ -46,8 +50,10 @@ def added(df: DataFrame, factory, columns: dict[str, str], drop: tuple[str, ...]
 
     def run(batches):
         make = factory()
-        for batch in batches:
-            made = make(batch)
-            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + [made[c] for c in columns], names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                made = make(batch)
+                yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + [made[c] for c in columns], names)
 
     return df.mapInArrow(run, StructType(kept + new.fields))
