@@ -7,7 +7,8 @@ of its styles, content importance 1 less the mean entropy of its features, so th
 one page has is 1. The composite importance of a branch is the mean over its nodes, falling with their depth. Each page
 loses its maximal branches of low importance, or of roles that are never main text.
 
-A page with an article (or main) element keeps branches of that element only.
+A page with an article (or main) element keeps branches of that element only, unless its host was judged and more text of
+importance stands outside: then the element is a branch like others.
 """
 
 from __future__ import annotations
@@ -34,12 +35,14 @@ NEVER_NAMES = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation "
     "newsletter notice popup promo related share sharing sidebar social sponsored subscribe widget complementary contentinfo search".split())
 ROOTS = ("article", "main")
+#: These hold the whole page.
+WHOLE = ("html", "body")
 #: In an article, only groups can be of low importance, not its own headings and paragraphs.
 GROUPS = frozenset("div section ul ol dl table figure".split())
 
 
 def excluded(node: Node, in_root: bool) -> bool:
-    return node.tag in RAW or node.tag in NEVER or node.tag == "header" and not in_root or bool(node.names & NEVER_NAMES) and node.tag not in ("html", "body")
+    return node.tag in RAW or node.tag in NEVER or node.tag == "header" and not in_root or bool(node.names & NEVER_NAMES) and node.tag not in WHOLE
 
 
 def roots_of(nodes: list[Node]) -> tuple[list[int], list[bool]]:
@@ -138,28 +141,44 @@ def importance(counts: DataFrame) -> DataFrame:
 
 
 def noisy(importances: DataFrame, threshold: float = THRESHOLD, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, nodes): the nodes of low composite importance on at least `least_pages` pages.
+    """(host, nodes): the nodes of low composite importance on at least `least_pages` pages, for hosts with so many pages.
 
     Inside an article a node must be a group of elements and the article itself important, so that a host full of copies
-    of one page keeps its text.
+    of one page keeps its text. Articles count as nodes where they do not decide.
     """
-    low = importances.where((F.col("pages") >= least_pages) & (F.col("composite") < threshold))
+    low = importances.where(F.col("pages") >= least_pages)
     roots = importances.select(F.col("host").alias("h2"), F.col("node").alias("n2"), F.col("composite").alias("root_importance"))
     low = low.join(roots, F.col("host").eqNullSafe(F.col("h2")) & (F.col("root") == F.col("n2")), "left")
     inside = (F.col("root") != F.col("node")) & F.col("tag").isin(*GROUPS) & (F.col("root_importance") >= threshold)
-    return low.where((F.col("root") == 0) | inside).groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
+    noise = (F.col("composite") < threshold) & ~F.col("tag").isin(*WHOLE) & ((F.col("root") == 0) | (F.col("root") == F.col("node")) | inside)
+    return low.groupBy("host").agg(F.sort_array(F.collect_set(F.when(noise, F.col("node")))).alias("nodes"))
 
 
-def main_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
-    """Text of a page without excluded and low-importance branches: white space within a block becomes one space, blocks are joined by one."""
+def main_text(page: str | None, low: frozenset[int] | None = None) -> str:
+    """Text of a page without excluded and low-importance branches: white space within a block becomes one space, blocks are joined by one.
+
+    low is None if the page's host was not judged.
+    """
     if not page:
         return ""
     nodes, runs = parse(page)
-    root, out = roots_of(nodes)
-    rooted = any(root[i] and not out[i] for i in range(len(nodes)))
-    for i, node in enumerate(nodes[1:], 1):
-        # html, body and the like stand above the article: they are not branches to remove
-        out[i] = out[i] or out[node.parent] and node.parent > 0 or node.path in low and not (rooted and not root[i])
+    root, never = roots_of(nodes)
+    rooted = any(root[i] and not never[i] for i in range(len(nodes)))
+
+    def left_out(rooted: bool) -> list[bool]:
+        out = list(never)
+        for i, node in enumerate(nodes[1:], 1):
+            # where articles decide, they stay whatever stands above them
+            top = rooted and root[i] == node.path
+            out[i] = never[i] or not top and (out[node.parent] or node.path in (low or ()))
+        return out
+
+    def length(out: list[bool], within: bool) -> int:
+        return sum(len("".join(text.split())) for i, text in runs if text and not out[i] and bool(root[i]) == within)
+
+    out = left_out(rooted)
+    if rooted and low is not None and length(out, False) > length(out, True):
+        rooted, out = False, left_out(False)
     words: list[str] = []
     block: list[str] = []
     for i, text in [*runs, (0, None)]:
@@ -184,7 +203,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", threshold: f
 
     def factory():
         def make(batch):
-            texts = [main_text(page, frozenset(low or ())) for page, low in zip(batch.column(html).to_pylist(), batch.column("__nodes").to_pylist())]
+            texts = [main_text(page, None if low is None else frozenset(low)) for page, low in zip(batch.column(html).to_pylist(), batch.column("__nodes").to_pylist())]
             return {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(x) for x in texts], pa.int64())}
 
         return make
