@@ -7,6 +7,9 @@ of its styles, content importance 1 less the mean entropy of its features, so th
 one page has is 1. The composite importance of a branch is the mean over its nodes, falling with their depth. Each page
 loses its maximal branches of low importance, or of roles that are never main text.
 
+Importance is counted over pages of different text, so that copies of a page are no template, and neither html and body nor
+all text of a page are ever of low importance.
+
 A page with an article (or main) element keeps branches of that element only, unless its host was judged and more text of
 importance stands outside: then the element is a branch like others.
 """
@@ -37,6 +40,8 @@ NEVER_NAMES = frozenset(
 ROOTS = ("article", "main")
 #: These hold the whole page.
 WHOLE = ("html", "body")
+#: What has no text of its own; the rest of a page is compared to find copies.
+MARKUP = r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|\s+"
 #: In an article, only groups can be of low importance, not its own headings and paragraphs.
 GROUPS = frozenset("div section ul ol dl table figure".split())
 
@@ -94,7 +99,7 @@ SCHEMA = "host string, node long, kind int, value long, n long, above array<long
 
 
 def node_counts(pages: DataFrame, host: str, html: str) -> DataFrame:
-    """The merged trees: (host, node, kind, value) and on how many pages, summed in each task before the shuffle."""
+    """The merged trees: (host, node, kind, value) and on how many pages of different text, summed in each task before the shuffle."""
     types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.string()]
 
     def run(batches):
@@ -114,6 +119,8 @@ def node_counts(pages: DataFrame, host: str, html: str) -> DataFrame:
         yield out()
 
     rows = pages.select(F.col(host).alias("host"), F.col(html).alias("html")).where("html IS NOT NULL")
+    # of pages of equal text one, the same in each run
+    rows = rows.groupBy("host", F.xxhash64(F.regexp_replace("html", MARKUP, " ")).alias("same")).agg(F.min("html").alias("html"))
     counted = rows.mapInArrow(run, SCHEMA).groupBy("host", "node", "kind", "value")
     return counted.agg(F.sum("n").alias("n"), F.max("above").alias("above"), F.max("root").alias("root"), F.max("tag").alias("tag"))
 
@@ -179,6 +186,8 @@ def main_text(page: str | None, low: frozenset[int] | None = None) -> str:
     out = left_out(rooted)
     if rooted and low is not None and length(out, False) > length(out, True):
         rooted, out = False, left_out(False)
+    if low and not length(out, True) + (0 if rooted else length(out, False)):
+        out = never
     words: list[str] = []
     block: list[str] = []
     for i, text in [*runs, (0, None)]:
