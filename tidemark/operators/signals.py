@@ -295,60 +295,86 @@ def next_bar_thresholds(df: DataFrame, keys, t: str, x: str, fast: int = 20, slo
 
 
 def scenario_sweep(df: DataFrame, keys, t: str, x: str, rule: dict | None = None, ratios: Sequence[float] = (), horizons=(1, 5, 10, 20)) -> DataFrame:
-    """Lowest hypothetical constant close (a grid of multiples of the last close) that has
-    the rule on within n more bars, per horizon n.
+    """Lowest hypothetical constant close that has the rule on within n more bars, per horizon n; with `ratios` the lowest of
+    these multiples of the last close.
 
-    Each grid price is one machine that starts from the state at the end of the history.
+    In closed form: after j equal closes p every mean is a p + b, so each test of bar j is an interval of p. The bounds are
+    limits: an entry test holds just above them. Null if no price does.
     """
     r = {**PRODUCTION_RULE, **(rule or {})}
-    flagged, _ = breakout_conditions(df, keys, t, x, [r])
-    ratios = np.array(ratios if len(ratios) else np.linspace(0.5, 3.0, 501))
+    flagged, machines = breakout_conditions(df, keys, t, x, [r])
     most = max(horizons)
-    schema = T.StructType([flagged.schema[k] for k in keys] + [T.StructField("last_close", T.DoubleType())]).add("price", "double").add("first_on", "integer")
-
-    need = max(r["slow"], r["fast"] + 5, r["breakout"]) + 1
-
-    def per_series(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(t)
-        p = rows[[x]].to_numpy(float)
-        stop, cooldown = np.array([r["stop"]]), np.array([r["cooldown"]])
-        _, memory = step_machines(p, rows[["entry_0"]].to_numpy(bool), rows[["leave_0"]].to_numpy(bool), stop, cooldown)
-        grid = ratios * p[-1, 0]
-        k = len(grid)
-        tail = p[-need:]
-        path = np.vstack([np.repeat(tail, k, axis=1), np.repeat(grid[None, :], most, axis=0)])
-        sums = np.vstack([np.zeros(k), np.cumsum(path, axis=0)])
-
-        def mean(n, at):
-            return (sums[at] - sums[at - n]) / n if at >= n else np.full(k, np.nan)
-
-        entry, leave = np.zeros((most, k), bool), np.zeros((most, k), bool)
-        for j in range(most):
-            end = len(tail) + j + 1
-            fast, slow = mean(r["fast"], end), mean(r["slow"], end)
-            known = end - 1 >= r["breakout"]
-            top = path[end - 1 - r["breakout"]:end - 1].max(axis=0) if known else np.full(k, np.nan)
-            trend = fast > slow * (1 + r["buffer"])
-            higher = (grid > top) & (grid > slow)
-            entry[j] = {"either": trend | higher, "both": trend & higher, "breakout": higher}[r["entry_mode"]]
-            if r["reentry_filter"] != "none":
-                entry[j] &= grid > fast
-            if r["reentry_filter"] == "rising_ma20":
-                entry[j] &= fast > mean(r["fast"], end - 5)
-            leave[j] = fast < slow * (1 - r["exit_buffer"])
-        start = tuple(np.repeat(m, k) for m in memory)
-        states, _ = step_machines(path[len(tail):], entry, leave, stop, cooldown, start)
-        first = np.where(states.any(axis=0), states.argmax(axis=0) + 1, 0)
-        out = pd.DataFrame({c: [rows[c].iloc[0]] * k for c in keys})
-        return out.assign(last_close=p[-1, 0], price=grid, first_on=first)
-
-    known = [F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("entry_0", "leave_0")]
-    swept = flagged.select(*keys, t, x, *known).groupBy(*keys).applyInPandas(per_series, schema)
-    hit = F.col("first_on") > 0
-    return swept.groupBy(*keys).agg(
-        F.first("last_close").alias("last_close"),
-        *[F.min(F.when(hit & (F.col("first_on") <= n), F.col("price"))).alias(f"within_{n}") for n in horizons],
-    )
+    w = ordered(keys, t)
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    past = fold_states(flagged, keys, t, x, machines, carry=[x])
+    before = F.lag("state", 1, 0.0).over(w)
+    past = past.withColumns({"__i": F.row_number().over(w), "__up": (F.col("state") > 0) & (before <= 0), "__down": (F.col("state") <= 0) & (before > 0)})
+    past = past.withColumn("__entry", F.max(F.when(F.col("__up"), F.col("__i"))).over(run))
+    past = past.withColumn("__peak", F.max(x).over(Window.partitionBy(*keys, "__entry")))
+    past = past.withColumn("__back", F.count(F.lit(1)).over(Window.partitionBy(*keys)) - F.col("__i") + 1)
+
+    fast, slow, top = r["fast"], r["slow"], r["breakout"]
+    ends = {n - j for n in (fast, slow) for j in range(1, most + 1)} | {fast - j for j in range(-4, most)} | {-j for j in range(-4, 1)}
+    sums = {k: F.sum(F.when(F.col("__back") <= k, F.col(x))) for k in range(1, max(slow, fast + 5) + 1) if k in ends or k < 5}
+    last = past.groupBy(*keys).agg(
+        F.max_by(x, t).alias("last_close"), F.max_by("state", t).alias("__on"), F.max_by("__peak", t).alias("__peak"),
+        F.max(F.when(F.col("__down"), F.col("__i"))).alias("__out"), F.max("__i").alias("__n"),
+        F.when(F.count(F.when(F.col("__back") <= top, F.col(x))) == top, F.max(F.when(F.col("__back") <= top, F.col(x)))).alias("__top"),
+        *[F.when(F.count(F.when(F.col("__back") <= k, F.col(x))) == k, v).alias(f"__s{k}") for k, v in sums.items()])
+
+    def mean(n: int, j: int):
+        """(a, b): the mean of n rows up to the j-th hypothetical bar is a p + b; b is null without n rows."""
+        if j >= n:
+            return 1.0, F.lit(0.0)
+        total = F.col(f"__s{n - j}")
+        return max(j, 0) / n, (total - F.col(f"__s{-j}") if j < 0 else total) / n
+
+    inf, never = float("inf"), (F.lit(0.0), F.lit(-1.0))
+
+    def above(u, v, factor: float = 1.0):
+        """The interval of prices at which u > factor * v."""
+        a, b = u[0] - factor * v[0], u[1] - F.lit(float(factor)) * v[1]
+        if abs(a) < 1e-12:
+            lo, hi = F.lit(0.0), F.when(b > 0, inf).otherwise(-1.0)
+        else:
+            lo, hi = (F.greatest(-b / a, F.lit(0.0)), F.lit(inf)) if a > 0 else (F.lit(0.0), -b / a)
+        return lo, F.when(b.isNull(), -1.0).otherwise(hi)
+
+    def both(*tests):
+        return (F.greatest(*[lo for lo, _ in tests]), F.least(*[hi for _, hi in tests])) if len(tests) > 1 else tests[0]
+
+    price = (1.0, F.lit(0.0))
+
+    def entry(j: int) -> Column:
+        """The least price that is let in at bar j."""
+        trend = above(mean(fast, j), mean(slow, j), 1 + r["buffer"])
+        # later, the close before is the same
+        higher = both(above(price, (0.0, F.col("__top"))), above(price, mean(slow, j))) if j == 1 else never
+        ways = {"either": [trend, higher], "both": [both(trend, higher)], "breakout": [higher]}[r["entry_mode"]]
+        filters = [above(price, mean(fast, j))] if r["reentry_filter"] != "none" else []
+        filters += [above(mean(fast, j), mean(fast, j - 5))] if r["reentry_filter"] == "rising_ma20" else []
+        found = [F.when(lo < hi, lo) for lo, hi in (both(way, *filters) for way in ways)]
+        return F.least(*found) if len(found) > 1 else found[0]
+
+    # held: out below the stop or when the means have crossed; without the means only the stop
+    a, b = mean(fast, 1)[0] - (1 - r["exit_buffer"]) * mean(slow, 1)[0], mean(fast, 1)[1] - F.lit(1 - r["exit_buffer"]) * mean(slow, 1)[1]
+    stop = F.col("__peak") * (1 - r["stop"])
+    if abs(a) < 1e-12:
+        held = F.when(b.isNull() | (b >= 0), stop)
+    else:
+        held = F.greatest(stop, F.when(b.isNotNull(), -b / a)) if a > 0 else F.when(b.isNull() | (stop <= -b / a), stop)
+    # bars that an exit still blocks; one at the first bar blocks the others by its own
+    blocked = F.when(F.col("__on") > 0, F.lit(max(r["cooldown"], 1))).otherwise(F.coalesce(F.col("__out") + (r["cooldown"] - 1) - F.col("__n"), F.lit(0)))
+    on = F.col("__on") > 0
+    low = last.withColumns({"__e0": F.when(on, held), **{f"__e{j}": F.when(blocked < j, entry(j)) for j in range(1, most + 1)}})
+    least = {n: F.least(*[f"__e{j}" for j in range(n + 1)]) for n in horizons}
+    if len(ratios):
+        def on_grid(n):
+            hits = [F.when((F.lit(float(q)) * F.col("last_close") > least[n]) | (F.lit(float(q)) * F.col("last_close") >= F.col("__e0")), F.lit(float(q)) * F.col("last_close")) for q in ratios]
+            return F.least(*hits) if len(hits) > 1 else hits[0]
+
+        least = {n: on_grid(n) for n in horizons}
+    return low.select(*keys, "last_close", *[v.alias(f"within_{n}") for n, v in least.items()])
 
 
 # combinations
