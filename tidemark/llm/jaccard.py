@@ -89,10 +89,10 @@ def universes(ring: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.
 
 
 def regions_of(doc: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, region) of sets: for its own ring and, if its size is in the window, the next ring."""
+    """(doc, region) of sets: for its own ring and each further ring that its window reaches, one where percent is 67 or more."""
     out = []
     own = ring_of(sizes)
-    for up in (0, 1):
+    for up in range(2 + math.floor(math.log(100 / percent) / math.log(RING) + 1e-9)):
         ring = own + up
         takes = sizes > 0
         if up:
