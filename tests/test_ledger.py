@@ -42,13 +42,13 @@ def fifo_loop(pdf):
     return filled, sorted(out)
 
 
-@pytest.mark.parametrize("blocks", [[], ["month", "part"]])
-def test_capped_sells_and_fifo_equal_a_loop(spark, blocks):
+@pytest.mark.parametrize("spread", [False, True])
+def test_capped_sells_and_fifo_equal_a_loop(spark, spread):
     pdf, df = trades(spark)
     filled, matches = fifo_loop(pdf)
-    capped = led.cap_sells(df, S, ORDER, blocks)
+    capped = led.cap_sells(df, S, ORDER, spread)
     assert {r["seq"]: r["filled"] for r in capped.collect()} == filled
-    got = led.fifo_match(capped, S, ORDER, blocks, position_blocks=[200.0, 40.0])
+    got = led.fifo_match(capped, S, ORDER)
     assert sorted((r["sell"]["seq"], r["lot"]["seq"], r["matched"]) for r in got.collect()) == matches
 
 
@@ -68,10 +68,18 @@ def test_books_balance_and_lots_are_conserved(spark):
     assert led.ledger_violations(led.daily_books(settled, S, "day", "cash_date", 10.0), S, "day").count() > 0
 
 
-def test_settlement_counts_sessions_and_stops_at_the_last(spark):
+def test_settlement_counts_sessions_and_is_open_past_the_last(spark):
     days = [dt.date(2024, 1, d) for d in (2, 3, 8, 9)]
     cal = led.session_shift(spark.createDataFrame([(d,) for d in days], "day date"), "day", confirm=1, cash=3).orderBy("day").collect()
-    assert [(r["session"], r["confirm"].day, r["cash"].day) for r in cal] == [(1, 3, 9), (2, 8, 9), (3, 9, 9), (4, 9, 9)]
+    day = lambda d: d and d.day
+    assert [(r["session"], day(r["confirm"]), day(r["cash"])) for r in cal] == [(1, 3, 9), (2, 8, None), (3, 9, None), (4, None, None)]
+
+
+def test_proceeds_stay_unsettled_without_a_cash_date(spark):
+    rows = [("a", dt.date(2024, 1, 2), "buy", 2.0, 5.0, dt.date(2024, 1, 3)), ("a", dt.date(2024, 1, 3), "sell", 2.0, 6.0, None)]
+    df = spark.createDataFrame(rows, "supp string, day date, side string, filled double, price double, cash_date date")
+    last = led.daily_books(df, ["supp"], "day", "cash_date", 10.0).orderBy("day").collect()[-1]
+    assert (last["day"].day, last["cash"], last["unsettled"], last["units"]) == (3, 0.0, 12.0, 0.0)
 
 
 def test_redemption_fee_by_age(spark):

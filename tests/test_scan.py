@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import align
-from tidemark.operators.scan import running
+from tidemark.operators.scan import PART, ranged, running
 
 
 def rows(n=600, seed=1):
@@ -18,12 +18,11 @@ def rows(n=600, seed=1):
 
 
 @pytest.mark.parametrize("reverse", [False, True])
-def test_blocked_scan_equals_plain_scan(spark, reverse):
+def test_ranged_scan_equals_plain_scan(spark, reverse):
     df = spark.createDataFrame(rows()).withColumn("m", F.when(F.isnan("m"), None).otherwise(F.col("m")))
-    df = df.withColumns({"week": F.floor(F.col("day") / 7), "part": F.struct("day", F.floor(F.col("seq") / 50).alias("p"))})
     aggs = {"s": ("sum", "v"), "lo": ("min", "v"), "hi": ("max", "v"), "l": ("last", "m")}
     plain = running(df, ["k"], ["day", "seq"], aggs, reverse=reverse)
-    blocked = running(df, ["k"], ["day", "seq"], aggs, ["week", "part"], reverse=reverse)
+    blocked = running(ranged(df, ["k"], ["day", "seq"]), ["k"], ["day", "seq"], aggs, reverse=reverse)
     cols = ["seq", "s", "lo", "hi", "l"]
     a, b = (x.select(*cols).toPandas().sort_values("seq").to_numpy(float) for x in (plain, blocked))
     np.testing.assert_allclose(a, b, atol=1e-9)
@@ -38,10 +37,25 @@ def asof_frames(spark):
 
 
 @pytest.mark.parametrize("strict", [False, True])
-@pytest.mark.parametrize("blocked", [False, True])
-def test_asof_join_equals_pandas(spark, strict, blocked):
+@pytest.mark.parametrize("spread", [False, True])
+def test_asof_join_equals_pandas(spark, strict, spread):
     left, right = asof_frames(spark)
     want = pd.merge_asof(left.sort_values("t"), right.sort_values("t"), on="t", by="k", allow_exact_matches=not strict).sort_values("id")
-    blocks = {"day": F.date_trunc("day", F.col("t")), "hour": F.date_trunc("hour", F.col("t"))} if blocked else None
-    got = align.asof_join(spark.createDataFrame(left), spark.createDataFrame(right), ["k"], "t", ["v"], strict=strict, blocks=blocks)
+    got = align.asof_join(spark.createDataFrame(left), spark.createDataFrame(right), ["k"], "t", ["v"], strict=strict, spread=spread)
     np.testing.assert_allclose(got.toPandas().sort_values("id")["v"].to_numpy(float), want["v"].to_numpy(float))
+
+
+def test_a_hot_key_spans_ranges(spark):
+    """One key with 90 % of the rows, null keys and a key that stands in the middle of a range."""
+    pdf = pd.DataFrame({"seq": np.arange(4000), "v": np.arange(4000) % 7}).astype({"v": "int64"})
+    key = F.when(F.col("seq") % 10 > 0, "hot").when(F.col("seq") % 20 == 0, None).otherwise(F.concat(F.lit("k"), (F.col("seq") % 90).cast("string")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that so few rows are cut at all
+    try:
+        cut = ranged(spark.createDataFrame(pdf).withColumn("k", key), ["k"], ["seq"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    sizes = cut.where("k = 'hot'").groupBy(PART).count().collect()
+    assert len(sizes) > 1 and max(r["count"] for r in sizes) < 3000
+    got = running(cut, ["k"], ["seq"], {"s": ("sum", "v")}).toPandas().sort_values("seq")
+    want = got["v"].groupby(got["k"].fillna("none")).cumsum()
+    assert (got["s"] == want).all()

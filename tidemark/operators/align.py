@@ -2,7 +2,7 @@
 
 No as-of join here compares pairs of rows: both sides are stacked, ordered once per key and
 the last seen right-hand value is carried forward, so the work is one sort. For sub-daily
-data pass `blocks` (see scan.running) so that a hot key is spread over many tasks.
+data pass `spread` (see scan.ranged) so that a hot key is cut into ranges of time.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import literal_rows, ordered
-from tidemark.operators.scan import running
+from tidemark.operators.scan import ranged, running
 
 
 def align_exact_ffill(left: DataFrame, right: DataFrame, keys, t: str, cols: Sequence[str], on: Sequence[str] | None = None) -> DataFrame:
@@ -39,14 +39,13 @@ def asof_join(
     strict: bool = False,
     default=None,
     match_time: str | None = None,
-    blocks: dict[str, Column] | None = None,
+    spread: bool = False,
 ) -> DataFrame:
     """Latest right row at or before (strict: before) each left time.
 
     `cols` come from the newest right row as a whole, nulls included. `match_time` names an
-    extra column with the time of that row. `blocks` maps block names to expressions over t.
+    extra column with the time of that row.
     """
-    blocks = blocks or {}
     passing = [c for c in left.columns if c not in keys and c != t]
     side_of_left = 0 if strict else 1
     lhs = left.select(
@@ -57,8 +56,9 @@ def asof_join(
         *keys, t, F.lit(1 - side_of_left).alias("__side"),
         F.struct(F.col(t).alias("__at"), *[F.col(c) for c in cols]).alias("__right"),
     )
-    both = lhs.unionByName(rhs, allowMissingColumns=True).withColumns(blocks)
-    both = running(both, keys, [t, "__side"], {"__seen": ("last", "__right")}, list(blocks))
+    both = lhs.unionByName(rhs, allowMissingColumns=True)
+    both = ranged(both, keys, [t, "__side"]) if spread else both
+    both = running(both, keys, [t, "__side"], {"__seen": ("last", "__right")})
     out = both.filter(F.col("__left").isNotNull())
     taken = []
     for c in cols:
@@ -191,18 +191,15 @@ def two_way_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return net.withColumn("side", F.when(F.col("copies") > 0, "first").otherwise("second")).withColumn("copies", F.abs("copies"))
 
 
-def dense_rank_all(df: DataFrame, group: Sequence[str], score: str, out: str = "place", width: float | None = None) -> DataFrame:
+def dense_rank_all(df: DataFrame, group: Sequence[str], score: str, out: str = "place", spread: bool = False) -> DataFrame:
     """Dense rank of every row by falling score.
 
-    Only the distinct scores are ordered; with `width` they are scanned in blocks of that
-    score range, so even one huge group is spread over many tasks.
+    Only the distinct scores are ordered; with `spread` in ranges, so that even one huge group is
+    scanned by many tasks.
     """
     levels = df.select(*group, score).distinct().withColumns({"__low": -F.col(score), "__one": F.lit(1)})
-    blocks = []
-    if width:
-        levels = levels.withColumn("__block", F.floor(F.col("__low") / width))
-        blocks = ["__block"]
-    ranked = running(levels, group, ["__low"], {out: ("sum", "__one")}, blocks).select(*group, score, F.col(out).cast("int").alias(out))
+    levels = ranged(levels, group, ["__low"]) if spread else levels
+    ranked = running(levels, group, ["__low"], {out: ("sum", "__one")}).select(*group, score, F.col(out).cast("int").alias(out))
     return df.join(ranked, [*group, score])
 
 

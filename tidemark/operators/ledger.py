@@ -1,8 +1,9 @@
 """Trade tables to ledgers: order costs, settlement, FIFO lots, daily books and checks.
 
 A trade table has keys, `day`, ordering columns, `side` ('buy' or 'sell'), `units` and
-`amount`. One key may own any share of all trades, so running quantities use blocked scans
-and FIFO matching is a merge of two cumulative curves, never a join of buys with sells.
+`amount`. One key may own any share of all trades, so with `spread` running quantities are scanned
+over ranges of trades (scan.ranged). FIFO matching is a merge of two cumulative curves, never a join
+of buys with sells.
 """
 
 from __future__ import annotations
@@ -13,55 +14,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import REDEMPTION_TIERS, floor_to, ordered, tiered_rate
-from tidemark.operators.scan import running
+from tidemark.operators.scan import PART, ranged, running
 from tidemark.session import materialise
 
 
-def cap_sells(trades: DataFrame, keys, order: Sequence[str], blocks: Sequence[str] = ()) -> DataFrame:
+def cap_sells(trades: DataFrame, keys, order: Sequence[str], spread: bool = False) -> DataFrame:
     """Limit each sell to the units held, in order.
 
     With S the running net and M = min(0, lowest S so far), S - M is what is held, so a sell
-    is cut by exactly how far it pushes M down. Needs two running scans and no loop.
+    is cut by exactly how far it pushes M down. Needs two running scans and no loop. With
+    `spread` the result is written once and keeps its ranges (PART) for `fifo_match`.
     """
     net = F.when(F.col("side") == "buy", F.col("units")).otherwise(-F.col("units"))
-    keep = materialise if blocks else (lambda d: d)
-    df = keep(trades.withColumn("__net", net))
-    df = running(df, keys, order, {"__s": ("sum", "__net")}, blocks)
-    df = keep(df.withColumn("__p", F.col("__s") - F.col("__net")))
-    df = running(df, keys, order, {"__low": ("min", "__p")}, blocks)
+    df = (ranged(trades, keys, order) if spread else trades).withColumn("__net", net)
+    df = running(df, keys, order, {"__s": ("sum", "__net")}).withColumn("__p", F.col("__s") - F.col("__net"))
+    df = running(df, keys, order, {"__low": ("min", "__p")})
     low = F.least(F.col("__low"), F.lit(0.0))
     cut = F.greatest(low - F.col("__s"), F.lit(0.0))
     filled = F.when(F.col("side") == "buy", F.col("units")).otherwise(F.col("units") - cut)
     df = df.withColumn("filled", filled)
-    return df.withColumn("held", F.col("__s") - F.least(low, F.col("__s"))).drop("__net", "__s", "__p", "__low")
+    df = df.withColumn("held", F.col("__s") - F.least(low, F.col("__s"))).drop("__net", "__s", "__p", "__low")
+    return materialise(df) if spread else df
 
 
-def fifo_match(trades: DataFrame, keys, order: Sequence[str], blocks: Sequence[str] = (), units: str = "filled",
-               position_blocks: Sequence[float] = ()) -> DataFrame:
+def fifo_match(trades: DataFrame, keys, order: Sequence[str], units: str = "filled") -> DataFrame:
     """First bought, first sold: one row per (sell, lot) overlap with the units matched.
 
     On the axis of cumulative units, buys and sells each cut the line into intervals. The
     end points of both are sorted together; every piece between neighbouring ends lies in
     the next buy interval and the next sell interval. The result has at most one row per
-    trade. `position_blocks` are block widths on that axis, coarse to fine.
+    trade. Trades with ranges (of `cap_sells`) are scanned by range, and so is the axis of units.
     """
-    ids = [c for c in trades.columns if c not in keys]
+    spread = PART in trades.columns
+    ids = [c for c in trades.columns if c not in keys and c != PART]
     live = trades.filter(F.col(units) > 0)
     is_buy = F.col("side") == "buy"
     live = live.withColumns({"__b": F.when(is_buy, F.col(units)).otherwise(0.0), "__s": F.when(is_buy, 0.0).otherwise(F.col(units))})
-    keep = materialise if blocks else (lambda d: d)
-    live = keep(live)
-    live = running(live, keys, order, {"__eb": ("sum", "__b"), "__es": ("sum", "__s")}, blocks)
+    live = running(live, keys, order, {"__eb": ("sum", "__b"), "__es": ("sum", "__s")})
     end = F.when(is_buy, F.col("__eb")).otherwise(F.col("__es"))
     interval = F.struct(end.alias("end"), (end - F.col(units)).alias("start"), *[F.col(c) for c in ids])
     ends = live.select(
         *keys, end.alias("__pos"), is_buy.cast("int").alias("__kind"),
         F.when(is_buy, interval).alias("__lot"), F.when(~is_buy, interval).alias("__sell"),
     )
-    names = [f"__pb{i}" for i in range(len(position_blocks) if blocks else 0)]
-    if names:
-        ends = keep(ends.withColumns({n: F.floor(F.col("__pos") / width) for n, width in zip(names, position_blocks)}))
-    ends = running(ends, keys, ["__pos", "__kind"], {"lot": ("last", "__lot"), "sell": ("last", "__sell")}, names, reverse=True)
+    if spread:
+        # written before it is cut, so that the sample for the ranges does not run the scan again
+        ends = ranged(materialise(ends), keys, ["__pos", "__kind"])
+    ends = running(ends, keys, ["__pos", "__kind"], {"lot": ("last", "__lot"), "sell": ("last", "__sell")}, reverse=True)
     overlap = F.least("lot.end", "sell.end") - F.greatest("lot.start", "sell.start")
     # the piece that ends at this row; ends that coincide leave an empty second piece
     first_of_tie = F.col("__pos") == F.least("lot.end", "sell.end")
@@ -102,15 +101,13 @@ def metal_order(purchase, price, half_spread: float = 2.5, slippage: float = 0.0
 
 
 def session_shift(calendar: DataFrame, t: str, **shifts: int) -> DataFrame:
-    """Calendar with, per name, the session k rows later; past the end, the last session.
+    """Calendar with, per name, the session k rows later; null (still pending) past the end.
 
     The shift is looked up once per session, so settling trades is an equality join.
     """
     days = calendar.select(t).distinct().withColumn("__one", F.lit(1))
     w = ordered(["__one"], t)
-    whole = Window.partitionBy("__one")
-    return days.select(t, F.row_number().over(w).alias("session"),
-                       *[F.coalesce(F.lead(t, k).over(w), F.max(t).over(whole)).alias(n) for n, k in shifts.items()])
+    return days.select(t, F.row_number().over(w).alias("session"), *[F.lead(t, k).over(w).alias(n) for n, k in shifts.items()])
 
 
 def settle(trades: DataFrame, calendar: DataFrame, t: str, confirm: int = 1, settle_days: int = 1) -> DataFrame:
@@ -123,7 +120,7 @@ def daily_books(trades: DataFrame, keys, t: str, cash_date: str, initial: float,
 
     Trade and settlement rows are summed per key and day first; only that daily table is
     scanned in order. Money is summed as decimals (order independent). The price is the day's mean trade price,
-    carried forward over days without trades.
+    carried forward over days without trades. Proceeds without a cash date stay unsettled.
     """
     money = "decimal(28,8)"
     is_buy = F.col("side") == "buy"
@@ -142,7 +139,7 @@ def daily_books(trades: DataFrame, keys, t: str, cash_date: str, initial: float,
         move(F.col(cash_date), sell_value, none, -sell_value, no_money, none),
     )))
     names = ["__cash", "__units", "__due", "__value", "__size"]
-    daily = moves.groupBy(*keys, "__d").agg(*[F.sum(c).alias(c) for c in names]).withColumnRenamed("__d", t)
+    daily = moves.where("__d IS NOT NULL").groupBy(*keys, "__d").agg(*[F.sum(c).alias(c) for c in names]).withColumnRenamed("__d", t)
     w = ordered(keys, t)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     own = F.when(F.col("__size") > 0, F.col("__value").cast("double") / F.col("__size"))

@@ -2,11 +2,11 @@
 
 A plain `Window.partitionBy(key)` puts a whole key into one task. That is fine at daily
 grain (one row per series and date, so a century is 36,525 rows) but not for trades, ticks
-or messages, where a single key may hold a third of the table. `running` then takes
-`blocks`: columns that never decrease along the order, coarse to fine. Rows are scanned
-inside (keys, blocks); block totals, which are partially aggregated before the shuffle, are
-scanned level by level and added as a carry. No task sees more than one fine block, or one
-level of block totals.
+or messages, where a single key may hold a third of the table. There, `ranged` cuts the
+table into ranges of (keys, order) of about equal size and writes it with the number of the
+range; `running` then scans inside (keys, range) and adds what earlier ranges of the key
+sum up to. A hot key spans as many ranges as it needs. Only keys that span two ranges or
+more have a carry, so there are at most two of those rows per range.
 """
 
 from __future__ import annotations
@@ -16,7 +16,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# name -> (aggregate over a block, how an earlier carry joins a later value)
+from tidemark.session import materialise
+
+PART = "__part"
+
+# how an earlier carry joins a later value
 _COMBINE = {
     "sum": lambda carry, own: F.coalesce(carry + own, own, carry),
     "min": lambda carry, own: F.least(carry, own),
@@ -31,76 +35,46 @@ def _apply(fn: str, c) -> Column:
     return {"sum": F.sum, "min": F.min, "max": F.max}[fn](c)
 
 
-def running(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence,
-    aggs: dict[str, tuple[str, str]],
-    blocks: Sequence[str] = (),
-    reverse: bool = False,
-) -> DataFrame:
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
+    """df with PART, the number of its range of (keys, order), written once.
+
+    Rows of equal (keys, order) share a range. Numbers rise along (keys, order), nulls first.
+    """
+    cut = df.repartitionByRange(*[F.col(c) if isinstance(c, str) else c for c in [*keys, *order]])
+    return materialise(cut.withColumn(PART, F.spark_partition_id()))
+
+
+def running(df: DataFrame, keys: Sequence[str], order: Sequence, aggs: dict[str, tuple[str, str]], reverse: bool = False) -> DataFrame:
     """Add `{out: (fn, column)}` inclusive running aggregates; fn is sum, min, max or last.
 
     `last` is the latest non-null value. With `reverse` the scan runs from the end, so
-    `last` becomes "next non-null at or after this row".
+    `last` becomes "next non-null at or after this row". A df of `ranged` (same keys and
+    order) is scanned range by range; any other, key by key.
     """
-    keys, blocks, order = list(keys), list(blocks), list(order)
+    keys = list(keys)
 
     def direction(cols):
         cols = [F.col(c) if isinstance(c, str) else c for c in cols]
         return [c.desc() for c in cols] if reverse else [c.asc() for c in cols]
 
-    local = (
-        Window.partitionBy(*keys, *blocks)
-        .orderBy(*direction(order))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    if not blocks:
-        return df.withColumns({o: _apply(fn, c).over(local) for o, (fn, c) in aggs.items()})
-
-    pick_last = F.min_by if reverse else F.max_by
-    position = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order])
-
-    def total(fn, c):
-        if fn == "last":
-            # a null position makes max_by skip the row
-            return pick_last(F.col(c), F.when(F.col(c).isNotNull(), position))
-        return _apply(fn, c)
-
-    fine = df.groupBy(*keys, *blocks).agg(*[total(fn, c).alias(f"__t_{o}") for o, (fn, c) in aggs.items()])
-    levels = [fine]
-    for depth in range(len(blocks) - 1, 0, -1):
-        lower = levels[0]
-        pos = F.col(blocks[depth])
-        agg = []
-        for o, (fn, _) in aggs.items():
-            t = F.col(f"__t_{o}")
-            agg.append(
-                (pick_last(t, F.when(t.isNotNull(), pos)) if fn == "last" else _apply(fn, f"__t_{o}")).alias(f"__t_{o}")
-            )
-        levels.insert(0, lower.groupBy(*keys, *blocks[:depth]).agg(*agg))
-
-    carry = None
-    for depth, level in enumerate(levels, start=1):
-        before = (
-            Window.partitionBy(*keys, *blocks[: depth - 1])
-            .orderBy(*direction([blocks[depth - 1]]))
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        level = level.select(
-            *keys, *blocks[:depth],
-            *[_apply(fn, f"__t_{o}").over(before).alias(f"__c_{o}") for o, (fn, _) in aggs.items()],
-        )
-        if carry is not None:
-            up = carry.withColumnsRenamed({f"__c_{o}": f"__u_{o}" for o in aggs})
-            level = level.join(up, keys + blocks[: depth - 1], "left")
-            level = level.withColumns(
-                {f"__c_{o}": _COMBINE[fn](F.col(f"__u_{o}"), F.col(f"__c_{o}")) for o, (fn, _) in aggs.items()}
-            ).drop(*[f"__u_{o}" for o in aggs])
-        carry = level
-
-    out = df.withColumns({f"__l_{o}": _apply(fn, c).over(local) for o, (fn, c) in aggs.items()})
-    out = out.join(carry, keys + blocks, "left")
-    return out.withColumns(
-        {o: _COMBINE[fn](F.col(f"__c_{o}"), F.col(f"__l_{o}")) for o, (fn, _) in aggs.items()}
-    ).drop(*[f"__l_{o}" for o in aggs], *[f"__c_{o}" for o in aggs])
+    if PART not in df.columns:
+        w = Window.partitionBy(*keys).orderBy(*direction(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumns({o: _apply(fn, c).over(w) for o, (fn, c) in aggs.items()})
+
+    w = Window.partitionBy(*keys, PART).orderBy(*direction(order))
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = df.withColumns({f"__l_{o}": _apply(fn, c).over(so_far) for o, (fn, c) in aggs.items()})
+    # what a range sums up to stands on its last row
+    ends = local.withColumn("__more", F.lead(F.lit(1)).over(w)).where("__more IS NULL")
+    totals = ends.select(*keys, PART, *[f"__l_{o}" for o in aggs], F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("__ranges"))
+    before = Window.partitionBy(*keys).orderBy(*direction([PART])).rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.where("__ranges > 1").select(
+        *[F.col(k).alias(f"__k_{k}") for k in keys], F.col(PART).alias("__k_part"),
+        *[_apply(fn, f"__l_{o}").over(before).alias(f"__c_{o}") for o, (fn, _) in aggs.items()])
+    same = F.col(PART) == F.col("__k_part")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    # at most two rows per range: keys that begin or end inside it
+    out = local.join(F.broadcast(carry), same, "left")
+    out = out.withColumns({o: _COMBINE[fn](F.col(f"__c_{o}"), F.col(f"__l_{o}")) for o, (fn, _) in aggs.items()})
+    return out.drop(*carry.columns, *[f"__l_{o}" for o in aggs])

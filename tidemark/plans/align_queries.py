@@ -60,8 +60,7 @@ def asof_on_ticks(spark, sf):
     ev = table(spark, sf, "events").filter(F.col("event_type").isin("purchase", "view"))
     buys = ev.filter("event_type = 'purchase'").select("user_id", "ts", "event_id")
     views = ev.filter("event_type = 'view'").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
-    blocks = {name: F.date_trunc(name, F.col("ts")) for name in ("day", "minute")}
-    out = align.asof_join(buys, views, ["user_id"], "ts", ["value"], match_time="view_ts", blocks=blocks)
+    out = align.asof_join(buys, views, ["user_id"], "ts", ["value"], match_time="view_ts", spread=True)
     return out.select("event_id", "user_id", "view_ts", "value")
 
 

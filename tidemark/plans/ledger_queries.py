@@ -11,11 +11,8 @@ from tidemark.plans.views import BARS, CAL, product_calendar, table
 from tidemark.session import materialise
 
 S = ["supp"]
-# a lot can be sold from the day its purchase is confirmed on, so purchases stand at that day
-ORDER = ["usable", "side", "l_orderkey", "l_linenumber"]
-# months, then days cut by ranges of a million orders: bounds every task even for one hot supplier
-BLOCKS = ["month", "stripe"]
-POSITION_BLOCKS = [1e8, 1e4]
+# a lot can be sold from the day its purchase is confirmed on, so purchases stand at that day; unconfirmed ones after all sells
+ORDER = ["pending", "usable", "side", "l_orderkey", "l_linenumber"]
 # a prime, so that equity as a multiple of it never ends in a rounding tie
 INITIAL = 9_999_991.0
 
@@ -29,22 +26,21 @@ def trades(spark, sf):
     t = t.withColumn("price", F.col("amount") / F.col("units"))
     t = t.join(led.session_shift(sessions(spark, sf), "day", confirmed=1).drop("session"), "day")
     t = t.withColumn("usable", F.when(F.col("side") == "buy", F.col("confirmed")).otherwise(F.col("day")))
-    return t.withColumns({"month": F.trunc("usable", "MM"), "stripe": F.struct("usable", "side", F.floor(F.col("l_orderkey") / 1000000).alias("part"))})
+    return t.withColumn("pending", F.col("usable").isNull())
 
 
-def filled(spark, sf, blocks=None):
-    blocks = BLOCKS if blocks is None else blocks
-    return led.cap_sells(trades(spark, sf), S, ORDER, blocks)
+def filled(spark, sf):
+    return led.cap_sells(trades(spark, sf), S, ORDER, spread=True)
 
 
 TRADES = """
 trades AS (SELECT l_suppkey AS supp, CAST(l_shipdate AS DATE) AS day, l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'N' THEN 'buy' ELSE 'sell' END AS side,
    sum(l_quantity) AS units, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS amount FROM lineitem WHERE l_returnflag IN ('N', 'R') GROUP BY ALL),
-ses AS (SELECT day, CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS session, coalesce(lead(day, 1) OVER (ORDER BY day), max(day) OVER ()) AS confirm_date,
-   coalesce(lead(day, 3) OVER (ORDER BY day), max(day) OVER ()) AS cash_date FROM (SELECT DISTINCT day FROM trades)),
+ses AS (SELECT day, CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS session, lead(day, 1) OVER (ORDER BY day) AS confirm_date,
+   lead(day, 3) OVER (ORDER BY day) AS cash_date FROM (SELECT DISTINCT day FROM trades)),
 tr0 AS (SELECT trades.*, confirm_date AS confirmed, CASE WHEN side = 'buy' THEN confirm_date ELSE day END AS usable FROM trades JOIN ses USING (day)),
-tr1 AS (SELECT *, amount / units AS price, row_number() OVER (PARTITION BY supp ORDER BY usable, side, l_orderkey, l_linenumber) AS k,
-   sum(CASE WHEN side = 'buy' THEN units ELSE -units END) OVER (PARTITION BY supp ORDER BY usable, side, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING) AS s FROM tr0),
+tr1 AS (SELECT *, amount / units AS price, row_number() OVER (PARTITION BY supp ORDER BY usable NULLS LAST, side, l_orderkey, l_linenumber) AS k,
+   sum(CASE WHEN side = 'buy' THEN units ELSE -units END) OVER (PARTITION BY supp ORDER BY usable NULLS LAST, side, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING) AS s FROM tr0),
 tr2 AS (SELECT *, s - least(0.0, min(s) OVER (PARTITION BY supp ORDER BY k ROWS UNBOUNDED PRECEDING)) AS held FROM tr1),
 fills AS (SELECT *, CASE WHEN side = 'buy' THEN units ELSE coalesce(lag(held) OVER (PARTITION BY supp ORDER BY k), 0.0) - held END AS filled FROM tr2)"""
 
@@ -59,10 +55,9 @@ def sells_capped_by_holdings(spark, sf):
     return filled(spark, sf).select("supp", "day", "l_orderkey", "l_linenumber", "side", "units", "filled", "held")
 
 
-def matched(spark, sf, blocks=None):
-    blocks = BLOCKS if blocks is None else blocks
-    t = filled(spark, sf, blocks)
-    return t, led.fifo_match(t, S, ORDER, blocks, position_blocks=POSITION_BLOCKS)
+def matched(spark, sf):
+    t = filled(spark, sf)
+    return t, led.fifo_match(t, S, ORDER)
 
 
 @query("led2_fifo_match", f"WITH {TRADES}, {MATCHES} SELECT supp, buy_order, buy_line, sell_order, sell_line, matched, CAST(sell_day - buy_day AS INTEGER) AS age FROM matches")
@@ -74,9 +69,11 @@ def fifo_match(spark, sf):
 
 @query("led3_redemption_fees", f"""WITH {TRADES}, {MATCHES}
 SELECT supp, sum(matched) AS units, round(sum(matched * sell_price * CASE WHEN sell_day - buy_day < 7 THEN 0.015 WHEN sell_day - buy_day < 30 THEN 0.005 ELSE 0 END), 2) AS fee,
- CAST(sum(CASE WHEN sell_day - buy_day < 30 THEN matched ELSE 0 END) AS DOUBLE) AS young_units FROM matches GROUP BY 1""")
+ CAST(sum(CASE WHEN sell_day - buy_day < 30 THEN matched ELSE 0 END) AS DOUBLE) AS young_units FROM matches WHERE sell_day IS NOT NULL GROUP BY 1""")
 def redemption_fees(spark, sf):
     _, m = matched(spark, sf)
+    # the fee is due on confirmation
+    m = m.where("sell.confirmed IS NOT NULL")
     out = led.redemption_fees(m, S, F.col("sell.price"), F.col("sell.confirmed"), F.col("lot.confirmed"))
     return out.select("supp", "units", F.round("fee", 2).alias("fee"), "young_units")
 
@@ -116,7 +113,7 @@ BOOKS = f"""
 mv AS (SELECT supp, day, CASE WHEN side = 'buy' THEN -CAST(price * filled AS DECIMAL(28,8)) ELSE 0 END AS cash, CASE WHEN side = 'buy' THEN filled ELSE -filled END AS u,
    CASE WHEN side = 'buy' THEN 0 ELSE CAST(price * filled AS DECIMAL(28,8)) END AS due, CAST(price * filled AS DECIMAL(28,8)) AS v, filled AS size FROM fills
   UNION ALL SELECT supp, cash_date, CASE WHEN side = 'buy' THEN 0 ELSE CAST(price * filled AS DECIMAL(28,8)) END, 0.0,
-   CASE WHEN side = 'buy' THEN 0 ELSE -CAST(price * filled AS DECIMAL(28,8)) END, 0, 0.0 FROM fills JOIN ses USING (day)),
+   CASE WHEN side = 'buy' THEN 0 ELSE -CAST(price * filled AS DECIMAL(28,8)) END, 0, 0.0 FROM fills JOIN ses USING (day) WHERE cash_date IS NOT NULL),
 dd AS (SELECT supp, day, sum(cash) AS cash, sum(u) AS u, sum(due) AS due, sum(v) AS v, sum(size) AS size FROM mv GROUP BY 1, 2),
 bk AS (SELECT supp, day, CAST(sum(cash) OVER w AS DOUBLE) + {INITIAL:.1f}::DOUBLE AS cash, sum(u) OVER w AS units, CAST(sum(due) OVER w AS DOUBLE) AS unsettled,
    last_value(CASE WHEN size > 0 THEN CAST(v AS DOUBLE) / size END IGNORE NULLS) OVER w AS price FROM dd WINDOW w AS (PARTITION BY supp ORDER BY day ROWS UNBOUNDED PRECEDING)),
@@ -140,9 +137,7 @@ def daily_books(spark, sf):
 o AS (SELECT supp, sum(filled) AS b FROM fills WHERE side = 'buy' GROUP BY 1), u AS (SELECT supp, sum(matched) AS m FROM matches GROUP BY 1), l AS (SELECT supp, arg_max(units, day) AS units FROM books GROUP BY 1)
 SELECT rule, broken FROM br WHERE broken > 0 UNION ALL SELECT 'lots_conserved', count(*) FILTER (abs(l.units - (b - coalesce(m, 0))) > 1e-5) FROM o JOIN l USING (supp) LEFT JOIN u USING (supp)""")
 def invariant_checks(spark, sf):
-    blocks = BLOCKS
-    t = materialise(filled(spark, sf, blocks))
-    m = led.fifo_match(t, S, ORDER, blocks, position_blocks=POSITION_BLOCKS)
+    t, m = matched(spark, sf)
     b = materialise(books(spark, sf, t))
     daily = led.ledger_violations(b, S, "day").groupBy("rule").agg(F.count(F.lit(1)).alias("broken"))
     lots = led.lots_conserved(b, led.open_lots(t, m, S), S, "day").agg(F.lit("lots_conserved").alias("rule"), F.count(F.lit(1)).alias("broken"))

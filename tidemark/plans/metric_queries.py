@@ -249,4 +249,4 @@ def best_return_within_drawdown(spark, sf):
 SELECT series_id, strategy, phase, CAST(dense_rank() OVER (PARTITION BY phase ORDER BY round(return_pct, 6) DESC) AS INTEGER) AS place FROM perf""")
 def all_combinations_ranked(spark, sf):
     perf = materialise(met.performance(curves(spark, sf), K, "date", PHASES).select(*K, "phase", F.round("return_pct", 6).alias("r")))
-    return align.dense_rank_all(perf, ["phase"], "r", width=5.0).drop("r")
+    return align.dense_rank_all(perf, ["phase"], "r", spread=True).drop("r")

@@ -28,17 +28,22 @@ def local_session(cpus: str = "8", partitions: str = "8", memory: str = "8g") ->
     return spark
 
 
+#: Folders of local sessions that name none, by application.
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: spark.checkpoint.dir, or the context's checkpoint directory.
 
-    Only a local master may have neither; it gets a new temporary folder.
+    Only a local master may have neither; it gets one new temporary folder per application.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _own_folders.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="tidemark-")
+        _own_folders[context.applicationId] = folder
     return folder.rstrip("/")
 
 
