@@ -17,9 +17,9 @@ def shingles(text, n=3):
     return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
 
 
-def brute(rows, percent=90):
+def brute(rows, percent=90, n=3):
     """(n_shingles, component) per row, by comparing all pairs."""
-    sets = [shingles(t) for _, t in rows]
+    sets = [shingles(t, n) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(x):

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, jaccard, language, line_dedup, mixing, quality, sharding, site_tree, token_counts, token_output
+from tidemark.llm import (decontamination, jaccard, language, line_dedup, merkle, mixing, packing, period_runs, quality, sharding, site_tree,
+                          token_counts, token_output)
 from tidemark.llm.registry import query
 from tidemark.llm.shared import fresh
 
@@ -155,3 +156,122 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     vocabulary = token_counts.from_sentencepiece(tokenizer_file("piece_bpe_32k.model"))
     docs = table(spark, sf, "documents").select("doc_id", "text").withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
     return token_counts.count_tokens(docs, vocabulary, drop=("text",))
+
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+#: crc32 of a decimal id: list_reduce over its bytes (each followed by eight shifts, written as -1).
+CRC_SQL = """
+crc AS (
+  SELECT DISTINCT doc_id, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+         lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+         lambda h, x: CASE WHEN x >= 0 THEN xor(h, x) ELSE xor(h >> 1, 3988292384 * (h & 1)) END)) AS h
+  FROM documents WHERE doc_id IS NOT NULL)"""
+
+OP11_SQL = f"""
+WITH {CRC_SQL},
+raw AS (SELECT doc_id, h, coalesce(regexp_extract_all(text, '{WORD}'), []) AS w FROM documents LEFT JOIN crc USING (doc_id)),
+plan AS (SELECT *, len(w) AS n, h // 10 AS g, h % 10 = 0 AND len(w) > 0 AS planted FROM raw),
+places AS (SELECT *, CASE WHEN planted THEN g % n END AS a, CASE WHEN planted THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM plan),
+texts AS (SELECT doc_id, n, CASE WHEN planted THEN list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM places),
+-- the words of a run that have a copy one period on are 6 or more
+grams AS (SELECT doc_id, array_to_string(w[i + 1 : i + 6], ' ') AS gram, i FROM (SELECT *, unnest(range(0, n - 5)) AS i FROM texts WHERE n >= 12)),
+again AS (SELECT * FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
+pairs AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM again x JOIN again y ON x.doc_id = y.doc_id AND x.gram = y.gram AND x.i < y.i),
+islands AS (SELECT doc_id, q, min(i) AS start, count(*) + 5 AS same FROM
+  (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs) GROUP BY doc_id, q, island),
+runs AS (SELECT doc_id, start, same + q AS length, min(q) AS period FROM islands WHERE same >= q AND same + q >= 12 GROUP BY ALL),
+-- one period and length have one run only: a longer stretch of a multiple of the period is the same stretch
+longest AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) = 1),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY doc_id),
+dropped AS (SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(range(start + period, start + length)) AS i FROM runs) GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS words FROM
+  (SELECT doc_id, unnest(range(0, n)) AS i, unnest(w) AS word FROM texts WHERE n > 0) LEFT JOIN (SELECT doc_id, unnest(gone) AS i, true AS gone FROM dropped) USING (doc_id, i)
+  WHERE gone IS NULL GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, l.start, l.length, l.period, 1000 * l.length // l.period AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
+FROM texts t LEFT JOIN longest l USING (doc_id) LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Documents of which one in ten repeats a stretch of its words up to its end, chosen by the checksum of the id."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    docs = docs.withColumns({"__g": F.floor(h / 10), "__w": F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))})
+    n = F.size("__w").cast("long")
+    a = F.pmod(F.col("__g"), n)
+    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + F.col("__g") % 8))
+    whole = F.flatten(F.array_repeat(F.slice("__w", (a + 1).cast("int"), p.cast("int")), F.ceil((n - a) / p).cast("int")))
+    repeated = F.slice(F.concat(F.slice("__w", F.lit(1), a.cast("int")), whole), F.lit(1), n.cast("int"))
+    return docs.withColumn("text", F.when(F.size("__w") > 0, F.array_join(repeated, " ")).otherwise(F.col("text"))).drop("__g", "__w")
+
+
+@query("op11_suffix_tree_runs", OP11_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    """Periodic runs of words in each document."""
+    return period_runs.digests(with_planted_runs(table(spark, sf, "documents").select("doc_id", "text")), drop=("text",))
+
+
+_LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def _leaf_sql(n_chars: str) -> str:
+    part = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    return "sha256(" + " || ".join(part(c if c != "n_chars" else f"({n_chars})") for c in _LEAF) + ")"
+
+
+OP12_SQL = f"""
+WITH RECURSIVE {CRC_SQL},
+leaves AS (
+  SELECT d.doc_id, lang, {_leaf_sql("n_chars")} AS leaf, CASE WHEN h % 7 = 0 THEN {_leaf_sql("n_chars + 1")} ELSE {_leaf_sql("n_chars")} END AS changed
+  FROM documents d LEFT JOIN crc USING (doc_id)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaves),
+up AS (
+  SELECT lang, 0 AS level, list(leaf ORDER BY i) AS nodes FROM placed GROUP BY lang
+  UNION ALL
+  SELECT lang, level + 1, list_transform(range(0, len(nodes), 2), lambda k: sha256(nodes[k + 1] || coalesce(nodes[k + 2], ''))) FROM up WHERE len(nodes) > 1),
+subs AS (SELECT lang, level AS height, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS j FROM up WHERE len(nodes) = 1),
+top AS (
+  SELECT 0 AS level, list(subroot ORDER BY j) AS nodes FROM subs HAVING count(*) > 0
+  UNION ALL
+  SELECT level + 1, list_transform(range(0, len(nodes), 2), lambda k: sha256(nodes[k + 1] || coalesce(nodes[k + 2], ''))) FROM top WHERE len(nodes) > 1),
+all_root AS (SELECT nodes[1] AS root FROM top WHERE len(nodes) = 1),
+steps AS (
+  SELECT p.doc_id, p.leaf, u.level, p.i >> u.level AS place, u.nodes[xor(p.i >> u.level, 1) + 1] AS sibling
+  FROM placed p JOIN up u ON p.lang IS NOT DISTINCT FROM u.lang AND len(u.nodes) > 1
+  UNION ALL
+  SELECT p.doc_id, p.leaf, s.height + t.level, s.j >> t.level, t.nodes[xor(s.j >> t.level, 1) + 1]
+  FROM placed p JOIN subs s ON p.lang IS NOT DISTINCT FROM s.lang JOIN top t ON len(t.nodes) > 1),
+proofs AS (SELECT doc_id, leaf, coalesce(string_agg(sibling, '' ORDER BY level), '') AS proof, max(level) AS last FROM steps GROUP BY doc_id, leaf),
+fold AS (
+  SELECT doc_id, leaf, -1 AS level, changed AS digest FROM placed
+  UNION ALL
+  SELECT f.doc_id, f.leaf, s.level, sha256(CASE WHEN s.sibling IS NULL THEN f.digest WHEN s.place % 2 = 0 THEN f.digest || s.sibling ELSE s.sibling || f.digest END)
+  FROM fold f JOIN steps s ON f.doc_id IS NOT DISTINCT FROM s.doc_id AND f.leaf = s.leaf AND s.level = f.level + 1),
+ends AS (SELECT doc_id, leaf, arg_max(digest, level) AS folded_root FROM fold GROUP BY doc_id, leaf)
+SELECT p.doc_id, p.leaf, s.subroot, r.root, sha256(coalesce(proof, '')) AS proof_sha256, e.folded_root, e.folded_root = r.root AS verified
+FROM placed p JOIN subs s ON p.lang IS NOT DISTINCT FROM s.lang CROSS JOIN all_root r
+LEFT JOIN proofs q ON p.doc_id IS NOT DISTINCT FROM q.doc_id AND p.leaf = q.leaf
+JOIN ends e ON p.doc_id IS NOT DISTINCT FROM e.doc_id AND p.leaf = e.leaf
+"""
+
+
+@query("op12_merkle_manifest", OP12_SQL)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    """The manifest of all documents by language, with a proof of each and what a changed row's proof gives."""
+    docs = table(spark, sf, "documents").select(_LEAF)
+    changed = merkle.leaf_digest([F.col("n_chars") + 1 if c == "n_chars" else F.col(c) for c in _LEAF])
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.unhex(changed))
+    made = merkle.manifest(docs, _LEAF, "lang", "doc_id", carry={"doc_id": F.col("doc_id"), "tampered": tampered})
+    leaf = merkle.hex_of("digest")
+    out = made.rows.select("doc_id", leaf.alias("leaf"), merkle.hex_of("subroot").alias("subroot"), F.lit(made.root).cast("string").alias("root"),
+                           F.sha2(F.array_join(merkle.siblings(), ""), 256).alias("proof_sha256"),
+                           merkle.folded(F.coalesce(merkle.hex_of("tampered"), leaf)).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op13_online_packing")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents packed into sequences of 2,048 ids."""
+    with open(tokenizer_file("word_bpe_49k.json"), encoding="utf-8") as f:
+        return packing.pack(table(spark, sf, "documents"), f.read(), with_ids=False).drop("ids")
