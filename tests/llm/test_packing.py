@@ -41,17 +41,28 @@ def check(rows, docs, length):
     assert short <= length.bit_length()
 
 
-def test_encoder_equals_the_library(monkeypatch):
-    monkeypatch.setattr(packing, "SEGMENT", 50)
-    texts = random_lines(1500, 4) + ["", "a" * 300 + " b", "Ünï CAFÉ don't we'LL 123 ΑΣ ΑΣ́", "é ́a"]
-    encoder = packing.WordEncoder(JSON)
-    assert [[*encoder.encode(t.encode()).tolist(), 1] for t in texts] == library(texts)
+def encoded(encoder, texts):
+    return [[*ids.tolist(), 1] for ids in encoder.encode_all([t.encode() for t in texts])]
+
+
+@pytest.mark.parametrize("segment", [50, 10**6])
+def test_encoder_equals_the_library(monkeypatch, segment):
+    monkeypatch.setattr(packing, "SEGMENT", segment)
+    texts = random_lines(1500, 4) + ["", "a" * 300 + " b", "Ünï CAFÉ don't we'LL 123 ΑΣ ΑΣ́", "e\u0301 é \u0301a", "İstanbul ŒUVRE Ĳ ŉ ſ ÿŸ I\u0307"]
+    assert encoded(packing.WordEncoder(JSON), texts) == library(texts)
+
+
+def test_letters_digits_and_signs_are_cut_as_by_the_library():
+    rng = random.Random(6)
+    some = [chr(c) for c in (*range(0x21, 0x180), 0x300, 0x301, 0x307, 0x2019, 0x4E00)]
+    texts = ["".join(rng.choice(rng.choice([some, "abc1,.'ß"])) for _ in range(rng.randint(1, 8))) for _ in range(20_000)] + some + [2 * c for c in some]
+    assert encoded(packing.WordEncoder(JSON), texts) == library(texts)
 
 
 def test_forgotten_words_are_encoded_again(monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 5)
     encoder, texts = packing.WordEncoder(JSON), random_lines(60, 8)
-    assert [[*encoder.encode(t.encode()).tolist(), 1] for t in texts * 2] == library(texts * 2)
+    assert encoded(encoder, texts * 2) == library(texts * 2)
 
 
 @pytest.mark.parametrize("fan_in", [2, 256])

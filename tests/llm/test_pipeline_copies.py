@@ -1,7 +1,6 @@
 """The pipeline's near copies against brute force at 5 words and 0.8."""
 
 import random
-from functools import partial
 
 import corpus_pipeline
 import test_jaccard
@@ -18,12 +17,11 @@ def planted(rng, first):
     return [(first + k, " ".join(w), "en", "s", 1) for k, w in enumerate((text, text + more, edited))]
 
 
-def test_near_copies_at_five_words(spark, monkeypatch):
+def test_near_copies_at_five_words(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet").select(NAMES)
     docs = table.unionByName(spark.createDataFrame(planted(random.Random(3), 10**6), table.schema))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     loose = {c if n else d for d, n, c in test_jaccard.brute(rows)}
-    monkeypatch.setattr(test_jaccard, "shingles", partial(test_jaccard.shingles, n=5))
-    want = {c if n else d for d, n, c in test_jaccard.brute(rows, 80)}
+    want = {c if n else d for d, n, c in test_jaccard.brute(rows, 80, n=5)}
     got = sorted(r.doc_id for r in corpus_pipeline.join(spark, docs, SF).collect())
     assert got == sorted(want) and {10**6 + 1, 10**6 + 2} <= loose - want
