@@ -15,6 +15,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,10 +53,25 @@ class _Known(dict):
         return number
 
 
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones themselves, the others from 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in printable]
+    return {b: chr(b) if b in printable else chr(256 + hidden.index(b)) for b in range(256)}
+
+
+#: Latin letters that are in normal form and whose lower case is one letter.
+_LETTERS = "a-z" + "".join(c for c in map(chr, range(0xC0, 0x180)) if c.isalpha() and len(c.lower()) == 1)
+#: Words in which the pre-tokenizer cuts between letters, single digits and the rest alone (an apostrophe may begin a token of its own).
+_PLAIN = re.compile(f"[{_LETTERS}0-9!-&(-/:-@\\[-`{{-~]+")
+_TOKENS = re.compile(f"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+
+
 class WordEncoder:
-    """Ids of texts by a tokenizer of the `tokenizers` library that never joins characters across white space and ignores it.
+    """Ids of texts by a tokenizer of the `tokenizers` library that lower-cases, ignores white space and never joins characters across it.
 
-    Texts are cut at \\x20 and \\x09-\\x0D and each distinct piece is encoded once. Strings of special tokens are ordinary text.
+    Texts are cut at \\x20 and \\x09-\\x0D and each distinct piece is encoded once: plain words by the library's model on their tokens, others
+    by its whole pipeline. Strings of special tokens are ordinary text.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -64,14 +80,32 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.at, self.size, self.ids = _Known(), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.int32)
+        self.known, self.tokens, self.at, self.size, self.ids = _Known(), {}, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.int32)
         self.n_known, self.filled = 0, 0
 
+    def _token(self, token: str) -> tuple[int, ...]:
+        found = self.tokens.get(token)
+        if found is None:
+            text = token if token.isascii() else "".join(map(self.letters.__getitem__, token.encode()))
+            # a tuple of numbers is no work for the garbage collector
+            self.tokens[token] = found = tuple([x.id for x in self.model.tokenize(text)])
+        return found
+
     def _learn(self) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in self.known.new], add_special_tokens=False)]
+        got, rest = [], []
+        for word in self.known.new:
+            word = word.decode()
+            if _PLAIN.fullmatch(word):
+                got.append([i for token in _TOKENS.findall(word.lower()) for i in self._token(token)])
+            else:
+                rest.append((len(got), word))
+                got.append([])
+        for (k, _), e in zip(rest, self.tokenizer.encode_batch_fast([w for _, w in rest], add_special_tokens=False)):
+            got[k] = e.ids
         self.known.new = []
         size = np.fromiter(map(len, got), np.int64, len(got))
         total, n = int(size.sum()), self.n_known + len(got)
@@ -79,24 +113,40 @@ class WordEncoder:
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + total, np.int32)])
         if n > len(self.at):
             self.at, self.size = (np.concatenate([x, np.zeros(n, np.int64)]) for x in (self.at, self.size))
-        self.ids[self.filled : self.filled + total] = np.fromiter((i for x in got for i in x), np.int32, total)
+        self.ids[self.filled : self.filled + total] = np.fromiter(chain.from_iterable(got), np.int32, total)
         self.at[self.n_known : n] = self.filled + np.cumsum(size) - size
         self.size[self.n_known : n] = size
         self.n_known, self.filled = n, self.filled + total
 
-    def _words(self, words: list[bytes]) -> np.ndarray:
+    def _words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts and the bounds of each text's."""
         if len(self.known) > REMEMBERED:
             self.forget()
-        row = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        words = [t.lower().split() for t in texts]
+        counts = np.cumsum([0, *map(len, words)])
+        row = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, int(counts[-1]))
         if self.known.new:
             self._learn()
         size = self.size[row]
-        begin = np.cumsum(size) - size
-        return self.ids[np.repeat(self.at[row] - begin, size) + np.arange(int(size.sum()))]
-
-    def encode(self, raw: bytes) -> np.ndarray:
-        if len(raw) <= SEGMENT:
-            return self._words(raw.split())
+        ends = np.zeros(len(row) + 1, np.int64)
+        np.cumsum(size, out=ends[1:])
+        return self.ids[np.repeat(self.at[row] - ends[:-1], size) + np.arange(int(ends[-1]))], ends[counts]
+
+    def encode_all(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """Ids of each text, worked on SEGMENT bytes at a time."""
+        held, size = [], 0
+        for k, raw in enumerate(texts):
+            if len(raw) <= SEGMENT:
+                held.append(raw)
+                size += len(raw)
+            if held and (size >= SEGMENT or len(raw) > SEGMENT or k == len(texts) - 1):
+                ids, bounds = self._words(held)
+                yield from (ids[a:b] for a, b in zip(bounds[:-1], bounds[1:]))
+                held, size = [], 0
+            if len(raw) > SEGMENT:
+                yield self._long(raw)
+
+    def _long(self, raw: bytes) -> np.ndarray:
         parts, at = [], 0
         while at < len(raw):
             end = min(at + SEGMENT, len(raw))
@@ -104,7 +154,7 @@ class WordEncoder:
                 space = _LAST_SPACE.search(raw[at:end])
                 # a word longer than a segment is taken whole
                 end = at + space.end() if space else end + re.search(rb"[^\x20\x09-\x0D]*", raw[end:]).end()
-            parts.append(self._words(raw[at:end].split()))
+            parts.append(self._words([raw[at:end]])[0])
             at = end
         return np.concatenate(parts)
 
@@ -118,9 +168,14 @@ class Packer:
         self.used: list[int] = []
 
     def _start(self, piece) -> None:
-        self.open.append([piece])
+        self.open.append([self._held(*piece)])
         self.used.append(len(piece[2]))
 
+    @staticmethod
+    def _held(document, at, ids, n) -> tuple:
+        # a copy, so that a window does not hold the ids of all documents that were encoded with this one
+        return document, at, ids.copy(), n
+
     def _close(self, k: int) -> list:
         self.used.pop(k)
         return self.open.pop(k)
@@ -136,7 +191,7 @@ class Packer:
         fits = [u for u in self.used if u + need <= self.length]
         if fits:
             k = self.used.index(max(fits))
-            self.open[k].append((document, at, ids[at:], n))
+            self.open[k].append(self._held(document, at, ids[at:], n))
             self.used[k] += need
             if self.used[k] == self.length:
                 yield self._close(k)
@@ -226,8 +281,9 @@ def pack(docs: DataFrame, tokenizer_json: str, doc_id: str = "doc_id", text: str
         encoder, packer, rows = WordEncoder(tokenizer_json), Packer(length), _Rows(arrow, with_ids)
         task, k = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for document, raw in zip(batch.column("id").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist()):
-                ids = np.append(encoder.encode(raw or b""), np.int32(end))
+            texts = [raw or b"" for raw in batch.column("text").cast(pa.large_binary()).to_pylist()]
+            for document, ids in zip(batch.column("id").to_pylist(), encoder.encode_all(texts)):
+                ids = np.append(ids, np.int32(end))
                 for pieces in packer.add(document, ids):
                     rows.sequence(pieces, _number(0, task, k))
                     k += 1
