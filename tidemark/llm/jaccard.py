@@ -24,12 +24,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import added, written
+from tidemark.llm.shared import added, forget, written
 from tidemark.llm.words import BASE, NOT_SPACE, U64, buffers, first_of, mixed, slices, windows, words
 
 N = 3
@@ -84,12 +85,21 @@ def universes(ring: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.
     Linked sets x, y have |x union y| <= 100 |x| / percent, so they differ in at most (100 - percent) |x| / percent elements.
     """
     differ = np.floor((100 - percent) * ring_start(ring + 1) * (1 + 3e-6) / percent).astype(np.int64)
-    margin = np.where(differ >= 8, 1 + differ // 16, 0)
+    margin = np.where(differ >= 8, 1 + differ // (16 if least_content(percent) > 1 else 4), 0)
     return differ + 1 + margin, margin
 
 
-def regions_of(doc: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, region) of sets: for its own ring and each further ring that its window reaches, one where percent is 67 or more."""
+def least_content(percent: int) -> int:
+    """Elements below which a projection is tiny. Wide limits need so many sub-universes that only empty projections can be left out."""
+    return 3 if percent >= 88 else 1
+
+
+def regions_of(doc: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, region, tag) of sets: for its own ring and each further ring that its window reaches, one where percent is 67 or more.
+
+    The tag holds the ring and, in its low 16 bits, how many regions of it the set shares at least with each set that it is linked to:
+    all sub-universes but those in which they differ and those that are left out as tiny.
+    """
     out = []
     own = ring_of(sizes)
     for up in range(2 + math.floor(math.log(100 / percent) / math.log(RING) + 1e-9)):
@@ -108,12 +118,14 @@ def regions_of(doc: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, percent:
         np.add.at(content, place, mixed(h))
         owner = np.repeat(np.arange(len(sizes)), np.where(takes, m, 0))
         # at most `margin` tiny projections: then two linked sets are also equal in one that is not tiny
-        tiny = count < 3
+        tiny = count < least_content(percent)
         needs_tiny = np.bincount(owner[tiny], minlength=len(sizes)) > margin
         keep = ~tiny | needs_tiny[owner]
         key = content + (np.arange(cells) - base[owner]).astype(U64) * BASE + mixed(ring[owner].astype(U64) + U64(1))
-        out.append((owner[keep], mixed(key).view(np.int64)[keep]))
-    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+        n_tiny = np.bincount(owner[tiny], minlength=len(sizes))
+        need = np.clip(1 + margin - n_tiny, 1, 0xFFFF)
+        out.append((owner[keep], mixed(key).view(np.int64)[keep], (ring << 16 | need)[owner[keep]]))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def keyed(docs: DataFrame, text: str, n: int, drop: tuple[str, ...] = (), packed: bool = False) -> DataFrame:
@@ -141,11 +153,12 @@ def keyed(docs: DataFrame, text: str, n: int, drop: tuple[str, ...] = (), packed
     return added(docs, factory, {"__n": "long", "__class": "long"} | ({"__packed": "binary"} if packed else {}), drop)
 
 
-def members_in_tasks(docs: DataFrame, text: str, n: int, percent: int, local: bool) -> DataFrame:
-    """(region, class, pivot) of each task's distinct classes.
+def members_in_tasks(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
+    """(key, class, tag, region, pivot) of each task's distinct classes.
 
-    local: of regions that hold several classes of the task, its other classes, with the least one as pivot. Not local: one class of each
-    of the task's regions, its own pivot; these meet those of other tasks, so a hot region has one row per task.
+    The first class of each of the task's regions goes by the region (key), without region and pivot; it meets those of other tasks, so a
+    hot region has one such row per task. Where a region holds several classes of the task, all are its members, with the first as pivot;
+    they are settled already, so their key is their class.
     """
 
     def run(batches):
@@ -164,31 +177,74 @@ def members_in_tasks(docs: DataFrame, text: str, n: int, percent: int, local: bo
                 fresh &= size > 0
                 seen = np.union1d(seen, keys[fresh])
                 mine = fresh[doc]
-                owner, region = regions_of(doc[mine], hashes[mine], np.where(fresh, size, 0), percent)
-                parts.append(np.stack([region, keys[owner]]))
+                owner, region, tag = regions_of(doc[mine], hashes[mine], np.where(fresh, size, 0), percent)
+                parts.append(np.stack([region, keys[owner], tag]))
         if not parts:
             return
-        rows = np.concatenate(parts, axis=1)
-        rows = rows[:, np.lexsort((rows[1], rows[0]))]
-        first = first_of(rows[0])
-        pivot = rows[1][np.flatnonzero(first)[np.cumsum(first) - 1]] if len(first) else rows[1]
-        keep = ~first if local else first
-        for at in range(0, int(keep.sum()), 100_000):
-            k = np.flatnonzero(keep)[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0][k]), pa.array(rows[1][k]), pa.array(pivot[k])], ["region", "class", "pivot"])
+        region, cls, tag = np.concatenate(parts, axis=1)
+        order = np.lexsort((cls, region))
+        region, cls, tag = region[order], cls[order], tag[order]
+        first = first_of(region)
+        begin = np.flatnonzero(first)
+        several = np.diff(np.append(begin, len(region))) > 1
+        group = np.cumsum(first) - 1
+        local = np.flatnonzero(several[group])
+        for rows, settled in ((begin, False), (local, True)):
+            for at in range(0, len(rows), 100_000):
+                k = rows[at : at + 100_000]
+                more = [pa.array(region[k]), pa.array(cls[begin[group[k]]])] if settled else [pa.nulls(len(k), pa.int64())] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(cls[k] if settled else region[k]), pa.array(cls[k]), pa.array(tag[k]), *more], ["key", "class", "tag", "region", "pivot"])
+
+    return docs.select(F.col(text).alias("__text")).where(F.col(text).isNotNull()).mapInArrow(run, "key long, class long, tag long, region long, pivot long")
 
-    return docs.select(F.col(text).alias("__text")).where(F.col(text).isNotNull()).mapInArrow(run, "region long, class long, pivot long")
+
+#: Times that members with too few shared regions are taken out.
+PRUNES = 2
 
 
 def region_members(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
-    """(region, class, pivot) of all regions with two classes or more."""
-    ones = members_in_tasks(docs, text, n, percent, False).select("region", "class")
-    shared = ones.groupBy("region").agg(F.min("class").alias("pivot"), F.max("class").alias("last"))
-    across = ones.join(shared.where("pivot < last").select("region", "pivot"), "region")
-    local = members_in_tasks(docs, text, n, percent, True)
-    # the task's pivot of a local region is itself a member
-    heads = local.select("region", F.col("pivot").alias("class"), "pivot").distinct()
-    return written(across.select("region", "class", "pivot").unionByName(local).unionByName(heads), "members")
+    """(region, class, pivot) of regions with two classes or more that may be linked, in one pass over the texts and one shuffle by region."""
+    sorted_ = members_in_tasks(docs, text, n, percent).repartition("key").sortWithinPartitions("key", "class")
+    names = ["region", "class", "tag", "pivot"]
+
+    def run(batches):
+        # rows of the region that the batch before ended in
+        held = np.zeros((3, 0), np.int64)
+
+        def out(key, cls, tag):
+            """Regions of several different classes; the first class is the pivot."""
+            keep = first_of(key) | first_of(cls)
+            key, cls, tag = key[keep], cls[keep], tag[keep]
+            first = first_of(key)
+            begin, group = np.flatnonzero(first), np.cumsum(first) - 1
+            k = np.flatnonzero((np.diff(np.append(begin, len(key))) > 1)[group])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (key[k], cls[k], tag[k], cls[begin[group[k]]])], names)
+
+        for batch in batches:
+            settled = batch.column("region").is_valid()
+            done = batch.filter(settled)
+            if done.num_rows:
+                yield pa.RecordBatch.from_arrays([done.column(c) for c in names], names)
+            rest = batch.filter(pa.compute.invert(settled))
+            held = np.concatenate([held, np.stack([rest.column(c).to_numpy() for c in ("key", "class", "tag")])], axis=1)
+            if held.shape[1]:
+                whole = np.searchsorted(held[0], held[0, -1])
+                if whole:
+                    yield out(*held[:, :whole])
+                    held = held[:, whole:]
+        if held.shape[1]:
+            yield out(*held)
+
+    members = written(sorted_.mapInArrow(run, "region long, class long, tag long, pivot long"), "members")
+    for _ in range(PRUNES):
+        # a linked class shares as many regions of the ring as its tag says with one other class, so it has as many
+        enough = members.select("region", "class", "tag").distinct().groupBy("class", "tag").agg(F.count(F.lit(1)).alias("shared"))
+        enough = enough.where(F.col("shared") >= F.col("tag").bitwiseAND(F.lit(0xFFFF))).select("class", "tag")
+        left = members.join(enough, ["class", "tag"], "left_semi").select("region", "class", "tag").distinct()
+        several = left.groupBy("region").agg(F.min("class").alias("pivot"), F.max("class").alias("last")).where("pivot < last").select("region", "pivot")
+        before, members = members, written(left.join(several, "region").select(*names), "members")
+        forget(before)
+    return members.drop("tag")
 
 
 def distances(pairs: DataFrame, texts: DataFrame, n: int, percent: int = 0) -> DataFrame:
@@ -286,6 +342,8 @@ def family_links(open_: DataFrame, texts: DataFrame, n: int, percent: int) -> Da
         held, key = [], None
 
         def out():
+            if len({x[1] for x in held}) < 2:
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
             a, b = _links_within([unpress.decompress(x[2]) for x in held], np.array([x[0] for x in held]), np.array([x[1] for x in held]), n, percent)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 

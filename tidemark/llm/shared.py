@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 import pyarrow as pa
@@ -24,6 +25,14 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(table: DataFrame) -> None:
+    """Delete a table of `written` that nothing reads any more."""
+    spark = table.sparkSession
+    for folder in {os.path.dirname(f) for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Rows of a batch that are worked on at a time, which bounds the copies of texts in a Python worker.
 ROWS = 1_000
 
