@@ -67,3 +67,26 @@ def test_specs_are_expanded_without_a_join(spark):
     out = align.with_specs(df, [dict(spec_id=1, cap=0.5, name="x"), dict(spec_id=2, cap=0.7, name="y")])
     assert out.count() == 6
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_interval_join_equals_all_pairs(spark):
+    import datetime as dt
+    import random
+
+    rng, base = random.Random(4), dt.date(1969, 6, 1)
+    day = lambda n: base + dt.timedelta(days=n)
+    points = [(k, rng.randint(0, 2), day(rng.randint(0, 900))) for k in range(150)] + [(900, 1, None)]
+    spans = []
+    for k in range(200):
+        a = rng.randint(0, 900)
+        spans.append((k, rng.randint(0, 2), day(a), day(a + rng.choice([-3, 0, 1, 7, 8, 31, 32, 33, 127, 128, 500, 20_000]))))
+    spans += [(900, 1, None, day(5)), (901, 1, day(5), None)]
+    p, s = spark.createDataFrame(points, "p int, k int, t date"), spark.createDataFrame(spans, "i int, k int, a date, b date")
+    inside = lambda t, a, b: None not in (t, a, b) and a <= t <= b
+    keyed = align.interval_join(p, s, "t", "a", "b", on=["k"])
+    assert sorted((r.p, r.i) for r in keyed.collect()) == sorted((x[0], y[0]) for x in points for y in spans if x[1] == y[1] and inside(x[2], y[2], y[3]))
+    free = align.interval_join(p, s.drop("k"), "t", "a", "b")
+    assert sorted((r.p, r.i) for r in free.collect()) == sorted((x[0], y[0]) for x in points for y in spans if inside(x[2], y[2], y[3]))
+    assert align.interval_join(p, s.limit(0), "t", "a", "b", on=["k"]).count() == 0
+    plan = keyed._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

@@ -125,3 +125,21 @@ def test_moving_means_need_a_full_frame_of_values(spark):
     got = ind.moving_means(df, ["series_id"], "date", "close", [1, 2]).orderBy("date").collect()
     assert [r.ma_1 for r in got] == values
     assert [r.ma_2 for r in got] == [None, None, None, pytest.approx(5.0617283945, abs=1e-12), pytest.approx(6.0617283945, abs=1e-12)]
+
+
+def test_controls_leave_the_own_series_out(spark):
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(3)]
+    paths = {"a": (100.0, 110.0, 121.0), "b": (100.0, 130.0, 130.0), "c": (100.0, 90.0, 99.0)}
+    rows = [(s, d, x) for s, p in paths.items() for d, x in zip(days, p)] + [("d", days[2], 1.0)]
+    out = evt.forward_returns(spark.createDataFrame(rows, "series_id string, date date, close double"), ["series_id"], "date", "close", (1,))
+    got = {(r["series_id"], r["date"]): r["abn_1"] for r in out.collect()}
+    assert got["a", days[0]] == pytest.approx(0.1 - (0.3 - 0.1) / 2) and got["c", days[1]] == pytest.approx(0.1 - (0.1 + 0.0) / 2)
+    assert got["a", days[2]] is None and got["d", days[2]] is None
+    alone = evt.forward_returns(spark.createDataFrame(rows[:3], "series_id string, date date, close double"), ["series_id"], "date", "close", (1,))
+    assert {r["abn_1"] for r in alone.collect()} == {None}
+
+
+def test_novelty_keeps_texts_without_words(spark):
+    df = spark.createDataFrame([("d1", 1, None), ("d2", 2, " "), ("d3", 3, "gold")], "doc string, at int, text string")
+    out = {r["doc"]: (r["words"], r["new_words"], r["novelty"]) for r in nws.novelty(df, "doc", ["at"], "text").collect()}
+    assert out == {"d1": (0, 0, None), "d2": (0, 0, None), "d3": (1, 1, 1.0)}

@@ -93,6 +93,36 @@ def to_phases(df: DataFrame, phases, t: str, label: str = "phase") -> DataFrame:
     return out.filter((F.col(t) >= F.col("phase_start")) & (F.col(t) <= F.col("phase_end")))
 
 
+def expected_sessions(calendar: DataFrame, observed: DataFrame, keys, t: str) -> DataFrame:
+    """The calendar's rows for each series, in the months in which the series has observations."""
+    active = observed.select(*keys, F.trunc(t, "MM").alias("__month")).distinct()
+    return calendar.withColumn("__month", F.trunc(t, "MM")).join(active, "__month").drop("__month")
+
+
+#: Days of the finest bins of `interval_join`; each further level has bins four times as long.
+BIN_DAYS = 8
+
+
+def interval_join(points: DataFrame, intervals: DataFrame, t: str, start: str, end: str, on: Sequence[str] = ()) -> DataFrame:
+    """All pairs of a point and an interval [start, end] of dates that holds it, with all columns of both (`on`: equal columns, once).
+
+    An interval goes to the level whose bins are at least as long as itself, so it lies in two bins at most, however long it is; a point is looked
+    up once per level in use (20 levels cover all dates). Pairs meet by an equi-join on level and bin and are then compared
+    exactly. Nulls and intervals that end before they start match nothing.
+    """
+    number = lambda c: F.datediff(F.col(c), F.lit("1970-01-01").cast("date")).cast("long")
+    size = F.lit(BIN_DAYS) * F.pow(F.lit(4), F.col("__level"))
+    bin_of = lambda c: F.floor(number(c) / size)
+    days = number(end) - number(start) + 1
+    level = F.greatest(F.ceil(F.log(4.0, days / BIN_DAYS) - 1e-9), F.lit(0)).cast("int")
+    cut = intervals.where(F.col(start) <= F.col(end)).withColumn("__level", level)
+    used = sorted(r["__level"] for r in cut.select("__level").distinct().collect())
+    cut = cut.withColumn("__bin", F.explode(F.sequence(bin_of(start), bin_of(end))))
+    looked = points.withColumn("__level", F.explode(F.array(*map(F.lit, used)) if used else F.array().cast("array<int>"))).withColumn("__bin", bin_of(t))
+    both = looked.join(cut, [*on, "__level", "__bin"])
+    return both.where((F.col(t) >= F.col(start)) & (F.col(t) <= F.col(end))).drop("__level", "__bin")
+
+
 def with_specs(df: DataFrame, specs: Sequence[dict]) -> DataFrame:
     """Every row once per parameter set; the grid is a literal array, so nothing is joined."""
     return df.withColumn("__s", F.explode(literal_rows(specs))).select(*df.columns, "__s.*")
@@ -121,9 +151,12 @@ def lagged_features(left: DataFrame, features: dict[str, DataFrame], t: str, val
 
 
 def asof_release(df: DataFrame, reports: DataFrame, keys, t: str, release: str, cols, blackouts=()) -> DataFrame:
-    """A report counts from its release day on; inside a blackout no report is visible."""
+    """A report counts from its release day on; inside a blackout no report is visible.
+
+    Without keys all series share the reports.
+    """
     usable = reports.withColumnRenamed(release, t)
-    out = asof_join(df, usable, keys, t, cols, match_time="released")
+    out = asof_join(df, usable, keys, t, cols, match_time="released") if keys else asof_shared(df, usable, t, cols, match_time="released")
     hidden = F.lit(False)
     for a, b in blackouts:
         hidden = hidden | ((F.col(t) >= F.lit(a).cast("date")) & (F.col(t) <= F.lit(b).cast("date")))

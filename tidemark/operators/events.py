@@ -18,14 +18,16 @@ HORIZONS = (1, 5, 10, 20)
 
 
 def forward_returns(bars: DataFrame, keys, t: str, x: str, horizons: Sequence[int] = HORIZONS) -> DataFrame:
-    """Return over the next k sessions per bar, and the same minus the mean of all series
-    that have a bar on that date (the control)."""
+    """Return over the next k sessions per bar, and the same minus the mean of the other series
+    that have one from that date on (the control); null without any."""
     w = ordered(keys, t)
     cols = {f"fwd_{k}": F.lead(x, k).over(w) / F.col(x) - 1 for k in horizons}
     out = bars.select(*keys, t, F.col(x).alias("base"), *[c.alias(n) for n, c in cols.items()], *[F.lead(t, k).over(w).alias(f"known_{k}") for k in horizons])
-    control = out.groupBy(t).agg(*[F.avg(f"fwd_{k}").alias(f"__c{k}") for k in horizons])
-    out = out.join(control, t)
-    return out.withColumns({f"abn_{k}": F.col(f"fwd_{k}") - F.col(f"__c{k}") for k in horizons}).drop(*[f"__c{k}" for k in horizons])
+    all_ = out.groupBy(t).agg(*[f(f"fwd_{k}").alias(f"__{n}{k}") for k in horizons for n, f in (("s", F.sum), ("n", F.count))])
+    out = out.join(all_, t)
+    own = lambda k: F.col(f"fwd_{k}")
+    others = {k: F.try_divide(F.col(f"__s{k}") - own(k), F.col(f"__n{k}") - 1) for k in horizons}
+    return out.withColumns({f"abn_{k}": own(k) - others[k] for k in horizons}).drop(*[f"__{n}{k}" for k in horizons for n in "sn"])
 
 
 def event_returns(events: DataFrame, bars: DataFrame, keys, t: str, x: str, horizons: Sequence[int] = HORIZONS) -> DataFrame:

@@ -60,12 +60,12 @@ def words(text: str) -> Column:
 def novelty(df: DataFrame, doc: str, position: Sequence[str], text: str) -> DataFrame:
     """Share of a document's distinct words that no earlier document had used.
 
-    A word is owned by the first document using it, so no two documents are ever paired. One
+    Null and empty texts have no words and a null share. A word is owned by the first document using it, so no two documents are ever paired. One
     marker row per document, owned by itself, carries its word count through the same
     aggregation: each text is split once and nothing is joined back.
     """
     mark = "\x00"
-    df = df.withColumn("__w", words(text))
+    df = df.withColumn("__w", F.coalesce(words(text), F.array().cast("array<string>")))
     marker = F.concat(F.lit(mark), F.col(doc).cast("string"), F.lit(mark), F.size("__w").cast("string"))
     # without a position the bare id is aggregated, which stays hash based
     order = F.struct(*position, F.col(doc)) if position else F.col(doc)

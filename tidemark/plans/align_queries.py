@@ -8,6 +8,7 @@ from tidemark.operators import indicators as ind
 from tidemark.plans.registry import query
 from tidemark.plans.views import (BARS, CAL, FX, PHASES, PHASES_SQL, RAW, fx_rates, index_bars, kept_bars,
                                   product_calendar, raw_bars, table)
+from tidemark.session import materialise
 
 K = ["series_id"]
 
@@ -94,14 +95,14 @@ def common_dates(spark, sf):
 WITH {BARS}, {CAL}, {FX},
 a AS (SELECT date, nav FROM (SELECT date, lag(nav) OVER (ORDER BY date) AS nav FROM cal) WHERE nav IS NOT NULL),
 b AS (SELECT date, fx FROM (SELECT date, lag(fx) OVER (ORDER BY date) AS fx FROM fx) WHERE fx IS NOT NULL),
-x AS (SELECT s.date, a.nav FROM (SELECT date FROM bars WHERE series_id = 'AF') s ASOF LEFT JOIN a ON s.date >= a.date)
-SELECT x.date, round(x.nav, 6) AS nav, b.fx FROM x ASOF LEFT JOIN b ON x.date >= b.date""")
+x AS (SELECT s.series_id, s.date, a.nav FROM bars s ASOF LEFT JOIN a ON s.date >= a.date)
+SELECT x.series_id, x.date, round(x.nav, 6) AS nav, b.fx FROM x ASOF LEFT JOIN b ON x.date >= b.date""")
 def lagged_features(spark, sf):
-    days = _closes(spark, sf, keep=True).filter("series_id = 'AF'").select("date")
+    days = _closes(spark, sf, keep=True).select("series_id", "date")
     sources = {"nav": product_calendar(spark, sf).select("date", F.col("nav").alias("v")),
                "fx": fx_rates(spark, sf).select("date", F.col("fx").alias("v"))}
     out = align.lagged_features(days, sources, "date", "v")
-    return out.select("date", F.round("nav", 6).alias("nav"), "fx")
+    return out.select("series_id", "date", F.round("nav", 6).alias("nav"), "fx")
 
 
 @query("jn9_phase_join", f"""
@@ -113,6 +114,17 @@ def phase_join(spark, sf):
         F.count(F.lit(1)).alias("days"), F.min("date").alias("first_day"), F.max("date").alias("last_day"))
 
 
+@query("jn9_sessions_within_orders", f"""
+WITH {CAL}, o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 400 AS INTEGER) AS b FROM orders)
+SELECT o_orderkey, count(*) AS sessions, min(date) AS first_session, max(date) AS last_session FROM o JOIN cal ON date BETWEEN a AND b GROUP BY 1""")
+def sessions_within_orders(spark, sf):
+    """Product sessions inside each order's own term of up to 399 days."""
+    day = F.col("o_orderdate").cast("date")
+    terms = table(spark, sf, "orders").select("o_orderkey", day.alias("a"), F.date_add(day, (F.col("o_orderkey") % 400).cast("int")).alias("b"))
+    found = align.interval_join(product_calendar(spark, sf).select("date"), terms, "date", "a", "b")
+    return found.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("sessions"), F.min("date").alias("first_session"), F.max("date").alias("last_session"))
+
+
 @query("jn10_series_by_parameter_set", f"""
 WITH {BARS}, specs(spec_id, horizon, cap) AS (VALUES (1, 60, 0.55), (2, 120, 0.65), (3, 180, 0.85))
 SELECT series_id, spec_id, count(*) FILTER (i >= horizon) AS usable, CAST(max(cap) AS DOUBLE) AS cap
@@ -146,12 +158,12 @@ WITH {BARS}, {RAW}, rep AS (
 SELECT b.series_id, b.date,
   CASE WHEN b.date BETWEEN DATE '{BLACKOUT[0]}' AND DATE '{BLACKOUT[1]}' THEN NULL ELSE r.positions END AS positions,
   CASE WHEN b.date BETWEEN DATE '{BLACKOUT[0]}' AND DATE '{BLACKOUT[1]}' THEN NULL ELSE r.date END AS released
-FROM (SELECT * FROM bars WHERE series_id = 'NO') b ASOF LEFT JOIN rep r ON b.date >= r.date""")
+FROM bars b ASOF LEFT JOIN rep r ON b.date >= r.date""")
 def release_lag_join(spark, sf):
-    days = _closes(spark, sf).filter("series_id = 'NO'").select("series_id", "date")
+    days = _closes(spark, sf, keep=True).select("series_id", "date")
     weekly = raw_bars(spark, sf).groupBy(F.date_add(F.date_trunc("week", "date").cast("date"), 10).alias("release_date")).agg(
-        F.sum("n").alias("positions")).withColumn("series_id", F.lit("NO"))
-    return align.asof_release(days, weekly, K, "date", "release_date", ["positions"], [BLACKOUT])
+        F.sum("n").alias("positions"))
+    return align.asof_release(days, weekly, [], "date", "release_date", ["positions"], [BLACKOUT])
 
 
 # sets
@@ -227,17 +239,19 @@ def two_way_difference(spark, sf):
 
 @query("jn1_product_mid_price", f"""
 WITH {RAW}, {FX}, {CAL},
-g AS (SELECT r.date, r.close, last_value(f.fx IGNORE NULLS) OVER (ORDER BY r.date ROWS UNBOUNDED PRECEDING) AS fx
-      FROM raw r LEFT JOIN fx f USING (date) WHERE r.series_id = '5-LOW'),
-j AS (SELECT c.date, g.close * g.fx / 31.1034768 AS mid, g.date IS NOT NULL AS hit, c.sub_status, c.red_status
-      FROM cal c LEFT JOIN g ON g.date = c.date)
-SELECT date, round(last_value(mid IGNORE NULLS) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING), 4) AS mid,
+g AS (SELECT r.series_id, r.date, r.close, last_value(f.fx IGNORE NULLS) OVER (PARTITION BY r.series_id ORDER BY r.date ROWS UNBOUNDED PRECEDING) AS fx
+      FROM raw r LEFT JOIN fx f USING (date)),
+s AS (SELECT DISTINCT series_id, date_trunc('month', date) AS month FROM raw),
+j AS (SELECT s.series_id, c.date, g.close * g.fx / 31.1034768 AS mid, g.date IS NOT NULL AS hit, c.sub_status, c.red_status
+      FROM cal c JOIN s ON s.month = date_trunc('month', c.date) LEFT JOIN g ON g.date = c.date AND g.series_id = s.series_id)
+SELECT series_id, date, round(last_value(mid IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY date ROWS UNBOUNDED PRECEDING), 4) AS mid,
   hit AND sub_status = 'open' AS tradable FROM j""")
 def product_mid_price(spark, sf):
-    """Price in product units on the product's own calendar, carried over source holidays."""
-    gold = raw_bars(spark, sf).filter("series_id = '5-LOW'").select("date", "close")
-    gold = align.align_exact_ffill(gold, fx_rates(spark, sf), [], "date", ["fx"])
-    mid = gold.select("date", convert_unit("close", "fx").alias("mid"))
-    frame = align.calendar_flag(product_calendar(spark, sf).select("date", "sub_status"), gold, ["date"], "hit")
-    frame = align.align_exact_ffill(frame, mid, [], "date", ["mid"])
-    return frame.select("date", F.round("mid", 4).alias("mid"), (F.col("hit") & (F.col("sub_status") == "open")).alias("tradable"))
+    """Price of each series in product units on the product's own calendar, carried over source holidays."""
+    raw = raw_bars(spark, sf).select("series_id", "date", "close")
+    gold = materialise(align.align_exact_ffill(raw, fx_rates(spark, sf), K, "date", ["fx"], on=["date"]))
+    mid = gold.select("series_id", "date", convert_unit("close", "fx").alias("mid"))
+    sessions = align.expected_sessions(product_calendar(spark, sf).select("date", "sub_status"), gold, K, "date")
+    frame = align.calendar_flag(sessions, gold, [*K, "date"], "hit")
+    frame = align.align_exact_ffill(frame, mid, K, "date", ["mid"])
+    return frame.select("series_id", "date", F.round("mid", 4).alias("mid"), (F.col("hit") & (F.col("sub_status") == "open")).alias("tradable"))

@@ -8,6 +8,7 @@ from tidemark.operators import indicators as ind
 from tidemark.plans.registry import query
 from tidemark.plans.views import (BARS, CAL, FX, NEWS, RAW, fx_rates, index_bars, kept_bars, news, product_calendar, raw_bars,
                                   table)
+from tidemark.session import materialise
 
 K = ["series_id"]
 
@@ -269,9 +270,12 @@ def jump_screen(spark, sf):
 
 
 @query("dq8_missing_dates", f"""
-WITH {RAW}, {CAL} SELECT date FROM cal WHERE date NOT IN (SELECT date FROM raw WHERE series_id = '3-MEDIUM')""")
+WITH {RAW}, {CAL}, s AS (SELECT DISTINCT series_id, date_trunc('month', date) AS month FROM raw)
+SELECT s.series_id, cal.date FROM cal JOIN s ON s.month = date_trunc('month', cal.date) ANTI JOIN raw ON raw.series_id = s.series_id AND raw.date = cal.date""")
 def missing_dates(spark, sf):
-    return clean.missing_dates(product_calendar(spark, sf), raw_bars(spark, sf).filter("series_id = '3-MEDIUM'"), ["date"])
+    """Product sessions on which a series that traded in that month has no bar."""
+    raw = materialise(raw_bars(spark, sf).select("series_id", "date"))
+    return clean.missing_dates(align.expected_sessions(product_calendar(spark, sf).select("date"), raw, K, "date"), raw, ["series_id", "date"])
 
 
 @query("dq9_weekday_coverage", f"""

@@ -20,16 +20,14 @@ def bars_of(spark, sf, keep=False):
 
 
 def event_cases(spark, sf):
-    """Large urgent and low-priority line items' ship days as dated events on their series."""
-    li = table(spark, sf, "lineitem").filter((F.col("l_quantity") >= 50) & (F.col("l_discount") >= 0.1))
-    return li.select(F.concat("l_returnflag", "l_linestatus").alias("series_id"), F.col("l_shipdate").cast("date").alias("date"),
-                     F.when(F.col("l_tax") >= 0.04, "policy").otherwise("data").alias("category"), F.col("l_orderkey").alias("case_id"))
+    """Every line item's ship day as a dated event on its series."""
+    return table(spark, sf, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("series_id"), F.col("l_shipdate").cast("date").alias("date"),
+                     F.when(F.col("l_tax") >= 0.04, "policy").otherwise("data").alias("category"), F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("case_line"))
 
 
-CASES = """cases AS (SELECT l_returnflag || l_linestatus AS series_id, CAST(l_shipdate AS DATE) AS date, CASE WHEN l_tax >= 0.04 THEN 'policy' ELSE 'data' END AS category, l_orderkey AS case_id
-  FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1)"""
+CASES = """cases AS (SELECT l_returnflag || l_linestatus AS series_id, CAST(l_shipdate AS DATE) AS date, CASE WHEN l_tax >= 0.04 THEN 'policy' ELSE 'data' END AS category, l_orderkey AS case_id, l_linenumber AS case_line FROM lineitem)"""
 FWD = """fw AS (SELECT series_id, date, close, lead(close, 5) OVER w / close - 1 AS f5, lead(close, 20) OVER w / close - 1 AS f20, lead(date, 5) OVER w AS k5 FROM bars WINDOW w AS (PARTITION BY series_id ORDER BY date)),
-ab AS (SELECT *, f5 - avg(f5) OVER (PARTITION BY date) AS a5, f20 - avg(f20) OVER (PARTITION BY date) AS a20 FROM fw),
+ab AS (SELECT *, f5 - (sum(f5) OVER d - f5) / nullif(count(f5) OVER d - 1, 0) AS a5, f20 - (sum(f20) OVER d - f20) / nullif(count(f20) OVER d - 1, 0) AS a20 FROM fw WINDOW d AS (PARTITION BY date)),
 er AS (SELECT c.*, b.date AS session, b.f5, b.f20, b.a5, b.a20, b.k5 FROM cases c ASOF LEFT JOIN ab b ON c.series_id = b.series_id AND c.date >= b.date)"""
 
 
@@ -37,34 +35,36 @@ def _returns(spark, sf):
     return evt.event_returns(event_cases(spark, sf), bars_of(spark, sf, keep=True), K, "date", "close", (5, 20))
 
 
-@query("evt1_event_returns", f"WITH {BARS}, {CASES}, {FWD} SELECT series_id, date, category, case_id, session, round(f5, 8) AS fwd_5, round(a5, 8) AS abn_5, round(f20, 8) AS fwd_20, round(a20, 8) AS abn_20 FROM er")
+@query("evt1_event_returns", f"WITH {BARS}, {CASES}, {FWD} SELECT series_id, date, category, case_id, case_line, session, round(f5, 8) AS fwd_5, round(a5, 8) AS abn_5, round(f20, 8) AS fwd_20, round(a20, 8) AS abn_20 FROM er")
 def event_returns(spark, sf):
     r = _returns(spark, sf)
-    return r.select("series_id", "date", "category", "case_id", "session", *[F.round(c, 8).alias(c) for c in ("fwd_5", "abn_5", "fwd_20", "abn_20")])
+    return r.select("series_id", "date", "category", "case_id", "case_line", "session", *[F.round(c, 8).alias(c) for c in ("fwd_5", "abn_5", "fwd_20", "abn_20")])
 
 
-@query("evt1_earlier_analogs", f"""WITH {BARS}, {CASES}, {FWD}
-SELECT e.series_id, e.date, e.category, e.case_id, (SELECT count(p.a5) FROM er p WHERE p.series_id = e.series_id AND p.category = e.category AND p.k5 < e.date) AS analogs,
- round((SELECT avg(p.a5) FROM er p WHERE p.series_id = e.series_id AND p.category = e.category AND p.k5 < e.date), 8) AS analog_mean FROM er e""")
+@query("evt1_earlier_analogs", f"""WITH {BARS}, {CASES}, {FWD},
+kn AS (SELECT series_id, category, k5 AS date, sum(a5) AS s, count(*) AS n FROM er WHERE a5 IS NOT NULL GROUP BY 1, 2, 3),
+kt AS (SELECT series_id, category, date, sum(s) OVER w AS s, CAST(sum(n) OVER w AS BIGINT) AS n FROM kn WINDOW w AS (PARTITION BY series_id, category ORDER BY date ROWS UNBOUNDED PRECEDING))
+SELECT e.series_id, e.date, e.category, e.case_id, e.case_line, coalesce(k.n, 0) AS analogs, round(k.s / k.n, 8) AS analog_mean
+FROM er e ASOF LEFT JOIN kt k ON e.series_id = k.series_id AND e.category = k.category AND e.date > k.date""")
 def earlier_analogs(spark, sf):
     out = evt.earlier_analogs(materialise(_returns(spark, sf)), K, "date", "category", 5)
-    return out.select("series_id", "date", "category", "case_id", "analogs", F.round("analog_mean", 8).alias("analog_mean"))
+    return out.select("series_id", "date", "category", "case_id", "case_line", "analogs", F.round("analog_mean", 8).alias("analog_mean"))
 
 
 @query("evt2_post_event_minimum", f"""WITH {BARS}, {CASES}, m AS (SELECT *, min({{'v': close, 'd': date}}) OVER (PARTITION BY series_id ORDER BY date RANGE BETWEEN CURRENT ROW AND INTERVAL 365 DAY FOLLOWING) AS lowest FROM bars)
-SELECT c.series_id, c.date, c.case_id, m.lowest.d AS min_date, m.lowest.v AS min_value, CAST(m.lowest.d - c.date AS INTEGER) AS days_to_min, round((m.lowest.v / m.close - 1) * 100, 6) AS min_pct
+SELECT c.series_id, c.date, c.case_id, c.case_line, m.lowest.d AS min_date, m.lowest.v AS min_value, CAST(m.lowest.d - c.date AS INTEGER) AS days_to_min, round((m.lowest.v / m.close - 1) * 100, 6) AS min_pct
 FROM cases c ASOF LEFT JOIN m ON c.series_id = m.series_id AND c.date >= m.date""")
 def post_event_minimum(spark, sf):
     out = evt.post_event_min(event_cases(spark, sf), bars_of(spark, sf), K, "date", "close")
-    return out.select("series_id", "date", "case_id", "min_date", "min_value", "days_to_min", F.round("min_pct", 6).alias("min_pct"))
+    return out.select("series_id", "date", "case_id", "case_line", "min_date", "min_value", "days_to_min", F.round("min_pct", 6).alias("min_pct"))
 
 
 @query("evt3_peak_before_event", f"""WITH {BARS}, {CASES}, m AS (SELECT *, max({{'v': close, 'd': date}}) OVER (PARTITION BY series_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS top FROM bars)
-SELECT c.series_id, c.date, c.case_id, m.top.d AS peak_date, m.top.v AS peak_value, CAST(c.date - m.top.d AS INTEGER) AS days_since_peak, round((m.close / m.top.v - 1) * 100, 6) AS drawdown_pct
+SELECT c.series_id, c.date, c.case_id, c.case_line, m.top.d AS peak_date, m.top.v AS peak_value, CAST(c.date - m.top.d AS INTEGER) AS days_since_peak, round((m.close / m.top.v - 1) * 100, 6) AS drawdown_pct
 FROM cases c ASOF LEFT JOIN m ON c.series_id = m.series_id AND c.date >= m.date""")
 def peak_before_event(spark, sf):
     out = evt.pre_event_peak(event_cases(spark, sf), bars_of(spark, sf), K, "date", "close")
-    return out.select("series_id", "date", "case_id", "peak_date", "peak_value", "days_since_peak", F.round("drawdown_pct", 6).alias("drawdown_pct"))
+    return out.select("series_id", "date", "case_id", "case_line", "peak_date", "peak_value", "days_since_peak", F.round("drawdown_pct", 6).alias("drawdown_pct"))
 
 
 def stages(spark, sf):
