@@ -103,7 +103,7 @@ def test_linked_sets_share_a_region():
             got = []
             for s in (a, b):
                 s = np.sort(s)
-                doc, region = jaccard.regions_of(np.zeros(len(s), np.int64), s, np.array([len(s)]))
+                _, region, _ = jaccard.regions_of(np.zeros(len(s), np.int64), s, np.array([len(s)]))
                 got.append(set(region.tolist()))
             assert got[0] & got[1], n
 
