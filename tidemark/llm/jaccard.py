@@ -417,6 +417,10 @@ def one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     Rows of null id stay if no row of their component has an id; rows without shingles all stay.
     """
+    # columns of docs may have any name, also those that are added on the way
+    given = docs.columns
+    inner = [f"__in{k}" for k in range(len(given))]
+    docs, doc_id, text = docs.toDF(*inner), inner[given.index(doc_id)], inner[given.index(text)]
     found = written(linked_components(docs, doc_id, text, n, percent), "components")
     least = found.where(F.col("shingle_class").isNotNull() & F.col(doc_id).eqNullSafe(F.col("component_id")))
     # a component's least id can have several texts; one of them is kept
@@ -424,7 +428,7 @@ def one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     first = written(first.select("__id", "__kept", "__rows"), "kept")
     rows = keyed(docs, text, n).join(first, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__class") == F.col("__kept")), "left")
     rows = rows.where(F.col("__class").isNull() | F.col("__kept").isNotNull())
-    names = [F.col(f"`{c}`") for c in docs.columns]
+    names = [F.col(c).alias(g) for c, g in zip(inner, given)]
     if first.where("__rows > 1").isEmpty():
         return rows.select(names)
     many = rows.where("__rows > 1").dropDuplicates([doc_id, "__class"])
