@@ -129,3 +129,45 @@ def test_a_ruinous_day_ends_the_curve(spark):
     df = spark.createDataFrame(rows, "series_id string, date date, open double, close double, weight double")
     got = met.equity_curve(df, K, "date", cost=0.0).orderBy("date").collect()
     assert [round(r.equity, 6) for r in got] == [110.0, 0.0, 0.0]
+
+
+def test_year_windows_equal_a_loop(spark):
+    pdf, _ = bars(spark, n=900, seed=11)
+    # a silence of four months, and a second series with a single month
+    silent = (pdf["date"] >= dt.date(2021, 3, 1)) & (pdf["date"] < dt.date(2021, 7, 1))
+    pdf = pdf[~silent].reset_index(drop=True)
+    pdf["equity"], pdf["fee"], pdf["traded"] = curve_loop(pdf, 0.0)[["equity", "fee", "traded"]].to_numpy().T
+    pdf = pdf.astype({"equity": float, "fee": float, "traded": bool})
+    more = pdf.head(20).assign(series_id="b")
+    df = spark.createDataFrame(pd.concat([pdf, more])[["series_id", "date", "equity", "weight", "fee", "traded"]])
+    prior = np.r_[100.0, pdf["equity"].to_numpy()[:-1]]
+    month = pd.to_datetime(pdf["date"]).dt.year * 12 + pd.to_datetime(pdf["date"]).dt.month
+    for months in (12, 3):
+        falls, shares = [], []
+        for end in range(month.min() + months - 1, month.max() + 1):
+            inside = ((month > end - months) & (month <= end)).to_numpy()
+            if inside.any():
+                e, p = pdf["equity"].to_numpy()[inside], prior[inside]
+                falls.append((e / np.maximum.accumulate(np.maximum(e, p)) - 1).min() * 100)
+                shares.append(pdf["weight"].to_numpy()[inside].mean() * 100)
+        # limits between two windows' values
+        limit, most = (float(np.mean(np.unique(x)[len(np.unique(x)) // 2 - 1 :][:2])) for x in (falls, shares))
+        got = met.rolling_year_audit(df, K, "date", limit, most, months).collect()
+        want = [("a", len(falls), sum(x < limit for x in falls), sum(x > most for x in shares))]
+        assert [tuple(r) for r in got if r.series_id == "a"] == want
+        assert [r for r in got if r.series_id == "b"] == []
+
+
+def test_top_ranks_keep_ties_of_a_huge_group(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import align
+
+    df = spark.range(6000).select(F.when(F.col("id") % 10 < 9, "big").otherwise("small").alias("g"), F.when(F.col("id") % 97 > 0, F.pmod(F.xxhash64("id"), F.lit(700))).alias("s"), "id")
+    want = df.where("s IS NOT NULL").withColumn("place", F.rank().over(Window.partitionBy("g").orderBy(F.desc("s")))).where("place <= 10")
+    got = align.top_ranked(df, ["g"], "s", 10)
+    assert sorted(map(tuple, got.select("g", "s", "id", "place").collect())) == sorted(map(tuple, want.select("g", "s", "id", "place").collect()))
+    one = align.top_ranked(df.withColumn("s", F.lit(1)), ["g"], "s", 3)
+    assert one.count() == 6000 and {r.place for r in one.select("place").distinct().collect()} == {1}
+    assert align.top_ranked(df.limit(0), ["g"], "s", 3).count() == 0

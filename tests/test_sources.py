@@ -95,11 +95,51 @@ def test_snapshot_needs_the_registered_manifest(spark, tmp_path):
     root = str(tmp_path / "snap")
     sinks.write_snapshot(spark.range(5), root, "v1")
     assert landed.read_verified_snapshot(spark, root).count() == 5
-    sinks._write_line(spark, json.dumps({"data": "v1/daily", "tampered": True}), f"{root}/v1/MANIFEST.json")
+    manifest = landed.current_pointer(spark, root)["manifest"]
+    sinks._write_line(spark, json.dumps({"data": "v1/daily", "tampered": True}), f"{root}/{manifest}")
     with pytest.raises(ValueError):
         landed.read_verified_snapshot(spark, root)
 
 
+def test_a_writer_that_breaks_off_leaves_the_last_snapshot(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "snap")
+    sinks.write_snapshot(spark.range(5), root, "v1")
+    for step in ("_write_line", "commit"):  # data written; data and manifest written
+        with monkeypatch.context() as m:
+            m.setattr(sinks, step, lambda *_: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                sinks.write_snapshot(spark.range(7), root, "v1")
+        assert landed.read_verified_snapshot(spark, root).count() == 5
+    # commits whose writer broke off before the first or the last byte
+    for torn in ("", '{"manifest": "v1/x/MANI'):
+        assert sinks._put_if_absent(spark, torn, f"{root}/commits/{len(sinks.commits(spark, root)) + 1:010d}.json")
+        assert landed.read_verified_snapshot(spark, root).count() == 5
+    sinks.write_snapshot(spark.range(9), root, "v1")
+    assert landed.read_verified_snapshot(spark, root).count() == 9
+
+
+def test_two_writers_take_two_numbers(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "snap")
+    assert sinks.commit(spark, root, '{"manifest": "a", "sha256": "x"}') == 1
+    # the second writer listed the folder before the first one's commit
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "commits", lambda *_: [])
+        assert sinks.commit(spark, root, '{"manifest": "b", "sha256": "y"}') == 2
+    assert [n for n, _ in sinks.commits(spark, root)] == [2, 1]
+    assert landed.current_pointer(spark, root)["manifest"] == "b"
+
+
+def test_a_root_with_a_bare_pointer_is_read(spark, tmp_path):
+    root = str(tmp_path / "snap")
+    sinks.write_snapshot(spark.range(3), root, "v1")
+    pointer = landed.current_pointer(spark, root)
+    spark.range(3).write.parquet(f"{root}/old/v1/daily")
+    sinks._write_line(spark, json.dumps({"data": "v1/daily"}), f"{root}/old/v1/MANIFEST.json")
+    found = sinks.clean.file_hashes(spark, f"{root}/old/v1/MANIFEST.json").first()["sha256"]
+    sinks._write_line(spark, json.dumps(pointer | {"manifest": "v1/MANIFEST.json", "sha256": found}), f"{root}/old/CURRENT.json")
+    assert landed.read_verified_snapshot(spark, f"{root}/old").count() == 3
+
+
 def test_last_good_snapshot_is_marked_stale(spark):
     rows = [("a", dt.date(2024, 1, 1), 1, True), ("a", dt.date(2024, 1, 2), 2, False), ("b", dt.date(2024, 1, 2), 3, True), ("a", dt.date(2024, 1, 9), 9, True)]
     df = spark.createDataFrame(rows, "k string, snap date, v int, ok boolean")

@@ -236,6 +236,23 @@ def dense_rank_all(df: DataFrame, group: Sequence[str], score: str, out: str = "
     return df.join(ranked, [*group, score])
 
 
+def top_ranked(df: DataFrame, group: Sequence[str], score: str, k: int, out: str = "place", buckets: int = 64) -> DataFrame:
+    """Rows whose rank by falling score is at most k in their group; ties share a rank and all stay. Null scores are not ranked.
+
+    Rows are counted per distinct score, and each bucket of scores sends its k best ones on, so a group of any size orders at most
+    k * buckets rows in one task.
+    """
+    levels = df.where(F.col(score).isNotNull()).groupBy(*group, score).agg(F.count(F.lit(1)).alias("__rows"))
+    levels = levels.withColumn("__bucket", F.pmod(F.xxhash64(score), F.lit(buckets)))
+    inner = Window.partitionBy(*group, "__bucket").orderBy(F.desc(score))
+    best = levels.withColumn("__rn", F.row_number().over(inner)).where(F.col("__rn") <= k)
+    # summed up again, so that the bucketed half stays a shuffle of its own
+    best = best.groupBy(*group, score).agg(F.sum("__rows").alias("__rows"))
+    above = Window.partitionBy(*group).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
+    places = best.select(*group, score, (F.coalesce(F.sum("__rows").over(above), F.lit(0)) + 1).cast("int").alias(out)).where(F.col(out) <= k)
+    return df.join(places, [*group, score])
+
+
 def first_in_group(df: DataFrame, group: Sequence[str], *order) -> DataFrame:
     """Best row per group by the given order, e.g. score descending then id."""
     w = Window.partitionBy(*group).orderBy(*order)

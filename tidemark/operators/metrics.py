@@ -103,20 +103,29 @@ def reset_performance(df: DataFrame, keys, t: str, phases, cost=0.003, initial:
 def rolling_year_audit(equity: DataFrame, keys, t: str, worst_drawdown=-15.0, most_weight=70.0, months: int = 12, initial: float = INITIAL) -> DataFrame:
     """Breaches over all windows of `months` full months, one ending with each month.
 
-    Each row joins the `months` windows that contain it; there is no range join.
+    Each month is summed up once (its top, bottom and worst drawdown, weights); a window folds the summaries of its months in
+    order, where a later bottom also falls from the earlier months' top. Months without rows count, windows without rows don't.
     """
-    df = with_prior(equity, keys, t, initial)
-    df = df.select(*keys, t, "equity", "weight", "fee", "traded", "prior", F.trunc(t, "MM").alias("__m"))
-    series = Window.partitionBy(*keys)
-    df = df.withColumns({"__first": F.min("__m").over(series), "__last": F.max("__m").over(series)})
-    ends = F.sequence(F.col("__m"), F.add_months("__m", months - 1), F.expr("INTERVAL 1 MONTH"))
-    df = df.withColumn("window_end", F.explode(ends)).withColumn("phase_start", F.add_months("window_end", -(months - 1)))
-    df = df.filter((F.col("phase_start") >= F.col("__first")) & (F.col("window_end") <= F.col("__last")))
-    m = window_metrics(df, [*keys, "window_end"], t)
+    df = with_prior(equity, keys, t, initial).withColumn("__m", F.trunc(t, "MM"))
+    top = F.max(F.greatest("prior", "equity")).over(ordered([*keys, "__m"], t).rowsBetween(Window.unboundedPreceding, 0))
+    parts = df.withColumn("__top", top).groupBy(*keys, "__m").agg(
+        F.max("__top").alias("top"), F.min("equity").alias("low"), F.min(F.col("equity") / F.col("__top") - 1).alias("dd"),
+        F.coalesce(F.sum("weight"), F.lit(0.0)).cast("double").alias("w"), F.count("weight").alias("n"))
+    # one row per calendar month, the summary on the first of each gap
+    until = F.add_months(F.coalesce(F.lead("__m").over(ordered(keys, "__m")), F.add_months("__m", 1)), -1)
+    parts = parts.withColumn("__to", until).select(
+        *keys, F.struct("top", "low", "dd", "w", "n").alias("__s"), F.posexplode(F.sequence("__m", "__to", F.expr("INTERVAL 1 MONTH"))).alias("__k", "__month"))
+    frame = ordered(keys, "__month").rowsBetween(1 - months, 0)
+    windows = parts.select(*keys, F.collect_list(F.when(F.col("__k") == 0, F.col("__s"))).over(frame).alias("__in"), F.count(F.lit(1)).over(frame).alias("__months"))
+    start = F.struct(F.lit(None).cast("double").alias("top"), F.lit(0.0).alias("dd"), F.lit(0.0).alias("w"), F.lit(0).cast("long").alias("n"))
+    fold = F.aggregate("__in", start, lambda s, x: F.struct(
+        F.greatest(s["top"], x["top"]).alias("top"), F.least(s["dd"], x["dd"], x["low"] / s["top"] - 1).alias("dd"),
+        (s["w"] + x["w"]).alias("w"), (s["n"] + x["n"]).alias("n")))
+    m = windows.where((F.col("__months") == months) & (F.size("__in") > 0)).select(*keys, fold.alias("__s"))
     return m.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("windows"),
-        F.count_if(F.col("max_drawdown_pct") < worst_drawdown).alias("risk_breaches"),
-        F.count_if(F.col("average_weight_pct") > most_weight).alias("exposure_breaches"),
+        F.count_if(F.col("__s.dd") * 100 < worst_drawdown).alias("risk_breaches"),
+        F.count_if(F.try_divide("__s.w", "__s.n") * 100 > most_weight).alias("exposure_breaches"),
     )
 
 

@@ -154,6 +154,32 @@ def reprints_by_title(spark, sf):
     return n.groupBy("key").agg(F.count(F.lit(1)).alias("articles"), F.count_distinct("source").alias("sources")).filter("articles > 1")
 
 
+def near_copies_sql():
+    """Groups of documents that links of 80 % equal 5-word shingles reach, by a join on shingles and a walk along links."""
+    return r"""
+pl AS (SELECT doc_id, source, published, list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: length(x) > 0) AS ws FROM news),
+sh AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 3, 2)), lambda i: array_to_string(ws[i:i + 4], ' '))) AS s FROM pl WHERE len(ws) > 0),
+sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+cm AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+ln AS MATERIALIZED (SELECT a, b FROM cm JOIN sz p ON p.doc_id = a JOIN sz q ON q.doc_id = b WHERE 180 * common >= 80 * (p.n + q.n)),
+rc(doc_id, other) AS (SELECT doc_id, doc_id FROM news UNION SELECT rc.doc_id, ln.b FROM rc JOIN ln ON ln.a = rc.other),
+gr AS (SELECT doc_id, min(other) AS key FROM rc GROUP BY 1)"""
+
+
+@query("nws3_near_copy_stories", f"""WITH RECURSIVE {NEWS}, {near_copies_sql()},
+hd AS (SELECT key, source, published FROM news JOIN gr USING (doc_id)),
+ph AS (SELECT key, date_trunc('hour', published) AS hour, count(*) AS articles FROM hd GROUP BY 1, 2),
+gp AS (SELECT *, CASE WHEN date_diff('hour', lag(hour) OVER (PARTITION BY key ORDER BY hour), hour) <= 72 THEN 0 ELSE 1 END AS fresh FROM ph),
+st AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY key ORDER BY hour ROWS UNBOUNDED PRECEDING) AS BIGINT) AS story FROM gp),
+s AS (SELECT key, story, min(hour) AS first_hour, max(hour) AS last_hour, CAST(sum(articles) AS BIGINT) AS articles FROM st GROUP BY 1, 2),
+v AS (SELECT st.key, story, count(DISTINCT source) AS sources FROM hd JOIN st ON hd.key = st.key AND date_trunc('hour', published) = hour GROUP BY 1, 2)
+SELECT * FROM s JOIN v USING (key, story)""")
+def near_copy_stories(spark, sf):
+    """Stories of edited reprints: groups of near-copy texts, cut where none appears for 72 hours."""
+    n = news(spark, sf).select("doc_id", "source", "published", "text")
+    return nws.cluster_events(n.join(nws.near_copies(n, "doc_id", "text"), "doc_id"), "group", "published", "source", gap_hours=72)
+
+
 @query("nws4_agreement", """WITH v AS (SELECT o_custkey AS story, o_orderpriority AS source, CASE o_orderstatus WHEN 'F' THEN 'up' WHEN 'O' THEN 'down' END AS direction, CAST(o_orderpriority[1:1] AS INTEGER) AS tier FROM orders),
 d AS (SELECT story, source, direction, min(tier) AS tier FROM v WHERE direction IS NOT NULL GROUP BY 1, 2, 3), p AS (SELECT story, direction, count(*) AS n, sum(1.0::DOUBLE / tier) AS w FROM d GROUP BY 1, 2)
 SELECT story, CAST(sum(n) AS BIGINT) AS opinions, round(max(n) / sum(n), 6) AS agreement, round(max(w) / sum(w), 6) AS weighted_agreement FROM p GROUP BY 1""")

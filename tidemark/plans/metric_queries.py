@@ -241,8 +241,8 @@ def best_return_within_drawdown(spark, sf):
     perf = met.performance(curves(spark, sf), K, "date", PHASES)
     limit = F.max(F.when(F.col("strategy") == "trend120", F.round("max_drawdown_pct", 6))).over(Window.partitionBy("series_id", "phase"))
     kept = perf.withColumn("floor", limit).filter("strategy <> 'trend120'").filter(F.round("max_drawdown_pct", 6) >= F.col("floor"))
-    place = F.rank().over(Window.partitionBy("phase").orderBy(F.round("return_pct", 6).desc()))
-    return kept.select("phase", "series_id", "strategy", F.round("return_pct", 4).alias("return_pct"), place.alias("place")).filter("place <= 10")
+    kept = materialise(kept.select("phase", "series_id", "strategy", "return_pct", F.round("return_pct", 6).alias("score")))
+    return align.top_ranked(kept, ["phase"], "score", 10).select("phase", "series_id", "strategy", F.round("return_pct", 4).alias("return_pct"), "place")
 
 
 @query("top5_all_combinations_ranked", f"""{BASE}, {IN_PHASES}

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import cjk_lang, stable_id, to_number, to_utc, try_date
 from tidemark.operators import clean
 from tidemark.operators.align import newest_per_key
+from tidemark.sources import sinks
 
 EPOCH = "1970-01-01 00:00:00"
 QUOTE_SCHEMA = """chart struct<result: array<struct<
@@ -171,16 +172,35 @@ def read_news_archive(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def current_pointer(spark: SparkSession, root: str) -> dict:
+    """The newest whole commit of `sinks.write_snapshot`; CURRENT.json where a root has no commits.
+
+    A commit whose writer broke off before its end is not whole and is passed over.
+    """
+    for _, path in sinks.commits(spark, root):
+        try:
+            pointer = json.loads(_text(spark, path))
+        except ValueError:
+            continue
+        if isinstance(pointer, dict) and {"manifest", "sha256"} <= pointer.keys():
+            return pointer
+    return json.loads(_text(spark, f"{root}/CURRENT.json"))
+
+
+def _text(spark: SparkSession, path: str) -> str:
+    return "".join(r["value"] for r in spark.read.text(path).collect())
+
+
 def read_verified_snapshot(spark: SparkSession, root: str) -> DataFrame:
     """Pointer to manifest to Parquet; the manifest's SHA-256 must be the pointer's.
 
-    Only the two small control files are read on the driver.
+    Only the small control files are read on the driver.
     """
-    pointer = json.loads("".join(r["value"] for r in spark.read.text(f"{root}/CURRENT.json").collect()))
+    pointer = current_pointer(spark, root)
     found = clean.file_hashes(spark, f"{root}/{pointer['manifest']}").select("sha256").first()["sha256"]
     if found != pointer["sha256"]:
         raise ValueError(f"manifest of {root} does not match its pointer")
-    manifest = json.loads("".join(r["value"] for r in spark.read.text(f"{root}/{pointer['manifest']}").collect()))
+    manifest = json.loads(_text(spark, f"{root}/{pointer['manifest']}"))
     return spark.read.parquet(f"{root}/{manifest['data']}")
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,13 +34,51 @@ def read_latest(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
 
 
 def write_snapshot(df: DataFrame, root: str, name: str) -> None:
-    """Data, then a manifest, then the pointer naming the manifest and its hash."""
+    """Data in a folder of its own, then a manifest, then a numbered commit that names the manifest and its hash.
+
+    Nothing that a reader may hold is overwritten: a commit is created only where no other writer has taken its number, else the
+    next number is tried. A run that breaks off leaves the last commit in force.
+    """
     spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{root}/{name}/daily")
-    manifest = json.dumps({"snapshot": name, "data": f"{name}/daily", "columns": df.columns})
-    _write_line(spark, manifest, f"{root}/{name}/MANIFEST.json")
-    found = clean.file_hashes(spark, f"{root}/{name}/MANIFEST.json").select("sha256").first()["sha256"]
-    _write_line(spark, json.dumps({"manifest": f"{name}/MANIFEST.json", "sha256": found}), f"{root}/CURRENT.json")
+    part = f"{name}/{uuid.uuid4().hex}"
+    df.write.parquet(f"{root}/{part}/daily")
+    manifest = json.dumps({"snapshot": name, "data": f"{part}/daily", "columns": df.columns})
+    _write_line(spark, manifest, f"{root}/{part}/MANIFEST.json")
+    found = clean.file_hashes(spark, f"{root}/{part}/MANIFEST.json").select("sha256").first()["sha256"]
+    commit(spark, root, json.dumps({"manifest": f"{part}/MANIFEST.json", "sha256": found}))
+
+
+def commit(spark: SparkSession, root: str, line: str) -> int:
+    """Put the line under the next free number of root/commits and return the number."""
+    number = max([n for n, _ in commits(spark, root)], default=0) + 1
+    while not _put_if_absent(spark, line, f"{root}/commits/{number:010d}.json"):
+        number += 1
+    return number
+
+
+def commits(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    """(number, path) of the commits under root, newest first; only the listing is read."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/commits")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(folder)]
+    return sorted(((int(n[:-5]), f"{root}/commits/{n}") for n in names if n.endswith(".json") and n[:-5].isdigit()), reverse=True)
+
+
+def _put_if_absent(spark: SparkSession, line: str, path: str) -> bool:
+    """Create the file, which fails where it exists; the store decides between two writers."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        out = files.create(target, False)
+    except Py4JJavaError as error:
+        if files.exists(target):
+            return False
+        raise error
+    out.write(bytearray(line, "utf-8"))
+    out.close()
+    return True
 
 
 def _write_line(spark: SparkSession, line: str, path: str) -> None:
