@@ -398,7 +398,8 @@ def linked_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """
     sets = written(keyed(docs.select(doc_id, text), text, n, drop=(text,)), "sets")
     members = region_members(docs, text, n, percent)
-    wanted = members.select(F.col("class").alias("__class")).distinct()
+    # written, so that Spark knows its size and need not shuffle all texts where it is small
+    wanted = written(members.select(F.col("class").alias("__class")).distinct(), "wanted")
     packed = keyed(docs.select(text), text, n, drop=(text,), packed=True).where("__class IS NOT NULL").select("__class", "__packed", "__n")
     texts = packed.join(wanted, "__class", "left_semi").groupBy("__class").agg(F.first("__packed").alias("packed"), F.first("__n").alias("n"))
     texts = written(texts.withColumnRenamed("__class", "class"), "texts")
