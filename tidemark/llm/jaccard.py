@@ -40,8 +40,8 @@ RING = 1.5
 #: Rounds of one pivot for each region, before regions are joined.
 ROUNDS = 2
 #: Members and shingles of a block; a task joins two blocks in memory.
-BLOCK_MEMBERS = 512
-BLOCK_SHINGLES = 400_000
+BLOCK_MEMBERS = 1024
+BLOCK_SHINGLES = 800_000
 #: Shingles that are counted at a time.
 COLUMNS = 2048
 
