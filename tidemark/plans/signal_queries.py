@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import ordered
 from tidemark.operators import indicators as ind
 from tidemark.operators import signals as sig
+from tidemark.operators.machines import states_by_jumps
 from tidemark.plans.registry import query
 from tidemark.plans.views import BARS, RAW, index_bars, kept_bars, raw_bars
 
@@ -195,6 +196,13 @@ def entry_exit_machine(spark, sf):
     return sig.ma_breakout(bars_of(spark, sf), K, "date", "close", RULES)
 
 
+@query("sig14_machine_by_jumps", f"""
+WITH RECURSIVE {BARS}, {rule_sql()}, {MACHINE} SELECT series_id, date, spec_id, state FROM states""")
+def machine_by_jumps(spark, sf):
+    df, machines = sig.breakout_conditions(bars_of(spark, sf), K, "date", "close", RULES)
+    return states_by_jumps(df, K, "date", "close", machines)
+
+
 @query("sig14_episodes", f"""
 WITH RECURSIVE {BARS}, {rule_sql()}, {MACHINE},
 e AS (SELECT *, sum(CASE WHEN state > 0 AND prev <= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY series_id, spec_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS episode
