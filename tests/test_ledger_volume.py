@@ -22,7 +22,7 @@ def many_ranges(spark, monkeypatch):
     spark.conf.set("spark.sql.shuffle.partitions", n)
 
 
-@pytest.mark.parametrize("name, shuffles", [("led2_sells_capped_by_holdings", 1), ("led2_fifo_match", 1)])
+@pytest.mark.parametrize("name, shuffles", [("led2_sells_capped_by_holdings", 1), ("led2_fifo_match", 1), ("led3_redemption_fees", 1)])
 def test_trades_are_shuffled_once(spark, name, shuffles):
     plan = entry_points.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     by_supplier = re.findall(r"Exchange hashpartitioning\((?!day)", plan)
