@@ -22,7 +22,7 @@ def many_ranges(spark, monkeypatch):
     spark.conf.set("spark.sql.shuffle.partitions", n)
 
 
-@pytest.mark.parametrize("name, shuffles", [("led2_sells_capped_by_holdings", 1), ("led2_fifo_match", 1), ("led3_redemption_fees", 1)])
+@pytest.mark.parametrize("name, shuffles", [("led2_sells_capped_by_holdings", 1), ("led2_fifo_match", 1), ("led3_redemption_fees", 1), ("led6_daily_books", 1)])
 def test_trades_are_shuffled_once(spark, name, shuffles):
     plan = entry_points.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     by_supplier = re.findall(r"Exchange hashpartitioning\((?!day)", plan)
@@ -51,6 +51,15 @@ def test_some_keys_cut_and_some_not(spark, many_ranges):
     assert sorted((r["sell"]["seq"], r["lot"]["seq"], r["matched"]) for r in got.collect()) == matches
 
 
+def test_books_of_cut_keys_are_the_same(spark, many_ranges):
+    _, df = trades(spark)
+    books = lambda spread: led.daily_books(
+        led.settle(led.cap_sells(df, S, ORDER, spread), df.select("day"), "day", settle_days=2), S, "day", "cash_date", 1e6)
+    assert scan.PART in led.cap_sells(df, S, ORDER, True).columns
+    rows = lambda b: sorted(tuple(r) for r in b.select("supp", "day", "cash", "units", "unsettled", "price").collect())
+    assert rows(books(True)) == rows(books(False))
+
+
 def test_a_cut_table_is_not_shuffled_for_its_ranges(spark, many_ranges):
     _, df = trades(spark)
     cut = scan.ranged(df, S, ORDER)
