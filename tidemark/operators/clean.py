@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+import re
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import sha256
 from tidemark.functions.scalars import ordered
+from tidemark.session import materialise
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -76,10 +82,120 @@ def expected_months(df: DataFrame, keys, t: str) -> DataFrame:
     return span.select(*keys, F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 MONTH"))).alias("month"))
 
 
-def file_hashes(spark, path: str) -> DataFrame:
-    """Size and SHA-256 of every file under a path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+#: Bytes of a file that one task hashes at once; of a larger file a task takes `SPAN` bytes and hands its state on.
+WHOLE, SPAN = 128 << 20, 256 << 20
+#: Bytes per row in which a larger file is passed on, so that a batch of 10,000 rows stays small.
+PIECE = 8 << 10
+#: Endings that Spark's line reader unpacks, so that the bytes of such files can only be had whole.
+PACKED = r"\.(gz|bz2|deflate|snappy|lz4|zst|passthrough)$"
+
+
+def file_hashes(spark, path: str, whole: int = WHOLE, span: int = SPAN) -> DataFrame:
+    """Size and SHA-256 of every file under a path.
+
+    A digest follows its file byte by byte. A file over `whole` bytes is therefore cut by Spark's line reader, written in pieces and hashed
+    in rounds, all such files side by side: a task reads about `span` bytes of a file and goes on from the state of the round before.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = reader.load(path)
+    # content is read only of files whose length the reader is asked for
+    hashed = lambda df: df.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    out = hashed(files.where(F.col("length") <= whole))
+    large = files.where(F.col("length") > whole).select("path", F.col("length").alias("bytes"), F.col("_metadata.file_path").alias("file")).collect()
+    if packed := [r["path"] for r in large if re.search(PACKED, r["path"])]:
+        out = out.unionByName(hashed(reader.load(packed)))
+    large = [r for r in large if not re.search(PACKED, r["path"])]
+    if not large:
+        return out
+    digests = _digests_in_rounds(spark, path, {r["file"]: r["bytes"] for r in large}, whole, span)
+    return out.unionByName(spark.createDataFrame([(r["path"], r["bytes"], digests[r["file"]]) for r in large], out.schema))
+
+
+def _digests_in_rounds(spark, path: str, sizes: dict[str, int], whole: int, span: int) -> dict[str, str]:
+    """Digest by path of the files with these sizes; the driver holds a path, a size and a state of 112 bytes for each, never content."""
+    if not sha256.resumes():
+        # no state to hand on: one task reads all pieces of a file
+        span = max(sizes.values()) + 1
+    lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                         F.col("value").cast("binary").alias("line"), F.col("_metadata.file_size").alias("size"))
+    lines = lines.where((F.col("size") > whole) & ~F.col("file").rlike(PACKED)).drop("size")
+    pieces = lines.mapInArrow(_pieces, "file string, start long, number int, data binary")
+    pieces = materialise(pieces.withColumn("round", F.floor(F.col("start") / span)), by=["round"])
+    read = {r["file"]: r["n"] for r in pieces.groupBy("file").agg(F.sum(F.length("data")).alias("n")).collect()}
+    # the reader drops a byte order mark, and each line here ends in a line feed, the last one of a file perhaps wrongly
+    marks = {f: b"\xef\xbb\xbf" if read.get(f, 0) in (n - 3, n - 2) else b"" for f, n in sizes.items()}
+    if bad := [f for f, n in sizes.items() if n - read.get(f, 0) - len(marks[f]) not in (0, -1)]:
+        raise OSError(f"not read byte by byte: {bad[:3]}")
+    done, digests = {}, {}
+    for at in range(max(sizes.values()) // span + 1):
+        rows = pieces.where(F.col("round") == at).repartition("file").sortWithinPartitions("file", "start", "number").drop("round")
+        for r in rows.mapInArrow(_hasher(done, sizes, marks), "file string, seen long, state binary, sha256 string").collect():
+            done[r["file"]], digests[r["file"]] = (r["seen"], bytes(r["state"])), r["sha256"]
+    if short := [f for f, n in sizes.items() if done[f][0] != n]:
+        raise OSError(f"not read to the end: {short[:3]}")
+    return digests
+
+
+def _pieces(batches):
+    """Lines of a split, each with a line feed, in pieces of PIECE bytes or the line that goes beyond."""
+    held, size, key, number, names = [], 0, None, 0, ["file", "start", "number", "data"]
+    full = []
+
+    def cut():
+        nonlocal held, size, number
+        full.append((*key, number, b"\n".join([*held, b""])))
+        held, size, number = [], 0, number + 1
+
+    def out():
+        columns = [pa.array(c, t) for c, t in zip(zip(*full), (pa.string(), pa.int64(), pa.int32(), pa.binary()))]
+        full.clear()
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    for batch in batches:
+        for k, group in itertools.groupby(zip(*(c.to_pylist() for c in batch.columns)), lambda r: r[:2]):
+            if k != key:
+                if held:
+                    cut()
+                key, number = k, 0
+            for *_, line in group:
+                held.append(line)
+                size += len(line) + 1
+                if size >= PIECE:
+                    cut()
+        if full:
+            yield out()
+    if held:
+        cut()
+        yield out()
+
+
+def _hasher(done: dict, sizes: dict, marks: dict):
+    """Task that goes on from what is done with its rows, which are sorted by file and place."""
+
+    def run(batches):
+        file, seen, digest = None, 0, None
+
+        def end():
+            row = {"file": file, "seen": seen, "state": digest.state() if sha256.resumes() else b"", "sha256": digest.hexdigest()}
+            return pa.RecordBatch.from_pylist([row])
+
+        for batch in batches:
+            for name, _, _, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if name != file:
+                    if file is not None:
+                        yield end()
+                    file, (seen, state) = name, done.get(name, (0, None))
+                    digest = sha256.Resumable(state) if sha256.resumes() else hashlib.sha256()
+                    data = data if seen else marks[name] + data
+                # the line feed after the last line may not be in the file
+                data = data[: sizes[name] - seen]
+                digest.update(data)
+                seen += len(data)
+        if file is not None:
+            yield end()
+
+    return run
 
 
 def fingerprint(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
