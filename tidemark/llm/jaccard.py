@@ -11,8 +11,9 @@ sub-universe. m leaves a margin, so that tiny projections, which random sets sha
 
 Joins. In each region one class is the pivot; a class that is within the distance of its pivot is linked to it, and members
 linked with one another need no comparing. After some rounds with other pivots, regions that still hold several
-components are joined exactly: those that share members make a family, which is dealt to blocks of bounded size, and each two blocks
-count the common shingles of their members in one task. (Splitting families further by Voronoi regions of their pivots was tried: with
+components are joined exactly. Linked sets share a known number of regions, so each class leaves out its largest ones, one fewer than that
+(`few_regions`). Regions that share members then make a family, which is dealt to blocks of bounded size, and for each two blocks one task
+counts the common shingles of the members that share a region. (Splitting families further by Voronoi regions of their pivots was tried: with
 windows of twice the distance nearly all members stay in all regions.) All distances are exact counts over whole sets.
 
 Sets are compared by 64-bit hashes of shingles, classes by 64 bits of the set and its size.
@@ -26,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
@@ -42,8 +43,8 @@ ROUNDS = 2
 #: Members and shingles of a block; a task joins two blocks in memory.
 BLOCK_MEMBERS = 1024
 BLOCK_SHINGLES = 800_000
-#: Shingles that are counted at a time.
-COLUMNS = 2048
+#: Shingles that are counted at a time, or those of one set.
+COLUMNS = 1 << 18
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -203,7 +204,7 @@ PRUNES = 2
 
 
 def region_members(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
-    """(region, class, pivot) of regions with two classes or more that may be linked, in one pass over the texts and one shuffle by region."""
+    """(region, class, tag, pivot) of regions with two classes or more that may be linked, in one pass over the texts and one shuffle by region."""
     sorted_ = members_in_tasks(docs, text, n, percent).repartition("key").sortWithinPartitions("key", "class")
     names = ["region", "class", "tag", "pivot"]
 
@@ -244,7 +245,7 @@ def region_members(docs: DataFrame, text: str, n: int, percent: int) -> DataFram
         several = left.groupBy("region").agg(F.min("class").alias("pivot"), F.max("class").alias("last")).where("pivot < last").select("region", "pivot")
         before, members = members, written(left.join(several, "region").select(*names), "members")
         forget(before)
-    return members.drop("tag")
+    return members
 
 
 def distances(pairs: DataFrame, texts: DataFrame, n: int, percent: int = 0) -> DataFrame:
@@ -296,7 +297,9 @@ def _pairs(a: Column, b: Column, df: DataFrame) -> DataFrame:
 
 
 def class_labels(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """(class, label): the component of every class that is linked with another."""
+    """(class, label): the component of every class that is linked with another. Without tags, linked classes share one region or more."""
+    if "tag" not in members.columns:
+        members = members.withColumn("tag", F.lit(1).cast("long"))
 
     def labels_of(links: DataFrame) -> DataFrame:
         return written(components(links).select(F.col("node").alias("class"), F.col("root").alias("label")), "labels")
@@ -305,7 +308,7 @@ def class_labels(members: DataFrame, texts: DataFrame, n: int, percent: int) ->
     best = members.where("class != pivot").groupBy("class", "pivot").agg(F.count(F.lit(1)).alias("shared"))
     best = best.groupBy("class").agg(F.max(F.struct("shared", "pivot"))["pivot"].alias("pivot"))
     measured = written(distances(_pairs(F.col("class"), F.col("pivot"), best), texts, n), "distances")
-    links, open_ = measured.where(near(percent)).select("a", "b"), members.select("region", "class").distinct()
+    links, open_ = measured.where(near(percent)).select("a", "b"), members.select("region", "class", "tag").distinct()
     for turn in range(ROUNDS + 1):
         known = labels_of(links)
         now = _labelled(open_, known)
@@ -316,10 +319,23 @@ def class_labels(members: DataFrame, texts: DataFrame, n: int, percent: int) ->
             spread = _pairs(F.col("class"), F.col("p.class"), open_.join(first, "region").where("label != p.label"))
             measured = measured.unionByName(written(distances(spread.join(measured.select("a", "b"), ["a", "b"], "left_anti"), texts, n), "distances"))
             links = measured.where(near(percent)).select("a", "b")
-            open_ = open_.select("region", "class")
-    if open_.isEmpty():
+            open_ = open_.select("region", "class", "tag")
+    few = written(few_regions(open_), "few")
+    few = written(few.join(_mixed(few).select("region"), "region"), "few")
+    if few.isEmpty():
         return known
-    return labels_of(links.unionByName(written(family_links(open_, texts, n, percent), "links")))
+    return labels_of(links.unionByName(written(family_links(few, texts, n, percent), "links")))
+
+
+def few_regions(open_: DataFrame) -> DataFrame:
+    """(region, class, label): of all mixed regions of each class, so many that it still shares one with each class that it is linked to.
+
+    Two linked classes share as many regions of a ring as both their tags say. In one order of all regions, the first that they share is
+    followed by the others, so it is not among the last of either class, one fewer than that. The largest regions come last.
+    """
+    by = Window.partitionBy("class", "tag")
+    ranked = open_.withColumns({"rank": F.row_number().over(by.orderBy("size", "region")), "all": F.count(F.lit(1)).over(by)})
+    return ranked.where(F.col("rank") <= F.col("all") - F.col("tag").bitwiseAND(F.lit(0xFFFF)) + 1).select("region", "class", "label")
 
 
 def family_links(open_: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -330,12 +346,13 @@ def family_links(open_: DataFrame, texts: DataFrame, n: int, percent: int) -> Da
     """
     heads = open_.groupBy("region").agg(F.min("class").alias("head"))
     family = written(components(open_.join(heads, "region").select(F.col("class").alias("a"), F.col("head").alias("b"))), "families")
-    rows = family.select(F.col("node").alias("class"), F.col("root").alias("family")).join(open_.select("class", "label").distinct(), "class").join(texts, "class")
+    own = open_.groupBy("class").agg(F.first("label").alias("label"), F.collect_set("region").alias("regions"))
+    rows = family.select(F.col("node").alias("class"), F.col("root").alias("family")).join(own, "class").join(texts, "class")
     size = rows.groupBy("family").agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(BLOCK_MEMBERS), F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
     rows = rows.join(size, "family").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     meeting = [F.col("family"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
-    dealt = rows.select(*meeting, "class", "label", "packed").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "class")
+    dealt = rows.select(*meeting, "class", "label", "packed", "regions").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "class")
 
     def run(batches):
         unpress = zstandard.ZstdDecompressor()
@@ -344,45 +361,68 @@ def family_links(open_: DataFrame, texts: DataFrame, n: int, percent: int) -> Da
         def out():
             if len({x[1] for x in held}) < 2:
                 return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
-            a, b = _links_within([unpress.decompress(x[2]) for x in held], np.array([x[0] for x in held]), np.array([x[1] for x in held]), n, percent)
+            cls, label = np.array([x[0] for x in held]), np.array([x[1] for x in held])
+            a, b = _links_within([unpress.decompress(x[2]) for x in held], cls, label, [x[3] for x in held], n, percent)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("family", "i", "j", "class", "label", "packed")]
-            for *at, cls, label, packed in zip(*columns):
+            regions, ends = batch.column("regions").values.to_numpy(), batch.column("regions").offsets.to_numpy()
+            for *at, cls, label, packed, a, b in zip(*columns, ends[:-1], ends[1:]):
                 if at != key:
                     if len(held) > 1:
                         yield out()
                     held, key = [], at
-                held.append((cls, label, packed))
+                held.append((cls, label, packed, regions[a:b].copy()))
         if len(held) > 1:
             yield out()
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _links_within(raw: list[bytes], cls: np.ndarray, label: np.ndarray, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """A linked pair of classes for each two labels that have one, by counting the common shingles of all members at once."""
+def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All numbers from each start to before its end."""
+    size = end - start
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+def _links_within(raw: list[bytes], cls: np.ndarray, label: np.ndarray, regions: list[np.ndarray], n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A linked pair of classes for each two labels that have one, by counting the common shingles of all members that share a region."""
     none = np.zeros(0, np.int64)
     if len(set(label.tolist())) < 2:
         return none, none
     m, data, offsets = len(raw), np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
     parts = [(a, shingle_sets(data, offsets[a : b + 1], n)) for a, b in slices(offsets)]
-    doc, hashes, size = (np.concatenate(x) for x in zip(*((d + a, h, z) for a, (d, h, z) in parts)))
-    order = np.argsort(hashes, kind="stable")
-    doc, new = doc[order], first_of(hashes[order])
-    column = np.cumsum(new) - 1
-    shared = np.bincount(column) > 1
-    doc, column = doc[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
-    common = np.zeros((m, m), np.float32)
-    for at in range(0, int(shared.sum()), COLUMNS):
-        a, b = np.searchsorted(column, (at, at + COLUMNS))
-        part = np.zeros((m, COLUMNS), np.float32)
-        part[doc[a:b], column[a:b] - at] = 1
-        common += part @ part.T
-    # the same on both sides of the sign, in whole numbers: (100 + percent) * common >= percent * (size + size)
-    linked = (100 + percent) * common.astype(np.int64) >= percent * (size[:, None] + size[None, :])
-    x, y = np.nonzero(np.triu(linked, 1) & (label[:, None] != label[None, :]))
+    hashes, size = np.concatenate([x[1] for _, x in parts]), np.concatenate([x[2] for _, x in parts])
+    del parts
+    distinct, shingle = np.unique(hashes, return_inverse=True)
+    shingle, marked = shingle.astype(np.int32), np.zeros(len(distinct), bool)
+    at = np.r_[0, np.cumsum(size)]
+    # members of each region, and regions of each member
+    own = np.r_[0, np.cumsum([len(x) for x in regions])]
+    _, region = np.unique(np.concatenate(regions), return_inverse=True)
+    order = np.argsort(region, kind="stable")
+    member = np.repeat(np.arange(m), np.diff(own))[order]
+    first = np.searchsorted(region[order], np.arange(len(region) + 1))
+    x, y = [none], [none]
+    for a in range(m):
+        mine = region[own[a] : own[a + 1]]
+        b = np.flatnonzero(np.bincount(member[_ranges(first[mine], first[mine + 1])], minlength=m))
+        b = b[(b > a) & (label[b] != label[a])]
+        b = b[100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])]
+        if not len(b):
+            continue
+        marked[shingle[at[a] : at[a + 1]]] = True
+        for i, j in slices(np.r_[0, np.cumsum(size[b])], COLUMNS):
+            some = b[i:j]
+            found = marked[shingle[_ranges(at[some], at[some + 1])]]
+            common = np.add.reduceat(found, np.cumsum(size[some]) - size[some], dtype=np.int64)
+            # the same on both sides of the sign, in whole numbers: (100 + percent) * common >= percent * (size + size)
+            some = some[(100 + percent) * common >= percent * (size[a] + size[some])]
+            x.append(np.full(len(some), a))
+            y.append(some)
+        marked[shingle[at[a] : at[a + 1]]] = False
+    x, y = np.concatenate(x), np.concatenate(y)
     if not len(x):
         return none, none
     two = np.sort(np.stack([label[x], label[y]]), axis=0)
