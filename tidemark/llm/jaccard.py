@@ -22,6 +22,7 @@ Sets are compared by 64-bit hashes of shingles, classes by 64 bits of the set an
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ ROUNDS = 2
 #: Members and shingles of a block; a task joins two blocks in memory.
 BLOCK_MEMBERS = 1024
 BLOCK_SHINGLES = 800_000
+#: Regions of classes that a task holds before it gives them out.
+HELD_ROWS = 500_000
 #: Shingles that are counted at a time, or those of one set.
 COLUMNS = 1 << 18
 
@@ -155,48 +158,59 @@ def keyed(docs: DataFrame, text: str, n: int, drop: tuple[str, ...] = (), packed
 
 
 def members_in_tasks(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
-    """(key, class, tag, region, pivot) of each task's distinct classes.
+    """(key, class, tag, region, pivot) of each task's distinct classes, in portions of about HELD_ROWS.
 
-    The first class of each of the task's regions goes by the region (key), without region and pivot; it meets those of other tasks, so a
-    hot region has one such row per task. Where a region holds several classes of the task, all are its members, with the first as pivot;
-    they are settled already, so their key is their class.
+    In a portion, the first class of each of the task's regions goes by the region (key), without region and pivot; it meets those of other tasks, so a
+    hot region has one such row per portion. Where a region holds several classes of the portion, all are its members, with the first as
+    pivot; they are settled already, so their key is their class.
     """
+    run = partial(_members_in_task, n=n, percent=percent)
+    return docs.select(F.col(text).alias("__text")).where(F.col(text).isNotNull()).mapInArrow(run, "key long, class long, tag long, region long, pivot long")
 
-    def run(batches):
-        seen, parts = np.zeros(0, np.int64), []
-        for batch in batches:
-            data, offsets = buffers(batch.column("__text"))
-            for a, b in slices(offsets):
-                doc, hashes, size = shingle_sets(data, offsets[a : b + 1], n)
-                keys = classes_of(doc, hashes, b - a, size)
-                order = np.argsort(keys, kind="stable")
-                new = first_of(keys[order])
-                fresh = np.zeros(b - a, bool)
-                fresh[order[new]] = True
-                at = np.minimum(np.searchsorted(seen, keys), max(len(seen) - 1, 0))
-                fresh &= (seen[at] != keys) if len(seen) else True
-                fresh &= size > 0
-                seen = np.union1d(seen, keys[fresh])
-                mine = fresh[doc]
-                owner, region, tag = regions_of(doc[mine], hashes[mine], np.where(fresh, size, 0), percent)
-                parts.append(np.stack([region, keys[owner], tag]))
-        if not parts:
-            return
-        region, cls, tag = np.concatenate(parts, axis=1)
-        order = np.lexsort((cls, region))
-        region, cls, tag = region[order], cls[order], tag[order]
-        first = first_of(region)
-        begin = np.flatnonzero(first)
-        several = np.diff(np.append(begin, len(region))) > 1
-        group = np.cumsum(first) - 1
-        local = np.flatnonzero(several[group])
-        for rows, settled in ((begin, False), (local, True)):
-            for at in range(0, len(rows), 100_000):
-                k = rows[at : at + 100_000]
-                more = [pa.array(region[k]), pa.array(cls[begin[group[k]]])] if settled else [pa.nulls(len(k), pa.int64())] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(cls[k] if settled else region[k]), pa.array(cls[k]), pa.array(tag[k]), *more], ["key", "class", "tag", "region", "pivot"])
 
-    return docs.select(F.col(text).alias("__text")).where(F.col(text).isNotNull()).mapInArrow(run, "key long, class long, tag long, region long, pivot long")
+def _members_in_task(batches, n: int, percent: int):
+    seen, parts, held = np.zeros(0, np.int64), [], 0
+    for batch in batches:
+        data, offsets = buffers(batch.column("__text"))
+        for a, b in slices(offsets):
+            doc, hashes, size = shingle_sets(data, offsets[a : b + 1], n)
+            keys = classes_of(doc, hashes, b - a, size)
+            order = np.argsort(keys, kind="stable")
+            new = first_of(keys[order])
+            fresh = np.zeros(b - a, bool)
+            fresh[order[new]] = True
+            at = np.minimum(np.searchsorted(seen, keys), max(len(seen) - 1, 0))
+            fresh &= (seen[at] != keys) if len(seen) else True
+            fresh &= size > 0
+            seen = np.union1d(seen, keys[fresh])
+            mine = fresh[doc]
+            owner, region, tag = regions_of(doc[mine], hashes[mine], np.where(fresh, size, 0), percent)
+            parts.append(np.stack([region, keys[owner], tag]))
+            held += len(region)
+            if held >= HELD_ROWS:
+                yield from _portion(parts)
+                held = 0
+    yield from _portion(parts)
+
+
+def _portion(parts: list[np.ndarray]):
+    """Batches of the (region, class, tag) in parts, which is emptied."""
+    if not parts:
+        return
+    region, cls, tag = np.concatenate(parts, axis=1)
+    parts.clear()
+    order = np.lexsort((cls, region))
+    region, cls, tag = region[order], cls[order], tag[order]
+    first = first_of(region)
+    begin = np.flatnonzero(first)
+    several = np.diff(np.append(begin, len(region))) > 1
+    group = np.cumsum(first) - 1
+    local = np.flatnonzero(several[group])
+    for rows, settled in ((begin, False), (local, True)):
+        for at in range(0, len(rows), 100_000):
+            k = rows[at : at + 100_000]
+            more = [pa.array(region[k]), pa.array(cls[begin[group[k]]])] if settled else [pa.nulls(len(k), pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(cls[k] if settled else region[k]), pa.array(cls[k]), pa.array(tag[k]), *more], ["key", "class", "tag", "region", "pivot"])
 
 
 #: Times that members with too few shared regions are taken out.
@@ -339,7 +353,7 @@ def few_regions(open_: DataFrame) -> DataFrame:
 
 
 def family_links(open_: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b): links between members of mixed regions that have different labels, one or more for each two labels that have any.
+    """(a, b): links between members of mixed regions that have different labels, enough of them to join all labels that links join.
 
     Regions that share members are one family, so that a member is sent once and not for each of its regions. A family is dealt to
     blocks of bounded size, and each two blocks of it meet in one task.
@@ -387,7 +401,10 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def _links_within(raw: list[bytes], cls: np.ndarray, label: np.ndarray, regions: list[np.ndarray], n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """A linked pair of classes for each two labels that have one, by counting the common shingles of all members that share a region."""
+    """Linked pairs of classes that join all labels that links join, by counting the common shingles of members that share a region.
+
+    Labels that pairs found before have joined are one component, so members of a large group are not compared with one another again.
+    """
     none = np.zeros(0, np.int64)
     if len(set(label.tolist())) < 2:
         return none, none
@@ -404,11 +421,13 @@ def _links_within(raw: list[bytes], cls: np.ndarray, label: np.ndarray, regions:
     order = np.argsort(region, kind="stable")
     member = np.repeat(np.arange(m), np.diff(own))[order]
     first = np.searchsorted(region[order], np.arange(len(region) + 1))
-    x, y = [none], [none]
+    # the component of each member, by the links found so far
+    joined = np.unique(label, return_inverse=True)[1]
+    x, y = [], []
     for a in range(m):
         mine = region[own[a] : own[a + 1]]
         b = np.flatnonzero(np.bincount(member[_ranges(first[mine], first[mine + 1])], minlength=m))
-        b = b[(b > a) & (label[b] != label[a])]
+        b = b[(b > a) & (joined[b] != joined[a])]
         b = b[100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])]
         if not len(b):
             continue
@@ -419,15 +438,14 @@ def _links_within(raw: list[bytes], cls: np.ndarray, label: np.ndarray, regions:
             common = np.add.reduceat(found, np.cumsum(size[some]) - size[some], dtype=np.int64)
             # the same on both sides of the sign, in whole numbers: (100 + percent) * common >= percent * (size + size)
             some = some[(100 + percent) * common >= percent * (size[a] + size[some])]
-            x.append(np.full(len(some), a))
-            y.append(some)
+            met, one = np.unique(joined[some], return_index=True)
+            one = one[met != joined[a]]
+            if len(one):
+                x += [a] * len(one)
+                y += some[one].tolist()
+                joined[np.isin(joined, met)] = joined[a]
         marked[shingle[at[a] : at[a + 1]]] = False
-    x, y = np.concatenate(x), np.concatenate(y)
-    if not len(x):
-        return none, none
-    two = np.sort(np.stack([label[x], label[y]]), axis=0)
-    _, first = np.unique(two, axis=1, return_index=True)
-    return cls[x[first]], cls[y[first]]
+    return cls[np.array(x, np.int64)], cls[np.array(y, np.int64)]
 
 
 def linked_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
