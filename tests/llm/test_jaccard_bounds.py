@@ -1,9 +1,10 @@
-"""What tasks of the join hold and compare stays bounded."""
+"""What tasks of the join hold and compare stays bounded, and texts are found again by their hash."""
 
 import numpy as np
 import pyarrow as pa
 
 from tidemark.llm import jaccard
+from tidemark.llm.words import buffers
 
 
 def near_texts(n, words=200):
@@ -63,3 +64,24 @@ def test_regions_are_given_out_while_texts_are_read(monkeypatch):
     one = pa.Table.from_batches(list(jaccard._members_in_task(batches(), 3, 90)))
     of = lambda t: sorted(zip(t["key"].to_pylist(), t["class"].to_pylist(), t["tag"].to_pylist()))
     assert of(many) == of(one)
+
+
+def test_texts_are_cut_once_for_sets_and_once_for_regions(spark, monkeypatch):
+    """Before, texts were cut into shingles again to be sent and to be kept."""
+    calls = []
+    keyed = jaccard.keyed
+    monkeypatch.setattr(jaccard, "keyed", lambda *a, **b: calls.append(1) or keyed(*a, **b))
+    text = near_texts(4)
+    rows = [(1, text[0]), (2, text[1]), (2, text[1].replace(" ", "\n")), (2, text[1]), (3, None), (4, " \n\t\x0b"), (5, "\x1c"), (None, text[2]), (6, "far away from all")]
+    kept = jaccard.one_per_component(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(calls) == 1
+    assert sorted((r.doc_id, r.text) for r in kept if r.doc_id != 3) == [(1, text[0]), (4, " \n\t\x0b"), (5, "\x1c"), (6, "far away from all")]
+    assert [r.text for r in kept if r.doc_id == 3] == [None]
+
+
+def test_packed_texts_are_whole():
+    import zstandard
+
+    texts = pa.array(["a b", None, "", "é" * 999])
+    got = [zstandard.ZstdDecompressor().decompress(x).decode() for x in jaccard._pressed(zstandard.ZstdCompressor(), *buffers(texts)).to_pylist()]
+    assert got == ["a b", "", "", "é" * 999]

@@ -16,7 +16,7 @@ components are joined exactly. Linked sets share a known number of regions, so e
 counts the common shingles of the members that share a region. (Splitting families further by Voronoi regions of their pivots was tried: with
 windows of twice the distance nearly all members stay in all regions.) All distances are exact counts over whole sets.
 
-Sets are compared by 64-bit hashes of shingles, classes by 64 bits of the set and its size.
+Sets are compared by 64-bit hashes of shingles, classes by 64 bits of the set and its size, texts of one class by xxhash64.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ from tidemark.llm.shared import added, forget, written
 from tidemark.llm.words import BASE, NOT_SPACE, U64, buffers, first_of, mixed, slices, windows, words
 
 N = 3
+#: Texts that have a word, as NOT_SPACE has it.
+A_WORD = r"[^\x20\x09-\x0D]"
 #: 100 * intersection >= PERCENT * union.
 PERCENT = 90
 RING = 1.5
@@ -148,8 +150,7 @@ def keyed(docs: DataFrame, text: str, n: int, drop: tuple[str, ...] = (), packed
             size = np.concatenate(sizes)
             out = {"__n": pa.array(size, pa.int64()), "__class": pa.array(np.concatenate(keys), pa.int64(), mask=size == 0)}
             if packed:
-                raw = memoryview(data)
-                out["__packed"] = pa.array([press.compress(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())
+                out["__packed"] = _pressed(press, data, offsets)
             return out
 
         return make
@@ -157,6 +158,21 @@ def keyed(docs: DataFrame, text: str, n: int, drop: tuple[str, ...] = (), packed
     return added(docs, factory, {"__n": "long", "__class": "long"} | ({"__packed": "binary"} if packed else {}), drop)
 
 
+def _pressed(press: zstandard.ZstdCompressor, data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    raw = memoryview(data)
+    return pa.array([press.compress(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())
+
+
+def pressed(docs: DataFrame, text: str) -> DataFrame:
+    """docs with the compressed text, __packed, in place of the text."""
+
+    def factory():
+        press = zstandard.ZstdCompressor(level=3)
+        return lambda batch: {"__packed": _pressed(press, *buffers(batch.column(text)))}
+
+    return added(docs, factory, {"__packed": "binary"}, (text,))
+
+
 def members_in_tasks(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
     """(key, class, tag, region, pivot) of each task's distinct classes, in portions of about HELD_ROWS.
 
@@ -454,13 +470,15 @@ def linked_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     One row per row of docs. Null texts and texts without words have no shingles, link with nothing and are their own
     component. Rows of equal text are linked. Null ids are not the least of a component that has others.
     """
-    sets = written(keyed(docs.select(doc_id, text), text, n, drop=(text,)), "sets")
+    sets = written(keyed(docs.select(doc_id, text, F.xxhash64(text).alias("__text")), text, n, drop=(text,)), "sets")
     members = region_members(docs, text, n, percent)
+    # one text of each class, found again by its hash, so that texts are cut into shingles once and not again to be sent;
     # written, so that Spark knows its size and need not shuffle all texts where it is small
-    wanted = written(members.select(F.col("class").alias("__class")).distinct(), "wanted")
-    packed = keyed(docs.select(text), text, n, drop=(text,), packed=True).where("__class IS NOT NULL").select("__class", "__packed", "__n")
-    texts = packed.join(wanted, "__class", "left_semi").groupBy("__class").agg(F.first("__packed").alias("packed"), F.first("__n").alias("n"))
-    texts = written(texts.withColumnRenamed("__class", "class"), "texts")
+    one = sets.where("__class IS NOT NULL").groupBy(F.col("__class").alias("class")).agg(F.min("__text").alias("__text"), F.first("__n").alias("n"))
+    wanted = written(one.join(members.select("class").distinct(), "class", "left_semi"), "wanted")
+    packed = pressed(docs.where(F.col(text).isNotNull()).select(text, F.xxhash64(text).alias("__text")), text)
+    texts = packed.join(wanted, "__text").groupBy("class").agg(F.first("__packed").alias("packed"), F.first("n").alias("n"))
+    texts = written(texts, "texts")
     labels = class_labels(members, texts, n, percent)
     of_class = sets.where("__class IS NOT NULL").groupBy("__class").agg(F.min(doc_id).alias("__least"))
     of_class = of_class.join(labels, of_class["__class"] == labels["class"], "left").withColumn("__label", F.coalesce("label", "__class"))
@@ -468,7 +486,7 @@ def linked_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     of_class = of_class.join(least, "__label").select("__class", "component_id")
     out = sets.join(of_class, "__class", "left")
     own = F.when(F.col("__class").isNull(), F.col(doc_id)).otherwise(F.col("component_id"))
-    return out.select(doc_id, F.col("__n").alias("n_shingles"), own.alias("component_id"), F.col("__class").alias("shingle_class"))
+    return out.select(doc_id, F.col("__n").alias("n_shingles"), own.alias("component_id"), F.col("__class").alias("shingle_class"), F.col("__text").alias("text_hash"))
 
 
 def one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -483,12 +501,15 @@ def one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     found = written(linked_components(docs, doc_id, text, n, percent), "components")
     least = found.where(F.col("shingle_class").isNotNull() & F.col(doc_id).eqNullSafe(F.col("component_id")))
     # a component's least id can have several texts; one of them is kept
-    first = least.groupBy(F.col(doc_id).alias("__id")).agg(F.min("shingle_class").alias("__kept"), F.count(F.lit(1)).alias("__rows"))
+    first = least.groupBy(F.col(doc_id).alias("__id")).agg(F.min(F.struct("shingle_class", "text_hash"))["text_hash"].alias("__kept"), F.count(F.lit(1)).alias("__rows"))
     first = written(first.select("__id", "__kept", "__rows"), "kept")
-    rows = keyed(docs, text, n).join(first, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__class") == F.col("__kept")), "left")
-    rows = rows.where(F.col("__class").isNull() | F.col("__kept").isNotNull())
+    # rows are found by the hash of their text, and those without a word need no shingles to be known
+    has_word = F.coalesce(F.col(text).rlike(A_WORD), F.lit(False))
+    rows = docs.withColumn("__text", F.when(has_word, F.xxhash64(text)))
+    rows = rows.join(first, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__kept")), "left")
+    rows = rows.where(F.col("__text").isNull() | F.col("__kept").isNotNull())
     names = [F.col(c).alias(g) for c, g in zip(inner, given)]
     if first.where("__rows > 1").isEmpty():
         return rows.select(names)
-    many = rows.where("__rows > 1").dropDuplicates([doc_id, "__class"])
+    many = rows.where("__rows > 1").dropDuplicates([doc_id, "__text"])
     return rows.where("__rows IS NULL OR __rows = 1").select(names).unionByName(many.select(names))
