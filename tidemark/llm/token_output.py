@@ -23,6 +23,8 @@ from tidemark.llm.words import Words, buffers, slices
 CHUNK = 3_000_000
 #: Distinct pieces of text whose ids a task remembers; all are forgotten beyond that.
 REMEMBERED = 1_500_000
+#: New pieces that one call of the library gets as one text.
+JOINED = 50
 END = 0
 
 #: First bytes of characters that may be white space beyond ASCII.
@@ -35,7 +37,8 @@ class Encoder:
     """Encodes texts with a byte-level tokenizer of the `tokenizers` library, each distinct piece once.
 
     The pre-tokenizer's pattern always begins a token at a single space before a character that is no white space, so texts
-    are cut there; pieces are encoded by the library and their ids joined.
+    are cut there; pieces are encoded by the library and their ids joined. New pieces go to the library many at a time as one text,
+    in which all but the first begin at such a space, and are told apart by the bytes of their tokens.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -44,16 +47,27 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
+        # a character of a byte-level token stands for one byte
+        vocabulary = self.tokenizer.get_vocab()
+        self.n_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.n_bytes[list(vocabulary.values())] = [len(x) for x in vocabulary]
         self.forget()
 
     def forget(self) -> None:
         self.known, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids, self.filled = np.zeros(1 << 16, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32), 0
 
-    def _add(self, hashes: np.ndarray, where: np.ndarray, pieces: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        size = np.array([len(x) for x in got], np.int64)
-        flat = np.fromiter((i for x in got for i in x), self.ids.dtype, int(size.sum()))
+    def _add(self, hashes: np.ndarray, where: np.ndarray, pieces: list[bytes], at_space: np.ndarray) -> None:
+        first = ~at_space
+        first[::JOINED] = True
+        begin = np.flatnonzero(first).tolist()
+        texts = [b"".join(pieces[a:b]).decode() for a, b in zip(begin, [*begin[1:], len(pieces)])]
+        flat = np.concatenate([np.array(e.ids, self.ids.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        ends, piece_ends = np.cumsum(self.n_bytes[flat]), np.cumsum([len(x) for x in pieces])
+        last = np.searchsorted(ends, piece_ends)
+        if last[-1] != len(ends) - 1 or (ends[last] != piece_ends).any():
+            raise ValueError("tokens don't end where pieces end: no byte-level tokenizer")
+        size = np.diff(last, prepend=-1)
         if self.filled + len(flat) > len(self.ids):
             self.ids = np.r_[self.ids[: self.filled], np.zeros(self.filled + 2 * len(flat), self.ids.dtype)]
         self.ids[self.filled : self.filled + len(flat)] = flat
@@ -82,7 +96,9 @@ class Encoder:
         new = np.flatnonzero(self.known[np.minimum(where, len(self.known) - 1)] != unique) if len(self.known) else np.arange(len(unique))
         if len(new):
             raw = data.tobytes()
-            self._add(unique[new], where[new], [raw[a:b].decode() for a, b in zip(start[at[new]].tolist(), end[at[new]].tolist())])
+            a, b = start[at[new]], end[at[new]]
+            at_space = (data[a] == 0x20) & (b - a > 1) & AFTER_CUT[data[np.minimum(a + 1, len(data) - 1)]]
+            self._add(unique[new], where[new], [raw[x:y] for x, y in zip(a.tolist(), b.tolist())], at_space)
         row = np.searchsorted(self.known, unique)[inverse]
         size = self.size[row]
         per_doc = np.bincount(doc, size, n_docs).astype(np.int64)
