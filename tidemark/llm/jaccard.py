@@ -13,7 +13,7 @@ Joins. In each region one class is the pivot; a class that is within the distanc
 linked with one another need no comparing. After some rounds with other pivots, regions that still hold several
 components are joined exactly. Linked sets share a known number of regions, so each class leaves out its largest ones, one fewer than that
 (`few_regions`). Regions that share members then make a family, which is dealt to blocks of bounded size, and for each two blocks one task
-counts the common shingles of the members that share a region. (Splitting families further by Voronoi regions of their pivots was tried: with
+counts the common shingles of the members that share a region; a member goes only where its regions have other members (`places`). (Splitting families further by Voronoi regions of their pivots was tried: with
 windows of twice the distance nearly all members stay in all regions.) All distances are exact counts over whole sets.
 
 Sets are compared by 64-bit hashes of shingles, classes by 64 bits of the set and its size, texts of one class by xxhash64.
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import added, forget, written
+from tidemark.llm.shared import ROWS, added, forget, written
 from tidemark.llm.words import BASE, NOT_SPACE, U64, buffers, first_of, mixed, slices, windows, words
 
 N = 3
@@ -46,6 +46,11 @@ ROUNDS = 2
 #: Members and shingles of a block; a task joins two blocks in memory.
 BLOCK_MEMBERS = 1024
 BLOCK_SHINGLES = 800_000
+#: Stars that fill more than this part of a block are dealt out member by member.
+STAR_PART = 0.25
+#: Bits of the marks of wanted texts: so many for each text, and at most.
+MARK_BITS = 16
+MOST_BITS = 1 << 25
 #: Regions of classes that a task holds before it gives them out.
 HELD_ROWS = 500_000
 #: Shingles that are counted at a time, or those of one set.
@@ -163,14 +168,42 @@ def _pressed(press: zstandard.ZstdCompressor, data: np.ndarray, offsets: np.ndar
     return pa.array([press.compress(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())
 
 
-def pressed(docs: DataFrame, text: str) -> DataFrame:
-    """docs with the compressed text, __packed, in place of the text."""
+def marks(hashes: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of the low bits of 64-bit hashes, 4 MB at most however many there are."""
+    bits = min(MOST_BITS, max(1 << 15, 1 << (MARK_BITS * hashes.count()).bit_length()))
+    bit = F.pmod(F.col(column), F.lit(bits)) + 1
+    parts = hashes.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("part"))
+    out = np.zeros((bits >> 15, 1 << 12), np.uint8)
+    for row in parts.collect():
+        out[row.k - 1] = np.frombuffer(row.part, np.uint8)
+    return out.reshape(-1)
 
-    def factory():
-        press = zstandard.ZstdCompressor(level=3)
-        return lambda batch: {"__packed": _pressed(press, *buffers(batch.column(text)))}
 
-    return added(docs, factory, {"__packed": "binary"}, (text,))
+def marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Flags of the hashes that may be among those of the bitmap."""
+    bit = hashes & (8 * len(bitmap) - 1)
+    return (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def pressed(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """(__text, __packed): hash and compressed text of rows whose text may be wanted, repeats in a task once. wanted has __text."""
+    bitmap = docs.sparkSession.sparkContext.broadcast(marks(wanted, "__text"))
+
+    def run(batches):
+        press, done = zstandard.ZstdCompressor(level=3), set()
+        for batch in batches:
+            hashes = batch.column("__text").to_numpy()
+            rows = []
+            for k in np.flatnonzero(marked(bitmap.value, hashes)).tolist():
+                if hashes[k] not in done:
+                    done.add(hashes[k])
+                    rows.append(k)
+            for at in range(0, len(rows), ROWS):
+                some = batch.take(pa.array(rows[at : at + ROWS], pa.int64()))
+                yield pa.RecordBatch.from_arrays([some.column("__text"), _pressed(press, *buffers(some.column("__in")))], ["__text", "__packed"])
+
+    rows = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("__text"), F.col(text).alias("__in"))
+    return rows.mapInArrow(run, "__text long, __packed binary")
 
 
 def members_in_tasks(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
@@ -368,21 +401,39 @@ def few_regions(open_: DataFrame) -> DataFrame:
     return ranked.where(F.col("rank") <= F.col("all") - F.col("tag").bitwiseAND(F.lit(0xFFFF)) + 1).select("region", "class", "label")
 
 
+def places(open_: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(family, block, other, class, label, regions): the blocks, its own included, in which a region of a member has members of another label.
+
+    Members with the same least neighbour, a star, are in one block where it has room for them, so that regions lie in few blocks. In a family
+    of one block all members meet. sizes has class and n. No text is moved before it is known where it goes.
+    """
+    at = written(open_.join(open_.groupBy("region").agg(F.min("class").alias("head")), "region"), "heads")
+    family = written(components(at.select(F.col("class").alias("a"), F.col("head").alias("b"))), "families")
+    own = at.groupBy("class").agg(F.first("label").alias("label"), F.collect_set("region").alias("regions"), F.min("head").alias("star"))
+    rows = written(family.select(F.col("node").alias("class"), F.col("root").alias("family")).join(own, "class").join(sizes, "class"), "own")
+    # families of several blocks and stars without room are few: each has a fixed number of members or shingles at least
+    several = rows.groupBy("family").agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(BLOCK_MEMBERS), F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks")).where("blocks > 1")
+    wide = rows.groupBy("star").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
+    wide = wide.where((F.col("members") > BLOCK_MEMBERS * STAR_PART) | (F.col("shingles") > BLOCK_SHINGLES * STAR_PART)).select("star", F.lit(True).alias("wide"))
+    rows = rows.join(F.broadcast(several), "family", "left").join(F.broadcast(wide), "star", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.when(F.col("wide"), F.col("class")).otherwise(F.col("star"))), F.col("blocks")).cast("int"))
+    rows = written(rows.select("class", "label", "family", "blocks", "block", "regions"), "blocks")
+    spread = rows.where("blocks > 1").select("class", "label", "block", F.explode("regions").alias("region"))
+    held = spread.groupBy("region", F.col("block").alias("other")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    meets = spread.join(held, "region").where("lo != label OR hi != label").select("class", "other").distinct()
+    alone = rows.where("blocks = 1").select("class", F.col("block").alias("other"))
+    return rows.join(meets.unionByName(alone), "class").select("family", "block", "other", "class", "label", "regions")
+
+
 def family_links(open_: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """(a, b): links between members of mixed regions that have different labels, enough of them to join all labels that links join.
 
     Regions that share members are one family, so that a member is sent once and not for each of its regions. A family is dealt to
     blocks of bounded size, and each two blocks of it meet in one task.
     """
-    heads = open_.groupBy("region").agg(F.min("class").alias("head"))
-    family = written(components(open_.join(heads, "region").select(F.col("class").alias("a"), F.col("head").alias("b"))), "families")
-    own = open_.groupBy("class").agg(F.first("label").alias("label"), F.collect_set("region").alias("regions"))
-    rows = family.select(F.col("node").alias("class"), F.col("root").alias("family")).join(own, "class").join(texts, "class")
-    size = rows.groupBy("family").agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(BLOCK_MEMBERS), F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
-    rows = rows.join(size, "family").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     meeting = [F.col("family"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
-    dealt = rows.select(*meeting, "class", "label", "packed", "regions").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "class")
+    rows = places(open_, texts.select("class", "n")).select(*meeting, "class", "label", "regions")
+    dealt = rows.join(texts.select("class", "packed"), "class").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "class")
 
     def run(batches):
         unpress = zstandard.ZstdDecompressor()
@@ -476,8 +527,9 @@ def linked_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     # written, so that Spark knows its size and need not shuffle all texts where it is small
     one = sets.where("__class IS NOT NULL").groupBy(F.col("__class").alias("class")).agg(F.min("__text").alias("__text"), F.first("__n").alias("n"))
     wanted = written(one.join(members.select("class").distinct(), "class", "left_semi"), "wanted")
-    packed = pressed(docs.where(F.col(text).isNotNull()).select(text, F.xxhash64(text).alias("__text")), text)
-    texts = packed.join(wanted, "__text").groupBy("class").agg(F.first("__packed").alias("packed"), F.first("n").alias("n"))
+    # only texts that may be wanted are shuffled; a text's hash has one class, so that one shuffle by the hash is enough
+    texts = pressed(docs, text, wanted).join(wanted, "__text").groupBy("__text", "class").agg(F.first("__packed").alias("packed"), F.first("n").alias("n"))
+    texts = texts.select("class", "packed", "n")
     texts = written(texts, "texts")
     labels = class_labels(members, texts, n, percent)
     of_class = sets.where("__class IS NOT NULL").groupBy("__class").agg(F.min(doc_id).alias("__least"))
