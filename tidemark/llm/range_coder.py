@@ -25,42 +25,47 @@ WORD = U64(0xFFFFFFFF)
 
 
 class _Model:
-    """Predictions of all lanes; the same calls in encoder and decoder keep both alike."""
+    """Predictions of all lanes; the same calls in encoder and decoder keep both alike.
+
+    A cell of a table holds the id that was seen last and its run of hits in one word, `id * RUNS + run` (-1: none), so that a
+    step reads and writes each table once. Hashes need only low bits, so they may wrap.
+    """
 
     def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
+        self.lane1, self.lane2, self.lane_cell = (np.arange(lanes) * k for k in (SLOTS1, SLOTS2, RUNS))
         self.seen1, self.seen2 = np.full(lanes * SLOTS1, -1, np.int32), np.full(lanes * SLOTS2, -1, np.int32)
-        self.run1, self.run2 = np.zeros(lanes * SLOTS1, np.int8), np.zeros(lanes * SLOTS2, np.int8)
         start = np.linspace(400, 3600, RUNS).astype(np.int32)
         self.right1, self.right2 = np.tile(start // 2, lanes), np.tile(start, lanes)
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
 
     def keep(self, n: int) -> None:
         """Only the first n lanes go on."""
-        lanes = len(self.lane)
-        for name in ("seen1", "run1", "seen2", "run2", "right1", "right2", "last", "before", "lane"):
+        lanes = len(self.last)
+        for name in ("seen1", "seen2", "right1", "right2", "last", "before", "lane1", "lane2", "lane_cell"):
             old = getattr(self, name)
             setattr(self, name, old[: len(old) // lanes * n])
 
     def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Order-2 and order-1 ids (-1: none) and their shares of 1 << SHARE_BITS."""
-        self.at2 = self.lane * SLOTS2 + ((self.last * 40503 + self.before * 30029) >> 4) % SLOTS2
-        self.at1 = self.lane * SLOTS1 + (self.last * 40503 >> 6) % SLOTS1
-        two, one = self.seen2[self.at2], self.seen1[self.at1]
-        self.cell2, self.cell1 = self.lane * RUNS + self.run2[self.at2], self.lane * RUNS + self.run1[self.at1]
-        share2 = np.where(two >= 0, self.right2[self.cell2], 0)
-        share1 = np.where((one >= 0) & (one != two), (((1 << SHARE_BITS) - share2) * self.right1[self.cell1]) >> SHARE_BITS, 0)
-        return two, one, share2, share1
-
-    def learn(self, ids: np.ndarray, two: np.ndarray, one: np.ndarray) -> None:
-        for guess, seen, run, right, at, cell in ((two, self.seen2, self.run2, self.right2, self.at2, self.cell2), (one, self.seen1, self.run1, self.right1, self.at1, self.cell1)):
+        hashed = self.last * np.uint32(40503)
+        self.at1 = self.lane1 + ((hashed >> 6) & (SLOTS1 - 1))
+        self.at2 = self.lane2 + (((hashed + self.before * np.uint32(30029)) >> 4) & (SLOTS2 - 1))
+        word2, word1 = self.seen2.take(self.at2), self.seen1.take(self.at1)
+        self.two, self.one, self.run2, self.run1 = word2 >> 3, word1 >> 3, word2 & (RUNS - 1), word1 & (RUNS - 1)
+        self.cell2, self.cell1 = self.lane_cell + self.run2, self.lane_cell + self.run1
+        self.p2, self.p1 = self.right2.take(self.cell2), self.right1.take(self.cell1)
+        share2 = self.p2 * (word2 >= 0)
+        share1 = ((((1 << SHARE_BITS) - share2) * self.p1) >> SHARE_BITS) * ((word1 >= 0) & (self.one != self.two))
+        return self.two, self.one, share2, share1
+
+    def learn(self, ids: np.ndarray) -> None:
+        ids = ids.astype(np.int32)
+        new = ids << 3
+        for guess, seen, run, right, at, cell, p in ((self.two, self.seen2, self.run2, self.right2, self.at2, self.cell2, self.p2), (self.one, self.seen1, self.run1, self.right1, self.at1, self.cell1, self.p1)):
             hit = guess == ids
-            p = right[cell]
-            p = np.where(guess < 0, p, p + np.where(hit, (4000 - p) >> 4, -((p - 32) >> 4)))
-            right[cell] = p
-            run[at] = np.where(hit, np.minimum(run[at] + 1, RUNS - 1), 0)
-            seen[at] = ids
-        self.before, self.last = self.last, ids
+            right[cell] = p + np.where(hit, (4000 - p) >> 4, -((p - 32) >> 4) * (guess >= 0))
+            seen[at] = new + np.minimum(run + 1, RUNS - 1) * hit
+        self.before, self.last = self.last, ids.astype(np.uint32)
 
 
 def _frequencies(counts: np.ndarray) -> np.ndarray:
@@ -128,7 +133,7 @@ def _encode_lanes(grid: np.ndarray, sizes: np.ndarray, frequency: np.ndarray, st
         width[k] = size << U64(32)
 
     for step, live in _steps(sizes):
-        if live < len(model.lane):
+        if live < len(model.last):
             model.keep(live)
         ids = grid[step, :live]
         two, one, share2, share1 = model.predict()
@@ -140,7 +145,7 @@ def _encode_lanes(grid: np.ndarray, sizes: np.ndarray, frequency: np.ndarray, st
         rest = np.flatnonzero(~is2 & ~is1)
         if len(rest):
             narrow(rest, start[ids[rest]], frequency[ids[rest]], ORDER0_BITS)
-        model.learn(ids, two, one)
+        model.learn(ids)
     lane = np.arange(n)
     for shift in (32, 0):
         out[lane, filled] = ((low >> U64(shift)) & WORD).astype(np.uint32)
@@ -201,7 +206,7 @@ def _decode_lanes(words: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, fre
         width[k] = size << U64(32)
 
     for step, live in _steps(sizes):
-        if live < len(model.lane):
+        if live < len(model.last):
             model.keep(live)
         two, one, share2, share1 = model.predict()
         part = width[:live] >> U64(SHARE_BITS)
@@ -224,5 +229,5 @@ def _decode_lanes(words: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, fre
             width[rest] = part * frequency[got]
             settle(rest)
         grid[step, :live] = ids
-        model.learn(ids, two, one)
+        model.learn(ids)
     return grid.T.reshape(-1)[: int(sizes.sum())].astype(np.uint32)

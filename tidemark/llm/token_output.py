@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,21 @@ END = 0
 _WIDE_SPACE = (0xC2, 0xE1, 0xE2, 0xE3)
 AFTER_CUT = np.ones(256, bool)
 AFTER_CUT[[*range(0x21), *_WIDE_SPACE]] = False
+#: Kinds of bytes: ASCII letters, other visible ASCII characters that are no digits, line ends, digits.
+LETTER, SIGN, LINE_END, DIGIT = 1, 2, 4, 8
+KIND = np.zeros(256, np.uint8)
+KIND[0x21:0x7F] = SIGN
+KIND[0x30:0x3A] = DIGIT
+KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = LETTER
+KIND[0x0A] = LINE_END
 
 
 class Encoder:
     """Encodes texts with a byte-level tokenizer of the `tokenizers` library, each distinct piece once.
 
     The pre-tokenizer's pattern always begins a token at a single space before a character that is no white space, so texts
-    are cut there; pieces are encoded by the library and their ids joined. New pieces go to the library many at a time as one text,
+    are cut there, so are they between a letter and a sign or line end, and between a lone line end and a letter (ASCII all of them), which keeps
+    words apart from what follows them; pieces are encoded by the library and their ids joined. New pieces go to the library many at a time as one text,
     in which all but the first begin at such a space, and are told apart by the bytes of their tokens.
     """
 
@@ -83,7 +92,12 @@ class Encoder:
         n_docs, filled = len(offsets) - 1, offsets[:-1] < offsets[1:]
         cut = np.zeros(len(data), bool)
         cut[:-1] = (data[:-1] == 0x20) & AFTER_CUT[data[1:]]
-        cut[offsets[1:][filled] - 1] = False
+        kind = KIND[data]
+        cut[1:] |= (kind[:-1] == LETTER) & (kind[1:] & (SIGN | LINE_END) > 0)
+        cut[2:] |= (kind[1:-1] == LINE_END) & (kind[2:] == LETTER) & (kind[:-2] & (LETTER | SIGN | DIGIT) > 0)
+        # a space that ends a document has nothing after it; a line end that begins one is alone, whatever is before it
+        last = offsets[1:][filled] - 1
+        cut[last[data[last] == 0x20]] = False
         cut[offsets[:-1][filled]] = True
         start = np.flatnonzero(cut)
         doc = np.searchsorted(offsets, start, "right") - 1
@@ -111,6 +125,12 @@ class Encoder:
         return out, per_doc + 1
 
 
+@lru_cache(maxsize=1)
+def encoder_of(tokenizer_json: str) -> Encoder:
+    """The encoder that all tasks of a Python worker use, one after another, so that a piece is encoded once for all of them."""
+    return Encoder(tokenizer_json)
+
+
 SCHEMA = "part int, chunk int, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
@@ -122,7 +142,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_json: str, doc_id: str = "do
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches):
-        encoder, part, number = Encoder(tokenizer_json), TaskContext.get().partitionId(), 0
+        encoder, part, number = encoder_of(tokenizer_json), TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
         names: list = []
         sizes: list[np.ndarray] = []
