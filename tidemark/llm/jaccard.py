@@ -224,10 +224,15 @@ def pressed(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "__text long, __packed binary")
 
 
+MEMBER = ["key", "class", "tag", "region", "pivot"]
+
+
 def members_in_tasks(docs: DataFrame, text: str, n: int, percent: int, parts: int) -> DataFrame:
     """(part, key, class, tag, region, pivot): arrays of the keys that fall to a part, of each task's distinct classes, in portions of about HELD_ROWS.
 
-    A row for each part instead of one for each key: there are some hundred keys to a text. In a portion, the first class of each of the task's regions goes by the region (key), without region and pivot; it meets those of other tasks, so a
+    A row for each part instead of one for each key: a text has about a hundred keys.
+
+    In a portion, the first class of each of the task's regions goes by the region (key), without region and pivot; it meets those of other tasks, so a
     hot region has one such row per portion. Where a region holds several classes of the portion, all are its members, with the first as
     pivot; they are settled already, so their key is their class.
     """
@@ -246,9 +251,6 @@ def members_in_tasks(docs: DataFrame, text: str, n: int, percent: int, parts: in
     return docs.select(F.col(text).alias("__text")).where(F.col(text).isNotNull()).mapInArrow(run, schema)
 
 
-MEMBER = ["key", "class", "tag", "region", "pivot"]
-
-
 def _members_in_task(batches, n: int, percent: int):
     seen, parts, held = np.zeros(0, np.int64), [], 0
     for batch in batches:
